@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from keyfold.workload import reads, writes
+from keyfold.workload import feeds, reads, registry, streams, validation, writes
 
-GROUPS = (reads, writes)
+GROUPS = (reads, writes, validation, registry, feeds, streams)
 
 
 def queries() -> dict:

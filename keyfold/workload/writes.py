@@ -55,7 +55,7 @@ def _part_records(s, d):
         F.col("p_partkey").alias("part_id"),
         F.col("p_name").alias("phone"),
         F.col("p_size").alias("age"),
-        (F.col("p_retailprice") - 1000).alias("price"),
+        (F.col("p_retailprice") - 950).alias("price"),
     )
 
 
@@ -254,7 +254,7 @@ _PUT_RESULT = (
     select * from customer c where not exists (select 1 from inc where inc.c_custkey = c.c_custkey)"""
 )
 _STATUS = """
-    with r as (select p_partkey part_id, p_name phone, p_size age, p_retailprice - 1000 price from part),
+    with r as (select p_partkey part_id, p_name phone, p_size age, p_retailprice - 950 price from part),
     j as (select *, case when phone is null or phone = '' then 'phone' when age is null then 'age'
                          when price is null then 'price' when isnan(price) then 'price'
                          when length(phone) < 10 then 'phone'
