@@ -98,33 +98,42 @@ def typed(fields: Iterable[Field]) -> list[Rule]:
     return rules
 
 
-def json_typed(record: Column, fields: Iterable[Field], skip: Sequence[str] = ()) -> list[Rule]:
-    """Type rules for an untyped record held as VARIANT.
+def json_typed(
+    df: DataFrame, record: str, fields: Iterable[Field], skip: Sequence[str] = ()
+) -> tuple[DataFrame, list[Rule]]:
+    """Type rules for untyped records in a VARIANT column, with the frame to run them on.
 
     An absent field passes; an explicit null fails for every known type, and so does
-    text that only looks like a number. ``5.0`` is an Int.
+    text that only looks like a number. ``5.0`` is an Int. Values and their kinds are
+    projected once, before the rules.
     """
+    checked = [f for f in fields if f.name not in skip and _known(f.type) is not None]
+    items = {
+        f"_item_{f.name}": F.try_variant_get(record, f"$['{f.name}']", "variant") for f in checked
+    }
+    kinds = {f"_kind_{f.name}": F.schema_of_variant(F.col(f"_item_{f.name}")) for f in checked}
+    numbers = {
+        f"_number_{f.name}": F.try_variant_get(f"_item_{f.name}", "$", "double")
+        for f in checked
+        if _known(f.type) == INT
+    }
     rules = []
-    for f in fields:
-        if f.name in skip:
-            continue
-        item = F.try_variant_get(record, f"$['{f.name}']", "variant")
-        kind = F.schema_of_variant(item)
-        number = kind.startswith("BIGINT") | kind.startswith("DECIMAL") | (kind == "DOUBLE")
-        as_double = F.try_variant_get(item, "$", "double")
+    for f in checked:
+        item, kind = F.col(f"_item_{f.name}"), F.col(f"_kind_{f.name}")
+        is_number = F.regexp_like(kind, F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"))
         logical = _known(f.type)
-        if logical is None:
-            continue
-        good = {
-            STRING: kind == "STRING",
-            INT: number & (as_double == F.floor(as_double)),
-            FLOAT: number | (kind == "FLOAT"),
-            BOOLEAN: kind == "BOOLEAN",
-            ARRAY: kind.startswith("ARRAY"),
-        }[logical]
+        if logical == INT:
+            number = F.col(f"_number_{f.name}")
+            good = is_number & (number == F.floor(number))
+        elif logical == FLOAT:
+            good = is_number
+        elif logical == ARRAY:
+            good = kind.startswith("ARRAY")
+        else:
+            good = kind == logical.upper()
         bad = item.isNotNull() & ~F.coalesce(good, F.lit(False))
         rules.append(Rule(f.name, "type", bad, F.try_variant_get(item, "$", "string")))
-    return rules
+    return df.withColumns(items).withColumns({**kinds, **numbers}), rules
 
 
 def _known(name: str | None) -> str | None:

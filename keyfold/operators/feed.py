@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from keyfold.functions.predicates import typed_equal
 from keyfold.operators.fold import LIVE
-from keyfold.plans.skew import GROUP_ROWS, find_slices, lookup, running_last
+from keyfold.plans.skew import GROUP_ROWS, Slices, find_slices, lookup, running_last
 from keyfold.sources.log import CREATE, DELETE, PUBLISH, UPDATE, LogSpec
 
+#: look for hot keys; pass known slices, or None for none, to save the pass
+DETECT = "detect"
 INSERT, MODIFY, REMOVE = "INSERT", "MODIFY", "REMOVE"
 
 
@@ -19,13 +21,15 @@ def accepted(
     spec: LogSpec,
     state: DataFrame | None = None,
     group_rows: int = GROUP_ROWS,
+    slices: Slices | None | str = DETECT,
 ) -> DataFrame:
     """Rows that changed something: creates, and updates and deletes of a live key.
 
     Only key, order and kind are read. ``state`` is the table before the log.
     """
     stored = log.filter(F.col(spec.op) != PUBLISH).select(*spec.keys, spec.seq, spec.op)
-    slices = find_slices(stored, spec.keys, spec.seq, group_rows)
+    if slices == DETECT:
+        slices = find_slices(stored, spec.keys, spec.seq, group_rows)
     before = F.col("before_reset")
     if state is not None:
         was = state.select(*spec.keys, F.when(F.col(LIVE), CREATE).alias("_was"))
@@ -43,6 +47,7 @@ def images(
     spec: LogSpec,
     state: DataFrame | None = None,
     group_rows: int = GROUP_ROWS,
+    slices: Slices | None | str = DETECT,
 ) -> DataFrame:
     """Accepted changes with their kind and the whole record before and after.
 
@@ -50,7 +55,8 @@ def images(
     INSERT and ``new`` for a REMOVE.
     """
     stored = log.filter(F.col(spec.op) != PUBLISH).select(*spec.columns)
-    slices = find_slices(stored, spec.keys, spec.seq, group_rows)
+    if slices == DETECT:
+        slices = find_slices(stored, spec.keys, spec.seq, group_rows)
     values: dict[str, Column] = {"reset": spec.reset()}
     values.update({f: spec.assignment(f) for f in spec.fields})
     before = {n: F.col(f"before_{n}") for n in values}

@@ -17,8 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F, types as T
 
 BUCKET = "bucket"
 MANIFEST = T.StructType(
@@ -30,6 +29,12 @@ MANIFEST = T.StructType(
 )
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path exists, on whatever file system its scheme names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 @dataclass(frozen=True)
 class Snapshot:
     spark: SparkSession
@@ -42,43 +47,43 @@ class Snapshot:
     # --- versions -------------------------------------------------------------
 
     def _manifests(self) -> DataFrame | None:
+        folder = f"{self.root}/manifest"
+        if not path_exists(self.spark, folder):
+            return None
         with_version = T.StructType([*MANIFEST.fields, T.StructField("v", T.LongType())])
-        try:
-            return self.spark.read.schema(with_version).parquet(f"{self.root}/manifest")
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" in str(error.getCondition()):
-                return None
-            raise
-
-    def current(self) -> tuple[int, int] | None:
-        """Newest version and the batch that made it, or None before the first commit."""
+        return self.spark.read.schema(with_version).parquet(folder)
+
+    def head(self) -> "Head | None":
+        """The newest version, or None before the first commit: one small read."""
         found = self._manifests()
         if found is None:
             return None
-        newest = found.agg(F.max(F.struct("v", "batch_id")).alias("m")).first()["m"]
-        return None if newest is None else (newest["v"], newest["batch_id"])
+        newest = found.select(F.max("v").alias("v"))
+        rows = found.join(F.broadcast(newest), "v").collect()
+        return _head(rows)
 
-    def _locations(self, version: int) -> dict[int, int]:
-        """Bucket -> version holding it; at most ``buckets`` rows."""
-        rows = self._manifests().filter((F.col("v") == version) & F.col("bucket").isNotNull()).collect()
-        return {r["bucket"]: r["version"] for r in rows}
+    def version(self, number: int) -> "Head | None":
+        found = self._manifests()
+        return None if found is None else _head(found.filter(F.col("v") == number).collect())
 
     # --- reads ----------------------------------------------------------------
 
     def bucket_of(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
-    def read(self, version: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
+    def read(
+        self,
+        version: int | None = None,
+        buckets: Sequence[int] | None = None,
+        head: "Head | None" = None,
+    ) -> DataFrame:
         """A version of the table, whole or only some buckets of it."""
-        if version is None:
-            newest = self.current()
-            if newest is None:
-                return self.spark.createDataFrame([], self.schema)
-            version = newest[0]
+        if head is None:
+            head = self.head() if version is None else self.version(version)
         wanted = None if buckets is None else set(buckets)
         paths = [
             f"{self.root}/data/v={v}/{BUCKET}={b}"
-            for b, v in sorted(self._locations(version).items())
+            for b, v in sorted(head.held.items() if head else ())
             if wanted is None or b in wanted
         ]
         if not paths:
@@ -103,40 +108,50 @@ class Snapshot:
 
         ``rows`` must hold every row of these buckets. Returns the new version.
         """
-        newest = self.current()
-        version = 0 if newest is None else newest[0] + 1
+        head = self.head()
+        version = 0 if head is None else head.version + 1
         placed = rows.select(*self.schema.names).withColumn(BUCKET, self.bucket_of())
         order = [*sort_by] or [*self.indexed[:1], *self.keys]
+        written = Observation()
         writer = (
             placed.repartition(BUCKET)
             .sortWithinPartitions(BUCKET, *order)
+            .observe(written, F.collect_set(BUCKET).alias("buckets"))
             .write.mode("overwrite")
             .partitionBy(BUCKET)
         )
         for name in self.indexed:
             writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
-        target = f"{self.root}/data/v={version}"
-        writer.parquet(target)
-        held = {} if newest is None or buckets is None else self._locations(newest[0])
-        written = self._written(target)
-        for b in range(self.buckets) if buckets is None else buckets:
+        writer.parquet(f"{self.root}/data/v={version}")
+        held = {} if head is None or buckets is None else dict(head.held)
+        for b in buckets or ():
             held.pop(b, None)
-        held.update({b: version for b in written})
+        # at most ``buckets`` numbers; buckets left without rows have no folder
+        held.update({b: version for b in written.get["buckets"]})
         manifest = self.spark.createDataFrame(
             [(b, v, batch_id) for b, v in sorted(held.items())] or [(None, version, batch_id)], MANIFEST
         )
         manifest.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/v={version}")
         return version
 
-    def _written(self, target: str) -> list[int]:
-        """Buckets of a version folder that hold rows."""
-        listed = self.spark.read.schema(
-            T.StructType([*self.schema.fields, T.StructField(BUCKET, T.IntegerType())])
-        ).parquet(target)
-        return sorted(r[BUCKET] for r in listed.select(BUCKET).distinct().collect())
-
     def create(self, rows: DataFrame | None = None) -> "Snapshot":
         """First version: the given rows or an empty table. An existing table stays."""
-        if self.current() is None:
+        if self.head() is None:
             self.commit(self.spark.createDataFrame([], self.schema) if rows is None else rows)
         return self
+
+
+@dataclass(frozen=True)
+class Head:
+    """A version: its number, the batch that made it, and bucket -> version holding it."""
+
+    version: int
+    batch_id: int
+    held: dict[int, int]
+
+
+def _head(rows: list[Row]) -> Head | None:
+    if not rows:
+        return None
+    held = {r["bucket"]: r["version"] for r in rows if r["bucket"] is not None}
+    return Head(rows[0]["v"], rows[0]["batch_id"], held)

@@ -67,21 +67,21 @@ class ChangePipeline:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Apply one micro-batch; safe to call again with the same id."""
         store = self.snapshot
-        newest = store.current()
-        if newest is not None and newest[1] >= batch_id:
+        head = store.head()
+        if head is not None and head.batch_id >= batch_id:
             return
         log = batch.select(*self.spec.columns)
         buckets = store.touched(log)
         if not buckets:
             return
-        state = store.read(buckets=buckets)
+        state = store.read(buckets=buckets, head=head)
         slices = find_slices(log, self.spec.keys, self.spec.seq, self.group_rows)
         # used three times below; lost blocks are computed again from the source
         judged = split_late(log, state, self.spec, slices).persist()
         late = judged.filter("late").drop("late")
         fresh = judged.filter("not late").drop("late")
         (
-            images(fresh, self.spec, state, self.group_rows)
+            images(fresh, self.spec, state, slices=slices)
             .write.mode("overwrite")
             .parquet(f"{self.feed_path}/batch={batch_id}")
         )

@@ -41,7 +41,8 @@ def violations_type(s, d):
             "record"
         ),
     )
-    return rules.violations(raw, ["key"], rules.json_typed(F.col("record"), fields))
+    checked, type_rules = rules.json_typed(raw, "record", fields)
+    return rules.violations(checked, ["key"], type_rules)
 
 
 def violations_nan(s, d):
