@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keyfold.functions.predicates import typed_equal
-from keyfold.operators.fold import LIVE
-from keyfold.plans.skew import GROUP_ROWS, Slices, find_slices, lookup, running_last
+from keyfold.operators.fold import LAST_SEQ, LIVE, with_prior
+from keyfold.plans.skew import GROUP_ROWS, Slices, find_slices, running_last
 from keyfold.sources.log import CREATE, DELETE, PUBLISH, UPDATE, LogSpec
 
 #: look for hot keys; pass known slices, or None for none, to save the pass
@@ -32,8 +32,7 @@ def accepted(
         slices = find_slices(stored, spec.keys, spec.seq, group_rows)
     before = F.col("before_reset")
     if state is not None:
-        was = state.select(*spec.keys, F.when(F.col(LIVE), CREATE).alias("_was"))
-        stored = lookup(stored, was, spec.keys, slices)
+        stored = with_prior(stored, state.select(*spec.keys, LAST_SEQ, LIVE), LogSpec(spec.keys, ()), slices)
         before = F.coalesce(before, F.col("_was"))
     scanned = running_last(
         stored, spec.keys, spec.seq, {"reset": spec.reset()}, (spec.op,), slices
@@ -52,26 +51,25 @@ def images(
     """Accepted changes with their kind and the whole record before and after.
 
     Columns: key, seq, ts, op, kind, old struct, new struct. ``old`` is NULL for an
-    INSERT and ``new`` for a REMOVE.
+    INSERT and ``new`` for a REMOVE. ``state`` is the table before the log; a log that
+    went through ``with_prior`` brings it along.
     """
-    stored = log.filter(F.col(spec.op) != PUBLISH).select(*spec.columns)
+    stored = log.filter(F.col(spec.op) != PUBLISH)
     if slices == DETECT:
         slices = find_slices(stored, spec.keys, spec.seq, group_rows)
+    if state is not None:
+        stored = with_prior(stored.select(*spec.columns), state, spec, slices)
     values: dict[str, Column] = {"reset": spec.reset()}
     values.update({f: spec.assignment(f) for f in spec.fields})
     before = {n: F.col(f"before_{n}") for n in values}
     after = {n: F.col(f"after_{n}") for n in values}
-    if state is not None:
-        was = state.select(
-            *spec.keys,
-            F.when(F.col(LIVE), CREATE).alias("_was"),
-            *[F.struct(F.col(f).alias("v")).alias(f"_was_{f}") for f in spec.fields],
-        )
-        stored = lookup(stored, was, spec.keys, slices)
-        before["reset"] = F.coalesce(before["reset"], F.col("_was"))
-        for f in spec.fields:
-            before[f] = F.coalesce(before[f], F.col(f"_was_{f}"))
-            after[f] = F.coalesce(after[f], F.col(f"_was_{f}"))
+    if "_was" in stored.columns:
+        prior = {"reset": F.col("_was"), **{f: F.col(f"_was_{f}") for f in spec.fields}}
+        before = {n: F.coalesce(before[n], prior[n]) for n in values}
+        after = {n: F.coalesce(after[n], prior[n]) for n in values}
+        stored = stored.select(*spec.columns, "_was", *[f"_was_{f}" for f in spec.fields])
+    else:
+        stored = stored.select(*spec.columns)
     scanned = running_last(stored, spec.keys, spec.seq, values, (spec.op,), slices)
     op = F.col(spec.op)
     had = F.coalesce(before["reset"] == CREATE, F.lit(False))

@@ -114,10 +114,19 @@ def state_of(table: DataFrame, spec: LogSpec, seq: int = -1) -> DataFrame:
     )
 
 
-def split_late(
+def with_prior(
     log: DataFrame, state: DataFrame, spec: LogSpec, slices: Slices | None = None
 ) -> DataFrame:
-    """The log with a ``late`` flag on rows at or before what their key has seen."""
-    seen = state.select(*spec.keys, F.col(LAST_SEQ).alias("_seen"))
-    late = F.coalesce(F.col(spec.seq) <= F.col("_seen"), F.lit(False))
-    return lookup(log, seen, spec.keys, slices).withColumn("late", late).drop("_seen")
+    """Log rows with what their key was before: ``_seen`` position, ``_was`` live, values."""
+    prior = state.select(
+        *spec.keys,
+        F.col(LAST_SEQ).alias("_seen"),
+        F.when(F.col(LIVE), CREATE).alias("_was"),
+        *[F.struct(F.col(f).alias("v")).alias(f"_was_{f}") for f in spec.fields],
+    )
+    return lookup(log, prior, spec.keys, slices)
+
+
+def is_late(spec: LogSpec) -> Column:
+    """Whether a row of :func:`with_prior` is at or before what its key has seen."""
+    return F.coalesce(F.col(spec.seq) <= F.col("_seen"), F.lit(False))

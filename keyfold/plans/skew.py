@@ -16,9 +16,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: rows of one key a single task may sort; beyond it the key is cut into pieces
 GROUP_ROWS = 4_000_000
-#: sketch capacity; every key above about 1/10,000 of all rows is reported
-TRACKED, REPORTED = 65_536, 8_192
+#: sketch capacity; every key above about 1/4,000 of all rows is reported
+TRACKED, REPORTED = 16_384, 4_096
+#: sketches of tasks are merged in this many groups before the last merge
+MERGE_GROUPS = 256
 MAX_PIECES = 16_384
+#: rows a sample for cut points may bring to the driver
+MAX_SAMPLE = 262_144
 SLICE = "_slice"
 
 
@@ -61,27 +65,42 @@ def find_slices(
 ) -> Slices | None:
     """Hot keys of ``df`` and cut points for them, or None when there are none.
 
-    One pass over the key columns with a frequent-items sketch (no shuffle of rows);
-    only if a key is hot, a second pass takes quantiles of its order column. What
-    comes back is bounded by the sketch, and only steers how work is divided:
-    results never depend on it.
+    One pass over the key columns with a frequent-items sketch: no row is shuffled, and
+    sketches are merged in groups before the last merge. Only if a key is hot, a second
+    pass takes a sample of its order column. What comes back is bounded by constants
+    and only steers how work is divided: results never depend on it.
     """
     hashed = df.select(F.xxhash64(*keys).alias("h"), F.col(order).alias("o"))
-    top = hashed.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.expr(f"approx_top_k(h, {REPORTED}, {TRACKED})").alias("top"),
+    merged = hashed.groupBy(F.expr(f"spark_partition_id() % {MERGE_GROUPS}")).agg(
+        F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k_accumulate(h, {TRACKED})").alias("s")
+    )
+    top = merged.agg(
+        F.sum("n").alias("n"),
+        F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {TRACKED}), {REPORTED})").alias("top"),
     ).first()
-    hot = tuple(sorted(i["item"] for i in top["top"] or [] if i["count"] > group_rows))
-    if not hot:
+    large = {i["item"]: i["count"] for i in top["top"] or [] if i["count"] > group_rows}
+    if not large:
         return None
+    hot = tuple(sorted(large))
     pieces = max(2, min(MAX_PIECES, -(-top["n"] // group_rows)))
-    shares = [i / pieces for i in range(1, pieces)]
-    cuts = (
-        hashed.filter(F.col("h").isin(list(hot)))
-        .agg(F.percentile_approx("o", shares, max(10_000, 2 * pieces)).alias("c"))
-        .first()["c"]
-    )
-    return Slices(hot, tuple(sorted(set(cuts))))
+    rows = hashed.filter(F.col("h").isin(list(hot)))
+    cuts = _sampled_cuts(rows.select("o", "h"), sum(large.values()), pieces)
+    return Slices(hot, tuple(cuts))
+
+
+def _sampled_cuts(df: DataFrame, rows: int, parts: int, per_part: int = 64) -> list:
+    """At most ``parts - 1`` values of the first column that cut the rows evenly.
+
+    Rows are sampled by their hash, the same ones on every run; about
+    ``parts * per_part`` of them, at most ``MAX_SAMPLE``, come to the driver.
+    """
+    want = min(parts * per_part, MAX_SAMPLE)
+    share = int(2**31 * min(1.0, want / max(1, rows)))
+    mixed = F.xxhash64(*df.columns).bitwiseAND(F.lit(2**31 - 1))
+    sample = df.filter(mixed < share).select(df.columns[0])
+    values = sorted(row[0] for row in sample.collect())
+    at = (round(i * len(values) / parts) for i in range(1, parts))
+    return sorted({values[i] for i in at if i < len(values)})
 
 
 def running_last(
@@ -173,17 +192,6 @@ def lookup(
     )
 
 
-def key_cuts(df: DataFrame, key: str, parts: int, per_part: int = 64) -> list:
-    """At most ``parts - 1`` sorted key values that cut unique keys into even ranges.
-
-    The rows with the smallest key hashes are a uniform sample of fixed size and the
-    same on every run, for keys of any orderable type.
-    """
-    sample = (
-        df.select(F.col(key).alias("k"))
-        .orderBy(F.xxhash64("k"), "k")
-        .limit(parts * per_part)
-    )
-    values = sorted(row["k"] for row in sample.collect())
-    step = max(1, len(values) // max(1, parts))
-    return sorted(set(values[step::step]))[: parts - 1]
+def key_cuts(df: DataFrame, key: str, parts: int) -> list:
+    """At most ``parts - 1`` sorted key values that cut unique keys into even ranges."""
+    return _sampled_cuts(df.select(key), df.count(), parts)

@@ -5,7 +5,9 @@ Layout under a root folder::
     data/v=<n>/bucket=<b>/part-*.parquet    the buckets version n rewrote
     manifest/v=<n>/                         (bucket, version) rows, written last
 
-Rows live in a bucket by the hash of their key. A commit writes the touched buckets
+Rows live in a bucket by the hash of their key, in one or more files. Choose the number
+of buckets for the finished table, so that one holds about a gigabyte: a bucket is what a
+commit rewrites (:func:`buckets_for`). A commit writes the touched buckets
 into a new version folder and then a manifest that says, for every bucket, which
 version holds it. A version exists once its manifest does, so a job that dies half
 way leaves nothing visible and its rerun starts over. No path is overwritten while
@@ -35,6 +37,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def buckets_for(table_bytes: int, bucket_bytes: int = 1 << 30) -> int:
+    """Number of buckets for a table of this size, a power of two."""
+    return 1 << max(0, (max(1, table_bytes) - 1) // bucket_bytes).bit_length()
+
+
 @dataclass(frozen=True)
 class Snapshot:
     spark: SparkSession
@@ -43,6 +50,7 @@ class Snapshot:
     keys: tuple[str, ...]
     buckets: int = 64
     indexed: tuple[str, ...] = ()
+    files: int = 1
 
     # --- versions -------------------------------------------------------------
 
@@ -66,6 +74,11 @@ class Snapshot:
         found = self._manifests()
         return None if found is None else _head(found.filter(F.col("v") == number).collect())
 
+    def _file_of(self) -> Column:
+        """Which of a bucket's files a row goes to; spreads one bucket over several tasks."""
+        upper = F.shiftrightunsigned(F.xxhash64(*self.keys), 33)
+        return F.pmod(upper, F.lit(self.files)).cast("int")
+
     # --- reads ----------------------------------------------------------------
 
     def bucket_of(self) -> Column:
@@ -102,20 +115,19 @@ class Snapshot:
         rows: DataFrame,
         buckets: Sequence[int] | None = None,
         batch_id: int = -1,
-        sort_by: Sequence[str] = (),
+        head: "Head | None" = None,
     ) -> int:
         """Write ``rows`` as the new content of ``buckets`` (all when None).
 
         ``rows`` must hold every row of these buckets. Returns the new version.
         """
-        head = self.head()
+        head = head or self.head()
         version = 0 if head is None else head.version + 1
         placed = rows.select(*self.schema.names).withColumn(BUCKET, self.bucket_of())
-        order = [*sort_by] or [*self.indexed[:1], *self.keys]
         written = Observation()
         writer = (
-            placed.repartition(BUCKET)
-            .sortWithinPartitions(BUCKET, *order)
+            placed.repartition(F.col(BUCKET), self._file_of())
+            .sortWithinPartitions(BUCKET, *self.indexed[:1], *self.keys)
             .observe(written, F.collect_set(BUCKET).alias("buckets"))
             .write.mode("overwrite")
             .partitionBy(BUCKET)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from keyfold.operators.feed import images
-from keyfold.operators.fold import CREATED, LAST_SEQ, LIVE, UPDATED, advance, records, split_late
+from keyfold.operators.fold import CREATED, LAST_SEQ, LIVE, UPDATED, advance, is_late, records, with_prior
 from keyfold.plans.skew import GROUP_ROWS, find_slices
 from keyfold.sources.log import LogSpec
 from keyfold.sources.snapshot import Snapshot
@@ -76,17 +76,17 @@ class ChangePipeline:
             return
         state = store.read(buckets=buckets, head=head)
         slices = find_slices(log, self.spec.keys, self.spec.seq, self.group_rows)
-        # used three times below; lost blocks are computed again from the source
-        judged = split_late(log, state, self.spec, slices).persist()
-        late = judged.filter("late").drop("late")
-        fresh = judged.filter("not late").drop("late")
+        # one join with the state serves all three results; lost blocks are computed again
+        judged = with_prior(log, state, self.spec, slices).withColumn("late", is_late(self.spec)).persist()
+        fresh = judged.filter("not late")
         (
-            images(fresh, self.spec, state, slices=slices)
+            images(fresh, self.spec, slices=slices)
             .write.mode("overwrite")
             .parquet(f"{self.feed_path}/batch={batch_id}")
         )
+        late = judged.filter("late").select(*self.spec.columns)
         late.write.mode("overwrite").parquet(f"{self.root}/late/batch={batch_id}")
-        store.commit(advance(state, fresh, self.spec), buckets, batch_id)
+        store.commit(advance(state, fresh, self.spec), buckets, batch_id, head=head)
         judged.unpersist()
 
     def start(
