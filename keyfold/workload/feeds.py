@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from keyfold.operators import fanout as fan, feed
+from keyfold.session import work_dir
 from keyfold.sources.log import EVENT_LOG, events_as_log
 from keyfold.sources.tables import table
 from keyfold.workload.common import ACCEPTED, IMAGES
@@ -139,13 +140,17 @@ def subscriptions(s, d):
     return customers.unionByName(regions)
 
 
+def _topics(s, d):
+    return fan.store_topics(subscriptions(s, d), FIELDS, work_dir(s, "topics"))
+
+
 def fanout(s, d):
-    pairs = fan.fanout(_payload(s, d), subscriptions(s, d), FIELDS, author_column="id")
+    pairs = fan.fanout(_payload(s, d), _topics(s, d), FIELDS, author_column="id")
     return pairs.select("seq", "sub_id")
 
 
 def delivery_counts(s, d):
-    return fan.delivery_counts(_payload(s, d), subscriptions(s, d), FIELDS)
+    return fan.delivery_counts(_payload(s, d), _topics(s, d), FIELDS)
 
 
 QUERIES = {
