@@ -121,6 +121,10 @@ class Database:
         """The field dictionary of a table, system fields included."""
         return reg.table_schema(self._row(name)).drop(*reg.KEY)
 
+    def table_metadata(self, name: str) -> DataFrame:
+        """The registry row of a table: fields, subscriptions, description, names, stamps."""
+        return self._row(name)
+
     def _row(self, name: str) -> DataFrame:
         return self.registry().filter((F.col("tenant") == self.tenant) & (F.col("table_name") == name))
 

@@ -72,17 +72,25 @@ def definition_error(name: Column, fields: Column) -> Column:
 
 
 def register(
-    registry: DataFrame, definitions: DataFrame, idempotent: bool = False, ordinal: str = "ordinal"
+    registry: DataFrame,
+    definitions: DataFrame,
+    idempotent: bool = False,
+    ordinal: str = "ordinal",
+    fail_fast: bool = False,
 ) -> DataFrame:
     """One status row per definition: tenant, table_name, ordinal, status, error.
 
     ``created`` for the first definition of a free name, ``failed`` otherwise; with
-    ``idempotent`` a name that exists counts as ``exists`` and stays as it is.
+    ``idempotent`` a name that exists counts as ``exists`` and stays as it is. With
+    ``fail_fast`` one definition without a name or fields refuses the whole batch.
     Names are reduced to their first ordinal by a hash aggregation, and rows meet
     their verdict on the unique ordinal, so a name repeated any number of times
     never gathers in one task.
     """
     error = definition_error(F.col("table_name"), F.col("fields"))
+    if fail_fast:
+        broken = definitions.select(error.alias("e")).agg(F.count("e")).scalar()
+        error = F.coalesce(error, F.when(broken > 0, "batch_refused"))
     judged = definitions.select(*KEY, ordinal, error.alias("_error"))
     firsts = (
         judged.filter(F.col("_error").isNull())

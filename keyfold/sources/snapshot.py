@@ -9,7 +9,7 @@ Rows live in a bucket by the hash of their key, in one or more files. Choose the
 of buckets for the finished table, so that one holds about a gigabyte: a bucket is what a
 commit rewrites (:func:`buckets_for`). A commit writes the touched buckets
 into a new version folder and then a manifest that says, for every bucket, which
-version holds it. A version exists once its manifest does, so a job that dies half
+version holds it. A version exists once its manifest has its success marker, so a job that dies half
 way leaves nothing visible and its rerun starts over. No path is overwritten while
 it can be read.
 """
@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 BUCKET = "bucket"
 MANIFEST = T.StructType(
@@ -54,25 +54,35 @@ class Snapshot:
 
     # --- versions -------------------------------------------------------------
 
-    def _manifests(self) -> DataFrame | None:
-        folder = f"{self.root}/manifest"
-        if not path_exists(self.spark, folder):
-            return None
-        with_version = T.StructType([*MANIFEST.fields, T.StructField("v", T.LongType())])
-        return self.spark.read.schema(with_version).parquet(folder)
+    def _manifest(self, version: int) -> str:
+        return f"{self.root}/manifest/v={version}"
+
+    def _committed(self, version: int) -> bool:
+        return path_exists(self.spark, f"{self._manifest(version)}/_SUCCESS")
+
+    def _newest(self) -> int:
+        """Newest committed version, -1 for none. Versions are numbered without gaps, so a
+        few probes find it however many there are; no folder is listed."""
+        if not self._committed(0):
+            return -1
+        low, step = 0, 1
+        while self._committed(low + step):
+            low, step = low + step, step * 2
+        high = low + step
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if self._committed(middle) else (low, middle)
+        return low
 
     def head(self) -> "Head | None":
-        """The newest version, or None before the first commit: one small read."""
-        found = self._manifests()
-        if found is None:
-            return None
-        newest = found.select(F.max("v").alias("v"))
-        rows = found.join(F.broadcast(newest), "v").collect()
-        return _head(rows)
-
-    def version(self, number: int) -> "Head | None":
-        found = self._manifests()
-        return None if found is None else _head(found.filter(F.col("v") == number).collect())
+        """The newest version, or None before the first commit."""
+        newest = self._newest()
+        return None if newest < 0 else self.version(newest)
+
+    def version(self, number: int) -> "Head":
+        rows = self.spark.read.schema(MANIFEST).parquet(self._manifest(number)).collect()
+        held = {r["bucket"]: r["version"] for r in rows if r["bucket"] is not None}
+        return Head(number, rows[0]["batch_id"], held)
 
     def _file_of(self) -> Column:
         """Which of a bucket's files a row goes to; spreads one bucket over several tasks."""
@@ -143,7 +153,7 @@ class Snapshot:
         manifest = self.spark.createDataFrame(
             [(b, v, batch_id) for b, v in sorted(held.items())] or [(None, version, batch_id)], MANIFEST
         )
-        manifest.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/v={version}")
+        manifest.coalesce(1).write.mode("overwrite").parquet(self._manifest(version))
         return version
 
     def create(self, rows: DataFrame | None = None) -> "Snapshot":
@@ -161,9 +171,3 @@ class Head:
     batch_id: int
     held: dict[int, int]
 
-
-def _head(rows: list[Row]) -> Head | None:
-    if not rows:
-        return None
-    held = {r["bucket"]: r["version"] for r in rows if r["bucket"] is not None}
-    return Head(rows[0]["v"], rows[0]["batch_id"], held)

@@ -21,7 +21,7 @@ def _feed(s, d):
     return feed.images(_log(s, d), EVENT_LOG)
 
 
-def _payload(s, d):
+def payload_of(s, d):
     return feed.payload(_feed(s, d), EVENT_LOG).select("id", "seq", "op", "value", "props")
 
 
@@ -48,21 +48,21 @@ def images(s, d):
 
 
 def sub_create(s, d):
-    return feed.subscribe(_payload(s, d), "create")
+    return feed.subscribe(payload_of(s, d), "create")
 
 
 def sub_update(s, d):
-    return feed.subscribe(_payload(s, d), "update")
+    return feed.subscribe(payload_of(s, d), "update")
 
 
 def sub_delete(s, d):
-    return feed.subscribe(_payload(s, d), "delete")
+    return feed.subscribe(payload_of(s, d), "delete")
 
 
 def sub_update_filtered(s, d):
     """Declared filters only: ``props`` is not declared and so ignored, ``value`` has no value."""
     return feed.subscribe(
-        _payload(s, d),
+        payload_of(s, d),
         "update",
         {"id": "12", "value": None, "props": "ignored"},
         declared=["id", "value"],
@@ -96,7 +96,7 @@ def publish_events(s, d):
 
 
 def publish_union(s, d):
-    updates = feed.subscribe(_payload(s, d), "update").drop("op")
+    updates = feed.subscribe(payload_of(s, d), "update").drop("op")
     return feed.update_channel(updates, _published(s, d).drop("op"), origin="origin")
 
 
@@ -145,12 +145,12 @@ def _topics(s, d):
 
 
 def fanout(s, d):
-    pairs = fan.fanout(_payload(s, d), _topics(s, d), FIELDS, author_column="id")
+    pairs = fan.fanout(payload_of(s, d), _topics(s, d), FIELDS, author_column="id")
     return pairs.select("seq", "sub_id")
 
 
 def delivery_counts(s, d):
-    return fan.delivery_counts(_payload(s, d), _topics(s, d), FIELDS)
+    return fan.delivery_counts(payload_of(s, d), _topics(s, d), FIELDS)
 
 
 QUERIES = {

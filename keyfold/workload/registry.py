@@ -87,6 +87,14 @@ def register_idempotent(s, d):
     return reg.register(*_two(s, d), idempotent=True)
 
 
+def register_fail_fast(s, d):
+    """The same batch with the definitions of one brand left empty: all are refused."""
+    old, batch = _two(s, d)
+    none = F.filter("fields", lambda f: F.lit(False))
+    batch = batch.withColumn("fields", F.when(F.col("description") == "Brand#7", none).otherwise(F.col("fields")))
+    return reg.register(old, batch, fail_fast=True)
+
+
 def register_summary(s, d):
     return reg.batch_summary(reg.register(*_two(s, d)))
 
@@ -212,7 +220,7 @@ def violations_names(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        register_tables, register_idempotent, register_summary, registered_tables, list_tables,
+        register_tables, register_idempotent, register_fail_fast, register_summary, registered_tables, list_tables,
         table_counts, table_schema, evolve_schema, evolve_rejected, retire_tables, retire_tenants,
         subscription_rows, namespace_collisions, violations_definitions, violations_names,
     )
@@ -260,6 +268,10 @@ ORACLES = {
     "register_idempotent": _TWO
     + """ select tenant, table_name, ordinal, case when ok then 'created' else 'exists' end as status,
                  cast(null as varchar) as error from st""",
+    "register_fail_fast": _DEFS
+    + """ select tenant, table_name, ordinal, 'failed' as status,
+                 case when p_brand = 'Brand#7' then 'no_fields' else 'batch_refused' end as error
+          from d where p_type <> 'ECONOMY'""",
     "register_summary": _TWO
     + """ select tenant, count(*) filter (where ok) as created, count(*) filter (where not ok) as failed
           from st group by tenant""",

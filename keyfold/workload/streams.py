@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keyfold.operators import feed
+from keyfold.operators import fanout as fan, feed
 from keyfold.session import work_dir
 from keyfold.sources.log import EVENT_LOG, events_as_log
 from keyfold.sources.tables import table
@@ -65,11 +65,39 @@ def stream_table(s, d):
     return _run_pipeline(s, d).table()
 
 
-QUERIES = {f.__name__: f for f in (stream_sink, stream_resume, stream_feed, stream_table)}
+def stream_fanout(s, d):
+    """Deliveries to all subscribers as the feed's files come in."""
+    root = work_dir(s, "fanout")
+    feeds.payload_of(s, d).write.parquet(f"{root}/feed")
+    subscribed = fan.store_topics(feeds.subscriptions(s, d), feeds.FIELDS, f"{root}/topics")
+    stream = channels.read_stream(s, f"{root}/feed", s.read.parquet(f"{root}/feed").schema)
+    pairs = fan.fanout(stream, subscribed, feeds.FIELDS, author_column="id").select("seq", "sub_id")
+    channels.sink(pairs, f"{root}/out", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return s.read.parquet(f"{root}/out")
+
+
+def stream_updates(s, d):
+    """The update channel as a stream: stored updates together with published events."""
+    root = work_dir(s, "updates")
+    feeds.payload_of(s, d).write.parquet(f"{root}/feed")
+    feeds.publish_events(s, d).write.parquet(f"{root}/published")
+
+    def stream(name):
+        return channels.read_stream(s, f"{root}/{name}", s.read.parquet(f"{root}/{name}").schema)
+
+    updates = feed.subscribe(stream("feed"), "update").drop("op")
+    channel = feed.update_channel(updates, stream("published").drop("op"), origin="origin")
+    channels.sink(channel, f"{root}/out", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return s.read.parquet(f"{root}/out")
+
+
+QUERIES = {f.__name__: f for f in (stream_sink, stream_resume, stream_feed, stream_table, stream_fanout, stream_updates)}
 
 ORACLES = {
     "stream_sink": LOG + " select id, seq, value, props from l where op = 'update'",
     "stream_resume": LOG + " select id, seq from l where op = 'delete'",
+    "stream_fanout": feeds.ORACLES["fanout"],
+    "stream_updates": feeds.ORACLES["publish_union"],
     "stream_feed": feeds.ORACLES["images"],
     "stream_table": writes.ORACLES["fold_incremental"],
 }

@@ -1,5 +1,7 @@
 """Fold, feed and snapshots against the sequential model."""
 
+import time
+
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ import model as m
 from keyfold.operators import feed, fold
 from keyfold.plans.skew import find_slices
 from keyfold.session import work_dir
+from keyfold.sources.snapshot import Snapshot
 from keyfold.streaming import channels
 from keyfold.streaming.pipeline import ChangePipeline
 
@@ -151,6 +154,35 @@ def test_a_batch_applied_twice_is_applied_once(spark):
     assert pipeline.snapshot.head().version == 0
 
 
+def test_callbacks_hear_data_and_completion(spark):
+    root, heard = work_dir(spark, "callbacks"), []
+    listener = channels.Callbacks(
+        lambda n: heard.append(n), lambda e: heard.append("error"), lambda: heard.append("done")
+    )
+    frame(spark, EDGE).write.parquet(f"{root}/in")
+    spark.streams.addListener(listener)
+    try:
+        stream = channels.read_stream(spark, f"{root}/in", m.SCHEMA)
+        channels.sink(stream, f"{root}/out", f"{root}/cp", available_now=True).awaitTermination()
+        for _ in range(100):
+            if "done" in heard:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert heard[-1] == "done" and sum(heard[:-1]) == len(EDGE)
+
+
+def test_newest_version_is_found_among_many(spark):
+    store = Snapshot(spark, work_dir(spark, "many"), frame(spark, EDGE).select("id", "a").schema, ("id",), 2)
+    assert store.head() is None
+    for version in range(6):
+        rows = spark.createDataFrame([("k", version)], store.schema)
+        assert store.commit(rows, batch_id=version * 10) == version
+        assert store.head().version == version and store.head().batch_id == version * 10
+    assert store.read().first()["a"] == 5 and store.read(2).first()["a"] == 2
+
+
 def test_only_touched_buckets_are_rewritten(spark):
     pipeline = ChangePipeline(spark, work_dir(spark, "touch"), SPEC, m.SCHEMA, buckets=16)
     pipeline.process(frame(spark, [m.row(f"k{i}", i, "create", i, "x") for i in range(200)]), 0)
