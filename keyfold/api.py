@@ -20,12 +20,15 @@ from keyfold.functions.naming import NAMESPACE_DIGITS
 from keyfold.functions.rules import record_rules, with_status
 from keyfold.model import SYSTEM_FIELDS, Field, TableSpec, table_spec
 from keyfold.operators import feed as feeds, read, registry as reg
-from keyfold.operators.write import iso_utc, last_per_key
+from keyfold.operators.write import iso_utc
 from keyfold.sources.log import CREATE, DELETE, UPDATE, LogSpec
 from keyfold.sources.snapshot import Snapshot, path_exists
 from keyfold.streaming.pipeline import ChangePipeline
 
 KEY = "id"
+ORDER = "_order"
+#: bits of a position inside a batch; the batch number is above them
+ORDER_BITS = 36
 
 
 @dataclass(frozen=True)
@@ -36,8 +39,10 @@ class Result:
     rejected: DataFrame
 
 
-def _now() -> dt.datetime:
-    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+def _now() -> Column:
+    """The UTC time of the call as a literal, whatever time zone session and driver have."""
+    text = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None).isoformat(sep=" ")
+    return F.lit(text).cast("timestamp_ntz")
 
 
 class Database:
@@ -95,7 +100,7 @@ class Database:
         current = self.registry()
         statuses = reg.register(current, definitions, idempotent=if_absent)
         after = reg.registered(
-            current, definitions, statuses, F.lit(_now()).cast("timestamp_ntz"), table_id=F.col("table_id")
+            current, definitions, statuses, _now(), table_id=F.col("table_id")
         )
         outcome = statuses.orderBy("ordinal").collect()  # one row per requested table
         self._store.commit(after)
@@ -140,7 +145,7 @@ class Database:
         )
         schema = T.StructType([reg.SCHEMA[c] for c in (*reg.KEY, "fields", "subscriptions", "description")])
         updates = self.spark.createDataFrame([row], schema)
-        changed, rejected = reg.evolve(self.registry(), updates, F.lit(_now()).cast("timestamp_ntz"))
+        changed, rejected = reg.evolve(self.registry(), updates, _now())
         if not rejected.isEmpty():
             raise KeyError(f"no table {name!r}")
         self._store.commit(changed)
@@ -185,9 +190,12 @@ class Table:
 
     # --- reads ------------------------------------------------------------------
 
-    def records(self, version: int | None = None) -> DataFrame:
-        """All records in the current definition; fields added later are NULL in old ones."""
-        return self.pipeline.table(version).select(
+    def records(self, version: int | None = None, ids: DataFrame | None = None) -> DataFrame:
+        """All records in the current definition; fields added later are NULL in old ones.
+
+        ``ids`` limits the read to the buckets that can hold them.
+        """
+        return self.pipeline.table(version, ids).select(
             KEY,
             *[f.name for f in self.fields],
             iso_utc(F.col("created_at")).alias("createdAt"),
@@ -195,10 +203,12 @@ class Table:
         )
 
     def get(self, record_id: str) -> DataFrame:
-        return read.get(self.records(), KEY, record_id)
+        ids = self._frame([{KEY: record_id}], [KEY])
+        return read.get(self.records(ids=ids), KEY, record_id)
 
     def get_many(self, ids: DataFrame, column: str = KEY) -> DataFrame:
-        return read.batch_get(self.records(), ids, KEY, column)
+        wanted = ids.select(F.col(column).cast("string").alias(KEY))
+        return read.batch_get(self.records(ids=wanted), wanted, KEY)
 
     def list(self, filters: Mapping | None = None, limit: int | None = None, token: str | None = None,
              **options) -> DataFrame:
@@ -228,15 +238,22 @@ class Table:
         if isinstance(rows, DataFrame):
             return rows
         types = {KEY: T.StringType(), **{f.name: f.spark_type for f in self.fields}}
-        schema = T.StructType([T.StructField(n, types[n]) for n in names])
-        return self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
-
-    def _log(self, df: DataFrame, op: str, given: Sequence[str], batch: int) -> DataFrame:
+        schema = T.StructType(
+            [*[T.StructField(n, types[n]) for n in names], T.StructField(ORDER, T.LongType())]
+        )
+        values = [(*[r.get(n) for n in names], i) for i, r in enumerate(rows)]
+        return self.spark.createDataFrame(values, schema)
+
+    def _log(
+        self, df: DataFrame, op: str, given: Sequence[str], batch: int, order: str | None = None
+    ) -> DataFrame:
+        order = order or (ORDER if ORDER in df.columns else None)
+        position = F.lit(0) if order is None else F.col(order)
         types = {f.name: f.spark_type for f in self.fields}
         return df.select(
             F.col(KEY).cast("string").alias(KEY),
-            F.lit(batch).cast("bigint").alias("seq"),
-            F.lit(_now()).cast("timestamp_ntz").alias("ts"),
+            (F.lit(batch << ORDER_BITS).cast("bigint") + position).alias("seq"),
+            _now().alias("ts"),
             F.lit(op).alias("op"),
             *[
                 (F.col(n) if n in given else F.lit(None)).cast(types[n]).alias(n)
@@ -266,7 +283,8 @@ class Table:
     def create_many(self, rows: DataFrame | Sequence[Mapping], order: str | None = None) -> Result:
         """Create or replace records; bad ones are rejected with their first error.
 
-        With ``order`` the last row per id wins; without, ids are taken to be unique.
+        Rows given as a list are applied in order. A DataFrame in which ids repeat needs
+        ``order``, a column of positions below 2**36; without it one row per id counts.
         """
         df = self._frame(rows, [KEY, *self.log_spec.fields])
         given = [n for n in self.log_spec.fields if n in df.columns]
@@ -278,19 +296,18 @@ class Table:
         filled = good.withColumn(
             KEY, F.when(F.coalesce(F.col(KEY), F.lit("")) == "", F.expr("uuid()")).otherwise(F.col(KEY))
         )
-        if order is not None:
-            filled = last_per_key(filled, [KEY], order)
         batch = self._next_batch()
-        data = self._apply(self._log(filled, CREATE, given, batch), batch)
-        return Result(data, judged.filter("not ok"))
+        data = self._apply(self._log(filled, CREATE, given, batch, order), batch)
+        return Result(data, judged.filter("not ok").drop(ORDER))
 
     def create(self, record: Mapping) -> Result:
         return self.create_many([record])
 
-    def update_many(self, rows: DataFrame | Sequence[Mapping]) -> Result:
+    def update_many(self, rows: DataFrame | Sequence[Mapping], order: str | None = None) -> Result:
         """Merge the given fields; bad values and unknown ids are rejected.
 
         All rows give the same fields; the system fields are never taken from them.
+        Order as in :meth:`create_many`.
         """
         if not isinstance(rows, DataFrame):
             names = [n for n in self.log_spec.fields if any(n in r for r in rows)]
@@ -301,14 +318,15 @@ class Table:
         judged = with_status(rows, rules) if rules else rows.selectExpr(
             "*", "true as ok", "cast(null as string) error_field", "cast(null as string) error_rule"
         )
-        known = self.records().select(KEY)
         good = judged.filter("ok")
+        known = self.records(ids=good).select(KEY)
         unknown = good.join(known, KEY, "left_anti").withColumns(
             {"ok": F.lit(False), "error_field": F.lit(KEY), "error_rule": F.lit("not_found")}
         )
         rejected = judged.filter("not ok").unionByName(unknown.select(*judged.columns))
         batch = self._next_batch()
-        return Result(self._apply(self._log(good, UPDATE, given, batch), batch), rejected)
+        data = self._apply(self._log(good, UPDATE, given, batch, order), batch)
+        return Result(data, rejected.drop(ORDER))
 
     def update(self, record_id: str, changes: Mapping) -> Result:
         return self.update_many([{**changes, KEY: record_id}])
@@ -319,7 +337,7 @@ class Table:
             ids = self._frame([{KEY: i} for i in ids], [KEY])
         batch = self._next_batch()
         log = self._log(ids.select(KEY).distinct(), DELETE, [], batch)
-        return Result(self._apply(log, batch), ids.limit(0))
+        return Result(self._apply(log, batch), ids.select(KEY).limit(0))
 
     def delete(self, record_id: str) -> Result:
         return self.delete_many([record_id])
@@ -330,9 +348,9 @@ class Table:
         """Send events to the update channel without storing a record."""
         if not isinstance(events, DataFrame):
             names = [n for n in (KEY, *self.log_spec.fields) if any(n in e for e in events)]
-            events = self._frame(events, names)
+            events = self._frame(events, names).drop(ORDER)
         stamped = events.withColumns(
-            {"seq": F.lit(None).cast("bigint"), "ts": F.lit(_now()).cast("timestamp_ntz")}
+            {"seq": F.lit(None).cast("bigint"), "ts": _now()}
         )
         given = [n for n in self.log_spec.fields if n in events.columns]
         sent = feeds.publish(stamped, self.log_spec, given)

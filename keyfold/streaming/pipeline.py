@@ -100,9 +100,14 @@ class ChangePipeline:
             .start()
         )
 
-    def table(self, version: int | None = None) -> DataFrame:
-        """The live records of a version, with their system columns."""
-        return records(self.snapshot.read(version), self.spec, system_fields=True)
+    def table(self, version: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """The live records of a version, with their system columns.
+
+        With ``keys`` only the buckets these keys fall into are read.
+        """
+        store = self.snapshot
+        buckets = None if keys is None else store.touched(keys)
+        return records(store.read(version, buckets), self.spec, system_fields=True)
 
     def feed(self) -> DataFrame:
         return self.spark.read.parquet(self.feed_path)

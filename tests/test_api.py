@@ -109,6 +109,25 @@ def test_a_definition_changes_without_touching_records(spark, db, messages):
         db.update_table("nope", [Field("x")])
 
 
+def test_rows_of_one_request_apply_in_order(spark, db):
+    notes = db.create_table("notes", [{"name": "text"}, {"name": "n", "type": "Int"}])
+    made = notes.create_many([{"id": "a", "text": "1", "n": 1}, {"id": "a", "text": "2"}, {"id": "b"}])
+    assert made.data.count() == 3 and notes.count() == 2
+    assert notes.get("a").select("text", "n").first() == ("2", None)
+    notes.update_many([{"id": "a", "n": 5}, {"id": "a", "n": 6}])
+    assert notes.get("a").select("text", "n").first() == ("2", 6)
+    assert [r["new"]["n"] for r in notes.history("a").orderBy("seq").collect()][-2:] == [5, 6]
+    frame = spark.createDataFrame([("c", "x", 2), ("c", "y", 1)], "id string, text string, at long")
+    notes.create_many(frame, order="at")
+    assert notes.get("c").first()["text"] == "x"
+    many = notes.get_many(spark.createDataFrame([("a",), ("b",), ("b",), ("zz",)], "k string"), "k")
+    assert ids(many) == ["a", "b"]
+    # one key reads one bucket, and of it only the rows the pushed filter lets through
+    assert len(notes.get("a").inputFiles()) == 1 and len(notes.records().inputFiles()) > 1
+    metadata = db.table_metadata("notes").first()
+    assert metadata["type_name"] == f"T{db.tenant}_notes" and len(metadata["fields"]) == 5
+
+
 def test_tables_retire(spark, db):
     db.create_table("temporary", [Field("x", "Int")])
     db.delete_table("temporary")
