@@ -74,11 +74,13 @@ def find_slices(
     merged = hashed.groupBy(F.expr(f"spark_partition_id() % {MERGE_GROUPS}")).agg(
         F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k_accumulate(h, {TRACKED})").alias("s")
     )
-    top = merged.agg(
+    # grouped by a constant: sketches of an empty frame cannot be merged, no group can be empty
+    top = merged.groupBy(F.lit(1)).agg(
         F.sum("n").alias("n"),
         F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {TRACKED}), {REPORTED})").alias("top"),
     ).first()
-    large = {i["item"]: i["count"] for i in top["top"] or [] if i["count"] > group_rows}
+    found = [] if top is None else top["top"]
+    large = {i["item"]: i["count"] for i in found if i["count"] > group_rows}
     if not large:
         return None
     hot = tuple(sorted(large))

@@ -114,6 +114,16 @@ def test_random_logs(spark, seed, keys, cut):
     assert sorted(got) == sorted(events)
 
 
+def test_an_empty_log_changes_nothing(spark):
+    log = frame(spark, [])
+    assert feed.images(log, SPEC).count() == 0 and feed.accepted(log, SPEC).count() == 0
+    assert fold.fold(log, SPEC).count() == 0
+    state = fold.fold(frame(spark, EDGE), SPEC)
+    before = m.live(fold.records(state, SPEC, True))
+    assert m.live(fold.records(fold.advance(state, log, SPEC), SPEC, True)) == before
+    assert feed.images(log, SPEC, state).count() == 0
+
+
 def test_publish_rows_are_not_stored(spark):
     rows = [m.row("x", 1, "create", 1, "a"), m.row("x", 2, "publish", 5, "b", True, True)]
     log = frame(spark, rows)

@@ -41,6 +41,13 @@ def test_bulk_pages_have_no_gap_or_repeat(people, ranges):
     assert cursor_value(pages[0]["next_token"], "id") == "p029"
 
 
+def test_an_empty_table_has_no_pages(people):
+    empty = people.filter("n < 0")
+    assert read.bulk_pages(empty, "id", 30, 4).count() == 0
+    assert read.page_index(empty, "id", 30, 4).count() == 0
+    assert read.count(empty).first()["n"] == 0
+
+
 def test_limits_and_tokens(people):
     assert read.list_records(people, "id").count() == 50
     assert read.list_records(people, "id", limit=1000).count() == 100
