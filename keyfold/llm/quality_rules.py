@@ -29,35 +29,41 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def repeated_words(words: Column, n: Column) -> Column:
-    """How many words lie in a 3-word window that occurs twice or more.
+def with_repeated_words(own: DataFrame) -> DataFrame:
+    """Adds ``n_repeat_words``: the words in a 3-word window that occurs twice or more.
 
     Windows are hashed with their place. After a sort, a window is repeated if a neighbour has
-    its hash; the places that repeated windows cover are counted once each.
+    its hash; the places that repeated windows cover are counted once each. A set of hashes
+    shows first, without a sort, whether there is any. Each step is a column of its own, as a
+    lambda would compute an expression anew for every element.
     """
-    windows = F.transform(
-        F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2])
+    n = F.col("n")
+    own = own.withColumn(
+        "windows",
+        F.when(n >= 3, F.transform(
+            F.sequence(F.lit(0), n - 3),
+            lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)),
+        )),
+    )
+    own = own.withColumn(
+        "places",
+        F.when(
+            F.size(F.array_distinct("windows")) < F.size("windows"),
+            F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+        ),
     )
-    places = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    last = n - 3
-    repeated = F.filter(
+    own = own.withColumn(
+        "repeated",
         F.transform(
-            places,
-            lambda p, k: F.when(
-                ((k > 0) & (F.get(places, k - 1)["h"] == p["h"])) | ((k < last) & (F.get(places, k + 1)["h"] == p["h"])),
-                p["i"],
+            F.filter(
+                "places",
+                lambda p, k: F.get("places", k - 1)["h"].eqNullSafe(p["h"]) | F.get("places", k + 1)["h"].eqNullSafe(p["h"]),
             ),
+            lambda p: p["i"],
         ),
-        lambda i: i.isNotNull(),
-    )
-    covered = F.array_distinct(F.flatten(F.transform(repeated, lambda i: F.array(i, i + 1, i + 2))))
-    # most texts have no repeated window, which a set of hashes shows without a sort
-    return (
-        F.when(n < 3, 0)
-        .when(F.size(F.array_distinct(windows)) == F.size(windows), 0)
-        .otherwise(F.size(covered))
-        .cast("long")
     )
+    covered = F.array_distinct(F.flatten(F.transform("repeated", lambda i: F.array(i, i + 1, i + 2))))
+    return own.withColumn("n_repeat_words", F.coalesce(F.size(covered).cast("long"), F.lit(0).cast("long")))
 
 
 def statistics(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -69,7 +75,8 @@ def statistics(docs: DataFrame, host: str = "source") -> DataFrame:
     own = docs.select(F.col("doc_id"), F.col(host).cast("string").alias("host"), text.alias("text"))
     own = own.withColumn("words", words_of(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
-    own = own.withColumns({"n": F.size("words"), "lines": lines})
+    own = with_repeated_words(own.withColumns({"n": F.size("words"), "lines": lines}))
+
     def normal(x: Column) -> Column:
         return F.trim(F.regexp_replace(F.translate(x, _UPPER, _LOWER), SPACE, " "))
 
@@ -82,7 +89,7 @@ def statistics(docs: DataFrame, host: str = "source") -> DataFrame:
         F.length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words"), F.col("n")).alias("n_repeat_words"),
+        "n_repeat_words",
         hashed.alias("lines"),
     )
 
@@ -147,7 +154,7 @@ def oracle_sql() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
-  list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
 t AS (SELECT i, k, words[k] || ' ' || words[k + 1] || ' ' || words[k + 2] AS g
   FROM (SELECT i, words, unnest(range(1, len(words) - 1)) AS k FROM w WHERE len(words) >= 3)),
 r AS (SELECT i, count(DISTINCT p) AS n_repeat_words FROM
