@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyfold.llm import packing, quality_rules, url_filter
+from keyfold.llm import jaccard_join, packing, quality_rules, url_filter
 
 
 def tokenizer_path() -> str:
@@ -20,6 +20,10 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.components(_read(spark, folder, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(_read(spark, folder, "documents"))
 
@@ -34,6 +38,7 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_jaccard_join": op4_jaccard_join,
         "op6_quality_rules": op6_quality_rules,
         "op7_packing": op7_packing,
         "op10_url_filter": op10_url_filter,
