@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyfold.llm import jaccard_join, packing, quality_rules, url_filter
+from keyfold.llm import decontaminate, jaccard_join, packing, quality_rules, url_filter
 
 
 def tokenizer_path() -> str:
@@ -24,6 +24,10 @@ def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.components(_read(spark, folder, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(_read(spark, folder, "documents"))
 
@@ -39,6 +43,7 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_jaccard_join": op4_jaccard_join,
+        "op5_decontaminate": op5_decontaminate,
         "op6_quality_rules": op6_quality_rules,
         "op7_packing": op7_packing,
         "op10_url_filter": op10_url_filter,
@@ -47,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_decontaminate": decontaminate.oracle_sql(),
         "op6_quality_rules": quality_rules.oracle_sql(),
         "op10_url_filter": url_filter.oracle_sql(),
     }
