@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyfold.llm import decontaminate, jaccard_join, packing, quality_rules, substring_dedup, url_filter
+from keyfold.llm import decontaminate, jaccard_join, packing, quality_rules, substring_dedup, toxicity, url_filter
 
 
 def tokenizer_path() -> str:
@@ -40,6 +40,10 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_read(spark, folder, "documents"), tokenizer_path())
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.predictions(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(_read(spark, folder, "pages"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontaminate": op5_decontaminate,
         "op6_quality_rules": op6_quality_rules,
         "op7_packing": op7_packing,
+        "op9_toxicity": op9_toxicity,
         "op10_url_filter": op10_url_filter,
     }
 
