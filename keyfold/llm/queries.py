@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyfold.llm import decontaminate, jaccard_join, packing, quality_rules, substring_dedup, toxicity, url_filter
+from keyfold.llm import decontaminate, jaccard_join, packing, pii, quality_crf, quality_rules, substring_dedup, toxicity, url_filter
 
 
 def tokenizer_path() -> str:
@@ -24,6 +24,10 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.dedup(_read(spark, folder, "documents"))
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(_read(spark, folder, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.components(_read(spark, folder, "documents"))
 
@@ -40,6 +44,10 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_read(spark, folder, "documents"), tokenizer_path())
 
 
+def op8_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_crf.predictions(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.predictions(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
 
@@ -51,10 +59,12 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op3_pii": op3_pii,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_decontaminate": op5_decontaminate,
         "op6_quality_rules": op6_quality_rules,
         "op7_packing": op7_packing,
+        "op8_quality_crf": op8_quality_crf,
         "op9_toxicity": op9_toxicity,
         "op10_url_filter": op10_url_filter,
     }
