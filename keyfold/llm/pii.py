@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.llm._tagger import Tagger, symbols
@@ -287,9 +287,10 @@ def spans(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     return found.select("*", "_spans.base", "_spans.added").drop("_spans")
 
 
-def _ordered(base, added):
+def _ordered(base: Column, added: Column) -> Column:
     """Both lists as one, by start and then kind."""
-    def parts(c):
+
+    def parts(c: Column) -> Column:
         return F.transform(
             F.filter(F.split(c, ","), lambda x: x != ""),
             lambda x: F.struct(
@@ -309,12 +310,13 @@ def report(docs: DataFrame, tagger: Tagger | None = None, learn: bool = True) ->
     """
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     found = spans(own, train(own) if learn and tagger is None else tagger).drop("text")
-    counts = [
-        F.size(F.filter(F.split("base", ","), lambda x, k=kind: F.startswith(x, F.lit(k + ":")))).cast("long").alias(f"n_{kind}")
-        for kind in KINDS
-    ]
+
+    def count(kind: str) -> Column:
+        mine = F.filter(F.split("base", ","), lambda x: F.startswith(x, F.lit(f"{kind}:")))
+        return F.size(mine).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id", *counts,
+        "doc_id", *map(count, KINDS),
         F.sha2("base", 256).alias("base_sha256"),
         _ordered(F.col("base"), F.col("added")).alias("spans"),
         F.size(F.filter(F.split("added", ","), lambda x: x != "")).cast("long").alias("n_added"),
