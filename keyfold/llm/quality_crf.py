@@ -10,13 +10,13 @@ the labels by a regression on it, on its spread, and on the document's size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfold.llm._sample import held_out, labelled
@@ -214,12 +214,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = DOCS_PER_CLASS, m
     return model
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds ``score`` to all columns of ``docs``, over whole texts; a null text is empty.
-
-    A column ``score`` that is already there is replaced.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_of(model: Model, spark: SparkSession) -> Callable[[str], Column]:
+    """A function of a text column that gives the score of whole texts; a null text is empty."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -228,7 +225,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             parts = [shared.value.score(words) for _, _, words in each(column, "space")]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.withColumn("score", score(F.col("text").cast("string")))
+    return lambda name: score(F.col(name).cast("string"))
 
 
 def predictions(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -237,8 +234,8 @@ def predictions(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
     Without labels of both classes every document has the same score. Repeated rows are scored
     each; a null ``doc_id`` is not held out. An empty table gives an empty one.
     """
-    own = docs.select("doc_id", "text")
-    return scores(own, train(docs, labels)).select(
+    score = score_of(train(docs, labels), docs.sparkSession)("text").alias("score")
+    return docs.select("doc_id", score).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )

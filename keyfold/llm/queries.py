@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyfold.llm import decontaminate, jaccard_join, packing, pii, quality_crf, quality_rules, substring_dedup, toxicity, url_filter
+from keyfold.llm import decontaminate, html_extract, jaccard_join, packing, pii, quality_crf, quality_rules, substring_dedup, toxicity, url_filter
 
 
 def tokenizer_path() -> str:
@@ -24,6 +24,10 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.dedup(_read(spark, folder, "documents"))
 
 
+def op2_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract(_read(spark, folder, "pages"))
+
+
 def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(_read(spark, folder, "documents"))
 
@@ -59,6 +63,7 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_html_extract": op2_html_extract,
         "op3_pii": op3_pii,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_decontaminate": op5_decontaminate,
