@@ -12,9 +12,10 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(4, "keyfold-tests", **{"spark.driver.memory": "6g"})
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = local_session(
+        4, "keyfold-tests", **{"spark.driver.memory": "6g", "spark.checkpoint.dir": shared}
+    )
     yield session
     session.stop()
 
