@@ -43,6 +43,8 @@ COUNTERS = 1 << 20
 BLOCK = 1 << 14
 #: A list with more sets than this (by the sketch) is spread over several.
 HOT_LIST = 100_000
+#: Whole lists up to this length lose the rows that no other row of theirs can link with.
+SHORT_LIST = 16
 #: Bits that mark the sets to verify: 4 MB at any input size. More sets only let through sets that the join drops.
 MARKS = 1 << 25
 
@@ -185,33 +187,64 @@ def _rows(parts: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["token", "salt", "sig", "n", "pos"])
 
 
-def _with_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of lists that hold more than one set, or are one of several, each with the list's first set.
+def _useful(rows: np.ndarray, heads: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of whole short lists can link to another row of theirs, and each row's first such row.
 
-    Rows come ordered by list and place. Only the first row of a list is kept in memory.
+    Rows that no other row's size and place allow a link with are skipped here, before they
+    cost anything; a longer list keeps all of its rows.
+    """
+    keep = np.ones(rows.shape[1], dtype=bool)
+    lead = np.repeat(heads, sizes)
+    for size in range(2, SHORT_LIST + 1):
+        at = heads[(sizes == size) & (rows[1, heads] == 0)][:, None] + np.arange(size)
+        sig, n, pos = rows[2][at], rows[3][at], rows[4][at]
+        needed = -(-percent * (n[:, :, None] + n[:, None, :]) // (100 + percent))
+        fits = pos[:, :, None] <= n[:, :, None] - needed
+        some = (fits & fits.transpose(0, 2, 1) & (sig[:, :, None] != sig[:, None, :])).any(axis=2)
+        keep[at] = some
+        lead[at] = (at[:, 0] + some.argmax(axis=1))[:, None]
+    return keep, lead
+
+
+def _with_pivots(percent: int):
+    """Rows of lists that hold more than one set, or are one of several, each with the list's pivot.
+
+    Rows come ordered by list and place; the pivot is the first. Only the first row of a list that
+    goes on in the next batch is kept in memory.
     """
     names = ["token", "salt", "sig", "n", "pos"]
-    pivot, alone = None, False  # the open list's first row; whether it is still to be given out
-    for batch in batches:
-        rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
-        if not rows.shape[1]:
-            continue
-        if pivot is not None:
-            rows = np.concatenate([pivot, rows], axis=1)
-        new = np.ones(rows.shape[1], dtype=bool)
-        new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
-        heads = np.flatnonzero(new)
-        sizes = np.diff(np.append(heads, rows.shape[1]))
-        head_of = np.repeat(heads, sizes)
-        lead = rows[:, head_of]
-        out = ((np.repeat(sizes, sizes) > 1) | (rows[1] > 0)) & ((rows[2] != lead[2]) | new)
-        if pivot is not None and not alone:
-            out[0] = False
-        is_open = heads[-1]
-        alone = sizes[-1] == 1 and rows[1, is_open] == 0 and (is_open > 0 or pivot is None or alone)
-        pivot = rows[:, is_open : is_open + 1]
-        chosen = np.concatenate([rows[:, out], lead[2:, out]])
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in chosen], names=[*names, "p_sig", "p_n", "p_pos"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, alone = None, False  # the open list's first row; whether it is still to be given out
+        for batch in batches:
+            rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
+            if not rows.shape[1]:
+                continue
+            if pivot is not None:
+                rows = np.concatenate([pivot, rows], axis=1)
+            new = np.ones(rows.shape[1], dtype=bool)
+            new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
+            heads = np.flatnonzero(new)
+            sizes = np.diff(np.append(heads, rows.shape[1]))
+            # lists that this batch may not hold in full keep all of their rows
+            whole = slice(0 if pivot is None else 1, len(heads) - 1)
+            keep, first = np.ones(rows.shape[1], dtype=bool), np.repeat(heads, sizes)
+            if len(heads[whole]):
+                a, b = heads[whole][0], heads[-1]
+                keep[a:b], inner = _useful(rows[:, a:b], heads[whole] - a, sizes[whole], percent)
+                first[a:b] = inner + a
+            lead = rows[:, first]
+            is_lead = first == np.arange(len(first))
+            out = keep & ((np.repeat(sizes, sizes) > 1) | (rows[1] > 0)) & ((rows[2] != lead[2]) | is_lead)
+            if pivot is not None and not alone:
+                out[0] = False
+            is_open = heads[-1]
+            alone = sizes[-1] == 1 and rows[1, is_open] == 0 and (is_open > 0 or pivot is None or alone)
+            pivot = rows[:, is_open : is_open + 1]
+            chosen = np.concatenate([rows[:, out], lead[2:, out]])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in chosen], names=[*names, "p_sig", "p_n", "p_pos"])
+
+    return run
 
 
 def _compatible(n: Column, pos: Column, m: Column, other: Column, percent: int) -> Column:
@@ -328,7 +361,7 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, hot_list:
         .repartition("token", "salt")
         .sortWithinPartitions("token", "salt", "pos", "n", "sig")
         .mapInArrow(
-            _with_pivots,
+            _with_pivots(percent),
             "token long, salt long, sig long, n long, pos long, p_sig long, p_n long, p_pos long",
         )
     )
