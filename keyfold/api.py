@@ -20,13 +20,34 @@ from keyfold.functions.naming import NAMESPACE_DIGITS
 from keyfold.functions.rules import record_rules, with_status
 from keyfold.model import SYSTEM_FIELDS, Field, TableSpec, table_spec
 from keyfold.operators import feed as feeds, read, registry as reg
-from keyfold.operators.write import iso_utc
+from keyfold.operators.write import iso_utc, repeated
 from keyfold.sources.log import CREATE, DELETE, UPDATE, LogSpec
 from keyfold.sources.snapshot import Snapshot, path_exists
 from keyfold.streaming.pipeline import ChangePipeline
 
 KEY = "id"
 ORDER = "_order"
+#: names of the fields that a row of a list gives
+GIVEN = "_given"
+#: names of the fields whose value does not fit their type
+MISFIT = "_misfit"
+
+
+def _fits(value: object, dtype: T.DataType) -> bool:
+    """Whether a Python value can stand in a column of the type."""
+    if value is None:
+        return True
+    if isinstance(dtype, (T.IntegerType, T.LongType)):
+        return isinstance(value, int) and not isinstance(value, bool) and -(2**63) <= value < 2**63
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return isinstance(value, (int, float)) and not isinstance(value, bool)
+    if isinstance(dtype, T.BooleanType):
+        return isinstance(value, bool)
+    if isinstance(dtype, T.StringType):
+        return isinstance(value, str)
+    if isinstance(dtype, T.ArrayType):
+        return isinstance(value, (list, tuple)) and all(_fits(v, dtype.elementType) for v in value)
+    return True
 #: bits of a position inside a batch; the batch number is above them
 ORDER_BITS = 36
 
@@ -37,6 +58,8 @@ class Result:
 
     data: DataFrame
     rejected: DataFrame
+    #: one row per row of a list, by its position: position, id, ok, error_field, error_rule
+    outcome: DataFrame | None = None
 
 
 def _now() -> Column:
@@ -120,7 +143,8 @@ class Database:
         return reg.list_tables(self.registry(), self.tenant)
 
     def table_counts(self) -> DataFrame:
-        return reg.table_counts(self.registry())
+        """Tables of this tenant, counted."""
+        return reg.table_counts(self.registry().filter(F.col("tenant") == self.tenant))
 
     def table_schema(self, name: str) -> DataFrame:
         """The field dictionary of a table, system fields included."""
@@ -156,7 +180,8 @@ class Database:
         self._store.commit(reg.retire(self.registry(), self._row(name)))
 
     def subscription_rows(self) -> DataFrame:
-        return reg.subscription_rows(self.registry())
+        """Declared subscriptions of this tenant's tables."""
+        return reg.subscription_rows(self.registry().filter(F.col("tenant") == self.tenant))
 
     def table(self, name: str) -> "Table":
         found = self._row(name).first()
@@ -165,7 +190,8 @@ class Database:
         spec = TableSpec(
             name, tuple(Field(*f) for f in found["fields"]), found["description"]
         )
-        declared = [f["field"] for s in found["subscriptions"][:1] for f in s["filters"] or []]
+        # fields of all declared subscriptions, each once
+        declared = list(dict.fromkeys(f["field"] for s in found["subscriptions"] or [] for f in s["filters"] or []))
         return Table(self.spark, f"{self.root}/tables/{found['table_id']}", spec, declared)
 
 
@@ -235,13 +261,37 @@ class Table:
     # --- writes -----------------------------------------------------------------
 
     def _frame(self, rows: DataFrame | Sequence[Mapping], names: Sequence[str]) -> DataFrame:
+        """Rows in the types of their fields. A value that does not fit is NULL and named in ``MISFIT``."""
         if isinstance(rows, DataFrame):
-            return rows
+            found = [f for f in self.fields if f.name in rows.columns and rows.schema[f.name].dataType != f.spark_type]
+            if not found:
+                return rows
+            misfit = F.array_compact(
+                F.array(
+                    *[
+                        F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.spark_type).isNull(), F.lit(f.name))
+                        for f in found
+                    ]
+                )
+            )
+            return rows.withColumn(MISFIT, misfit).withColumns(
+                {f.name: F.col(f.name).try_cast(f.spark_type) for f in found}
+            )
         types = {KEY: T.StringType(), **{f.name: f.spark_type for f in self.fields}}
         schema = T.StructType(
-            [*[T.StructField(n, types[n]) for n in names], T.StructField(ORDER, T.LongType())]
+            [
+                *[T.StructField(n, types[n]) for n in names],
+                T.StructField(ORDER, T.LongType()),
+                T.StructField(GIVEN, T.ArrayType(T.StringType())),
+                T.StructField(MISFIT, T.ArrayType(T.StringType())),
+            ]
         )
-        values = [(*[r.get(n) for n in names], i) for i, r in enumerate(rows)]
+        values = []
+        for i, r in enumerate(rows):
+            misfit = [n for n in names if not _fits(r.get(n), types[n])]
+            own = [None if n in misfit else r.get(n) for n in names]
+            own = [float(v) if isinstance(types[n], T.DoubleType) and v is not None else v for n, v in zip(names, own)]
+            values.append((*own, i, [n for n in names if n in r], misfit))
         return self.spark.createDataFrame(values, schema)
 
     def _log(
@@ -259,9 +309,31 @@ class Table:
                 (F.col(n) if n in given else F.lit(None)).cast(types[n]).alias(n)
                 for n in self.log_spec.fields
             ],
-            *[F.lit(n in given or op == CREATE).alias(f"present_{n}") for n in self.log_spec.fields],
+            *[
+                (F.array_contains(GIVEN, n) if GIVEN in df.columns and op == UPDATE else F.lit(n in given or op == CREATE))
+                .alias(f"present_{n}")
+                for n in self.log_spec.fields
+            ],
         )
 
+    def _placed(self, judged: DataFrame, order: str | None) -> DataFrame:
+        """Rejects rows with misfitting values, positions out of range, and ids that repeat without any."""
+        if MISFIT in judged.columns:
+            bad = F.coalesce(F.size(MISFIT) > 0, F.lit(False))
+            reasons = {"ok": F.lit(False), "error_field": F.get(F.col(MISFIT), F.lit(0)), "error_rule": F.lit("type")}
+            judged = judged.withColumns({n: F.when(bad, c).otherwise(F.col(n)) for n, c in reasons.items()}).drop(MISFIT)
+        order = order or (ORDER if ORDER in judged.columns else None)
+        rejected = {"ok": F.lit(False), "error_field": F.lit(order or KEY), "error_rule": F.lit("position" if order else "repeated")}
+        if order:
+            fits = F.coalesce(F.col(order).between(0, (1 << ORDER_BITS) - 1), F.lit(False))
+            return judged.withColumns({n: F.when(F.col("ok") & ~fits, c).otherwise(F.col(n)) for n, c in rejected.items()})
+        twice = repeated(judged.filter(F.col("ok") & (F.coalesce(F.col(KEY).cast("string"), F.lit("")) != "")), [KEY])
+        marked = judged.join(twice.withColumn("_twice", F.lit(True)), KEY, "left")
+        again = F.coalesce("_twice", F.lit(False)) & F.col("ok")
+        return marked.withColumns(
+            {n: F.when(again, c).otherwise(F.col(n)) for n, c in rejected.items()}
+        ).select(*judged.columns)
+
     def _apply(self, log: DataFrame, batch: int) -> DataFrame:
         """Store the batch first: generated ids and stamps are fixed before they are used."""
         path = f"{self.root}/log/batch={batch}"
@@ -284,21 +356,34 @@ class Table:
         """Create or replace records; bad ones are rejected with their first error.
 
         Rows given as a list are applied in order. A DataFrame in which ids repeat needs
-        ``order``, a column of positions below 2**36; without it one row per id counts.
+        ``order``, a column of positions from 0 to below 2**36: rows out of that range are rejected,
+        and without ``order`` all rows of an id that repeats are.
         """
         df = self._frame(rows, [KEY, *self.log_spec.fields])
         given = [n for n in self.log_spec.fields if n in df.columns]
         if KEY not in df.columns:
             df = df.withColumn(KEY, F.lit(None).cast("string"))
         missing = {f.name: F.lit(None).cast(f.spark_type) for f in self.fields if f.name not in df.columns}
-        judged = with_status(df.withColumns(missing), record_rules(self.fields))
+        judged = self._placed(with_status(df.withColumns(missing), record_rules(self.fields)), order)
         good = judged.filter("ok")
         filled = good.withColumn(
             KEY, F.when(F.coalesce(F.col(KEY), F.lit("")) == "", F.expr("uuid()")).otherwise(F.col(KEY))
         )
         batch = self._next_batch()
         data = self._apply(self._log(filled, CREATE, given, batch, order), batch)
-        return Result(data, judged.filter("not ok").drop(ORDER))
+        return Result(data, judged.filter("not ok").drop(ORDER, GIVEN), self._outcome(judged, batch))
+
+    def _outcome(self, judged: DataFrame, batch: int) -> DataFrame | None:
+        """What became of every row of a list; the ids are those that were stored."""
+        if ORDER not in judged.columns:
+            return None
+        log = self.spark.read.schema(self.log_schema).parquet(f"{self.root}/log/batch={batch}")
+        made = log.select((F.col("seq") - (batch << ORDER_BITS)).alias("position"), F.col(KEY).alias("_id"))
+        return (
+            judged.select(F.col(ORDER).alias("position"), KEY, "ok", "error_field", "error_rule")
+            .join(made, "position", "left")
+            .select("position", F.coalesce("_id", KEY).alias(KEY), "ok", "error_field", "error_rule")
+        )
 
     def create(self, record: Mapping) -> Result:
         return self.create_many([record])
@@ -306,18 +391,25 @@ class Table:
     def update_many(self, rows: DataFrame | Sequence[Mapping], order: str | None = None) -> Result:
         """Merge the given fields; bad values and unknown ids are rejected.
 
-        All rows give the same fields; the system fields are never taken from them.
-        Order as in :meth:`create_many`.
+        Every row of a list gives its own fields, and those of a DataFrame all of its columns; the
+        system fields are never taken from them. Order as in :meth:`create_many`.
         """
         if not isinstance(rows, DataFrame):
             names = [n for n in self.log_spec.fields if any(n in r for r in rows)]
-            rows = self._frame(rows, [KEY, *names])
+        else:
+            names = []
+        rows = self._frame(rows, [KEY, *names])
         given = [n for n in self.log_spec.fields if n in rows.columns]
         declared = [f for f in self.fields if f.name in given]
-        rules = record_rules(declared, partial=True)
+        rules = record_rules(
+            declared,
+            partial=True,
+            present={n: F.array_contains(GIVEN, n) for n in given} if GIVEN in rows.columns else None,
+        )
         judged = with_status(rows, rules) if rules else rows.selectExpr(
             "*", "true as ok", "cast(null as string) error_field", "cast(null as string) error_rule"
         )
+        judged = self._placed(judged, order)
         good = judged.filter("ok")
         known = self.records(ids=good).select(KEY)
         unknown = good.join(known, KEY, "left_anti").withColumns(
@@ -326,7 +418,12 @@ class Table:
         rejected = judged.filter("not ok").unionByName(unknown.select(*judged.columns))
         batch = self._next_batch()
         data = self._apply(self._log(good, UPDATE, given, batch, order), batch)
-        return Result(data, rejected.drop(ORDER))
+        outcome = None
+        if ORDER in judged.columns:
+            failed = rejected.select(F.col(ORDER).alias("position"), KEY, "ok", "error_field", "error_rule")
+            done = judged.select(F.col(ORDER).alias("position"), KEY, "ok", "error_field", "error_rule")
+            outcome = done.join(failed.select("position"), "position", "left_anti").unionByName(failed)
+        return Result(data, rejected.drop(ORDER, GIVEN), outcome)
 
     def update(self, record_id: str, changes: Mapping) -> Result:
         return self.update_many([{**changes, KEY: record_id}])
@@ -334,7 +431,7 @@ class Table:
     def delete_many(self, ids: DataFrame | Sequence[str]) -> Result:
         """Remove records; ``data`` has them as they were. Unknown ids are no error."""
         if not isinstance(ids, DataFrame):
-            ids = self._frame([{KEY: i} for i in ids], [KEY])
+            ids = self._frame([{KEY: i} for i in ids], [KEY]).select(KEY)
         batch = self._next_batch()
         log = self._log(ids.select(KEY).distinct(), DELETE, [], batch)
         return Result(self._apply(log, batch), ids.select(KEY).limit(0))
@@ -348,7 +445,7 @@ class Table:
         """Send events to the update channel without storing a record."""
         if not isinstance(events, DataFrame):
             names = [n for n in (KEY, *self.log_spec.fields) if any(n in e for e in events)]
-            events = self._frame(events, names).drop(ORDER)
+            events = self._frame(events, names).drop(ORDER, GIVEN, MISFIT)
         stamped = events.withColumns(
             {"seq": F.lit(None).cast("bigint"), "ts": _now()}
         )

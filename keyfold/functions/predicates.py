@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from decimal import Decimal, InvalidOperation
 from functools import reduce
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -17,7 +19,44 @@ def typed_literal(value: object, dtype: T.DataType) -> Column:
 
 
 def typed_equal(df: DataFrame, name: str, value: object) -> Column:
-    return F.col(name) == typed_literal(value, df.schema[name].dataType)
+    return predicate(df, name, "eq", value)
+
+
+_BITS = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}
+
+
+def _against_integer(column: Column, operator: str, value: object, dtype: T.DataType) -> Column | None:
+    """A comparison of an integer column with any number, by exact integer bounds.
+
+    ``>= 3.5`` is ``>= 4``; a bound that no value of the type reaches decides for all
+    rows that have a value, and an equality that none can meet holds for none. None if the
+    value is no number, or an integer of the type.
+    """
+    try:
+        number = Decimal(str(value).strip())
+    except InvalidOperation:
+        return None
+    if isinstance(value, bool) or not number.is_finite():
+        return None
+    top = 2 ** _BITS[type(dtype)] - 1
+    given, nothing = column.isNotNull(), F.lit(False) & column.isNotNull()
+    if operator in ("eq", "ne"):
+        if number != number.to_integral_value() or not -top - 1 <= number <= top:
+            return nothing if operator == "eq" else given
+        bound = int(number)
+    elif operator in ("gt", "lte"):  # above, or not above, the integer below the number
+        bound = floor(number)
+        if bound > top:
+            return nothing if operator == "gt" else given
+        if bound < -top - 1:
+            return given if operator == "gt" else nothing
+    else:  # not below, or below, the integer above the number
+        bound = ceil(number)
+        if bound > top:
+            return nothing if operator == "gte" else given
+        if bound < -top - 1:
+            return given if operator == "gte" else nothing
+    return compare(column, operator, F.lit(bound).cast(dtype), dtype)
 
 
 def compare(column: Column, operator: str, value: Column, dtype: T.DataType) -> Column:
@@ -43,6 +82,10 @@ def predicate(df: DataFrame, field: str, operator: str, value: object) -> Column
     target = dtype.elementType if isinstance(dtype, T.ArrayType) else dtype
     if operator == "contains" and not isinstance(dtype, T.ArrayType):
         target = T.StringType()
+    if type(dtype) in _BITS and operator != "contains":
+        exact = _against_integer(F.col(field), operator, value, dtype)
+        if exact is not None:
+            return exact
     return compare(F.col(field), operator, typed_literal(value, target), dtype)
 
 

@@ -10,8 +10,12 @@ from pyspark.sql import Column, functions as F
 
 
 def cursor(key: str) -> Column:
-    """Cursor that continues after the row."""
-    return F.base64(F.encode(F.to_json(F.struct(F.col(key))), "UTF-8"))
+    """Cursor that continues after the row; times keep their microseconds."""
+    times = {
+        "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+        "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    }
+    return F.base64(F.encode(F.to_json(F.struct(F.col(key)), times), "UTF-8"))
 
 
 def cursor_value(token: str | None, key: str) -> object | None:

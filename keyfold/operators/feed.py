@@ -101,6 +101,11 @@ def payload(feed: DataFrame, spec: LogSpec) -> DataFrame:
     )
 
 
+def event_of(op: Column) -> Column:
+    """The channel of an event: published events go to the update channel."""
+    return F.when(op == PUBLISH, UPDATE).otherwise(op)
+
+
 def subscribe(
     feed: DataFrame,
     event: str,
@@ -115,7 +120,7 @@ def subscribe(
     A filter without a value constrains nothing, and where filter fields are declared
     others are ignored. With ``listener`` the listener's own events are left out.
     """
-    chosen = feed.filter(F.col(event_column) == event)
+    chosen = feed.filter(event_of(F.col(event_column)) == event)
     for name, value in (filters or {}).items():
         if value is None or (declared is not None and name not in declared):
             continue

@@ -40,6 +40,11 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     )
 
 
+def repeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that several rows have; counted in every task before anything is sent."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*keys)
+
+
 def put(
     base: DataFrame, incoming: DataFrame, keys: Sequence[str], order: str | None = None
 ) -> Written:
@@ -91,35 +96,53 @@ def update(
     present: Mapping[str, Column] | None = None,
     stamp: Mapping[str, Column] | None = None,
     immutable: Sequence[str] = ("createdAt",),
+    order: str | None = None,
 ) -> Written:
     """Merge the given fields into existing records; absent keys are rejected.
 
     ``present`` says per field where a value was given (so NULL can be one); without
-    it every column of ``updates`` counts as given. ``updates`` has one row per key.
+    it every column of ``updates`` counts as given. With ``order`` the last row of a key
+    counts; without it, rows that share a key are rejected, as none of them is the right one.
     """
     present = present or {}
-    given = [
-        c
-        for c in base.columns
-        if c in updates.columns and c not in keys and c not in immutable and not c.startswith("_")
-    ]
-    changes = updates.select(
-        *keys,
-        F.lit(True).alias("_hit"),
-        *[F.col(c).alias(f"_to_{c}") for c in given],
-        *[present.get(c, F.lit(True)).alias(f"_has_{c}") for c in given],
+    given = [c for c in base.columns if c in updates.columns and c not in keys and c not in immutable]
+    # one struct holds the change, under a name that no column of the table has
+    change = _free("_change", base.columns)
+    single = F.struct(
+        *[F.col(c).alias(f"to_{i}") for i, c in enumerate(given)],
+        *[present.get(c, F.lit(True)).alias(f"has_{i}") for i, c in enumerate(given)],
+        F.lit(True).alias("hit"),
+    )
+    shaped = updates.select(*keys, single.alias(change), (F.col(order) if order else F.lit(0)).alias(_free("_at", [*keys, change])))
+    at = shaped.columns[-1]
+    grouped = shaped.groupBy(*keys).agg(
+        F.max_by(change, at).alias(change), F.count(F.lit(1)).alias(at)
     )
-    hit = F.coalesce(F.col("_hit"), F.lit(False))
-    stamps = {n: F.when(hit, c).otherwise(F.col(n)) for n, c in (stamp or {}).items()}
-    merged = {c: F.when(F.col(f"_has_{c}"), F.col(f"_to_{c}")).otherwise(F.col(c)) for c in given}
-    merged.update(stamps)
+    changes = (grouped if order else grouped.filter(F.col(at) == 1)).drop(at)
+    hit = F.coalesce(F.col(change)["hit"], F.lit(False))
+    merged = {
+        c: F.when(F.col(change)[f"has_{i}"], F.col(change)[f"to_{i}"]).otherwise(F.col(c))
+        for i, c in enumerate(given)
+    }
+    merged.update({n: F.when(hit, c).otherwise(F.col(n)) for n, c in (stamp or {}).items()})
     table = base.join(changes, list(keys), "left").select(
         *[merged[c].alias(c) if c in merged else F.col(c) for c in base.columns]
     )
     refused = updates.join(base.select(*keys), list(keys), "left_anti").select(*updates.columns)
+    if not order:
+        twice = updates.join(repeated(updates, keys), list(keys), "left_semi").select(*updates.columns)
+        refused = refused.join(repeated(updates, keys), list(keys), "left_anti").select(*updates.columns)
+        refused = refused.unionByName(twice)
     return Written(table, rejected=refused)
 
 
+def _free(name: str, taken: Sequence[str]) -> str:
+    """The name, with as many marks before it as no taken name has."""
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def update_expr(
     base: DataFrame,
     sets: Mapping[str, Column],
@@ -130,12 +153,19 @@ def update_expr(
     """Update by expressions over the record and, with ``using``, one row of arguments.
 
     Only records that meet the condition (and have arguments) change; ``new`` holds
-    them as they are afterwards.
+    them as they are afterwards. A key with several rows of arguments has none.
     """
     joined = base
     hit = F.lit(True)
     if using is not None:
-        joined = base.join(using.withColumn("_hit", F.lit(True)), list(keys), "left")
+        rest = [c for c in using.columns if c not in keys]
+        single = (
+            using.groupBy(*keys)
+            .agg(F.first(F.struct(F.lit(True).alias("_hit"), *rest)).alias("_row"), F.count(F.lit(1)).alias("_n"))
+            .filter("_n = 1")
+            .select(*keys, "_row.*")
+        )
+        joined = base.join(single, list(keys), "left")
         hit = F.coalesce(F.col("_hit"), F.lit(False))
     if condition is not None:
         hit = hit & F.coalesce(condition, F.lit(False))

@@ -149,6 +149,19 @@ def fanout(s, d):
     return pairs.select("seq", "sub_id")
 
 
+def fanout_channel(s, d):
+    """The whole channel: stored changes and published events, to everyone who wants them."""
+    published = _published(s, d).withColumn("props", F.lit(None).cast("string"))
+    channel = payload_of(s, d).unionByName(published)
+    pairs = fan.fanout(channel, _topics(s, d), FIELDS, author_column="id")
+    return pairs.select("seq", "op", "sub_id")
+
+
+def delivery_counts_own(s, d):
+    """Deliveries per subscription without the subscriber's own events."""
+    return fan.delivery_counts(payload_of(s, d), _topics(s, d), FIELDS, author_column="id")
+
+
 def delivery_counts(s, d):
     return fan.delivery_counts(payload_of(s, d), _topics(s, d), FIELDS)
 
@@ -157,7 +170,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         accepted, images, sub_create, sub_update, sub_delete, sub_update_filtered, edit_history,
-        publish_events, publish_union, own_excluded, fanout, delivery_counts,
+        publish_events, publish_union, own_excluded, fanout, fanout_channel, delivery_counts,
+        delivery_counts_own,
     )
 }
 
@@ -204,6 +218,16 @@ ORACLES = {
     select o_custkey, o_orderkey, o_totalprice, null, 'publish' from orders where o_orderstatus = 'P'""",
     "own_excluded": "select * from conversations where role <> 'user'",
     "fanout": _SUBS + " select seq, sub_id from pairs where not own",
+    "fanout_channel": _SUBS
+    + """, ev as (select id, seq, op, op as event, value, props from pay
+               union all select o_custkey, o_orderkey, 'publish', 'update', o_totalprice, null
+                         from orders where o_orderstatus = 'P')
+    select seq, op, sub_id from ev join subs using (event)
+    where id <> owner and (f_id is null or f_id = id) and (f_props is null or f_props = props)
+      and (f_min is null or value > f_min) and (f_has is null or contains(props, f_has))""",
+    "delivery_counts_own": _SUBS
+    + """ select sub_id, coalesce(n, 0) as events from subs
+          left join (select sub_id, count(*) n from pairs where not own group by 1) using (sub_id)""",
     "delivery_counts": _SUBS
     + """ select sub_id, coalesce(n, 0) as events from subs
           left join (select sub_id, count(*) n from pairs group by 1) using (sub_id)""",

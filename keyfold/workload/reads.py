@@ -33,12 +33,46 @@ def _orders(spark, d):
     return table(spark, d, "orders")
 
 
+def _micros(spark, d):
+    """Orders with a time of their own, a microsecond apart."""
+    return _orders(spark, d).select(
+        "o_orderkey", F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("o_orderkey")).alias("at")
+    )
+
+
+def _micros_token(spark, d):
+    """The cursor behind the first 40 of them."""
+    return read.page(_micros(spark, d), "at", limit=40).first()["next_token"]
+
+
+FRACTIONS = [
+    {"field": "o_orderkey", "operator": "gte", "value": 3.5},
+    {"field": "o_orderkey", "operator": "lt", "value": "1200.5"},
+    {"field": "o_custkey", "operator": "gt", "value": 9.99},
+    {"field": "o_custkey", "operator": "lte", "value": 140.2},
+]
+
 QUERIES = {
     "scan_table": lambda s, d: scan(s, f"{d}/orders.parquet", ORDERS),
     "scan_filter": lambda s, d: read.scan(
         table(s, d, "events"), EVENT_FILTERS, fields=["event_id", "user_id", "value"]
     ),
     "filter_ops": lambda s, d: read.scan(table(s, d, "events"), EVENT_FILTERS, fields=["event_id"]),
+    "filter_fractional": lambda s, d: read.scan(
+        _orders(s, d), FRACTIONS, fields=["o_orderkey", "o_custkey"]
+    ),
+    "filter_out_of_range": lambda s, d: read.scan(
+        _orders(s, d),
+        [
+            {"field": "o_custkey", "operator": "lt", "value": 2**70},
+            {"field": "o_orderkey", "operator": "ne", "value": "7.5"},
+            {"field": "o_orderkey", "operator": "gt", "value": -1e30},
+        ],
+        fields=["o_orderkey"],
+    ),
+    "page_by_timestamp": lambda s, d: read.page(
+        _micros(s, d), "at", token=_micros_token(s, d), limit=40
+    ).select("o_orderkey", F.unix_micros("at").alias("at_us"), "page_count"),
     "record_get": lambda s, d: read.get(_orders(s, d), "o_orderkey", 7),
     "record_batch_get": lambda s, d: read.batch_get(
         _orders(s, d),
@@ -97,6 +131,14 @@ ORACLES = {
     "scan_table": "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders",
     "scan_filter": f"select event_id, user_id, value from events where {_FILTER}",
     "filter_ops": f"select event_id from events where {_FILTER}",
+    "filter_fractional": "select o_orderkey, o_custkey from orders where o_orderkey >= 3.5 and o_orderkey < 1200.5 "
+    "and o_custkey > 9.99 and o_custkey <= 140.2",
+    "filter_out_of_range": "select o_orderkey from orders where o_custkey is not null and o_orderkey is not null",
+    "page_by_timestamp": """
+        with p as (select o_orderkey, row_number() over (order by o_orderkey) rn from orders)
+        select o_orderkey, 1700000000000000 + o_orderkey as at_us,
+               (select count(*) from p where rn between 41 and 80) as page_count
+        from p where rn between 41 and 80""",
     "record_get": "select * from orders where o_orderkey=7",
     "record_batch_get": "select * from orders where o_orderkey in "
     "(select l_orderkey from lineitem where l_quantity>=50)",

@@ -124,6 +124,26 @@ def update_partial(s, d):
     return write.update(table(s, d, "customer"), updates, [C], present).table
 
 
+def update_mixed(s, d):
+    """Every row gives its own field, and some an explicit NULL; the last row of a key counts."""
+    status = F.col("o_orderstatus")
+    updates = table(s, d, "orders").select(
+        F.col("o_custkey").alias(C),
+        F.when(status != "P", F.col("o_totalprice")).alias("c_acctbal"),
+        F.col("o_orderpriority").alias("c_mktsegment"),
+        status,
+        "o_orderkey",
+    )
+    present = {"c_acctbal": status.isin("F", "P"), "c_mktsegment": status == "O"}
+    return write.update(table(s, d, "customer"), updates, [C], present, order="o_orderkey").table
+
+
+def update_repeated_keys(s, d):
+    """Rows that share a key change nothing; those alone on theirs do."""
+    updates = table(s, d, "orders").select(F.col("o_custkey").alias(C), F.col("o_totalprice").alias("c_acctbal"))
+    return write.update(table(s, d, "customer"), updates, [C]).table
+
+
 def update_rejected(s, d):
     updates = _order_updates(s, d, "s_suppkey", "s_acctbal")
     return write.update(table(s, d, "supplier"), updates, ["s_suppkey"]).rejected
@@ -230,7 +250,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         put_upsert, create_many, create_many_status, put_if_absent, put_if_rejected, put_conditional,
-        update_partial, update_rejected, update_expr, delete_old_image, delete_survivors, batch_write,
+        update_partial, update_mixed, update_repeated_keys, update_rejected, update_expr, delete_old_image, delete_survivors, batch_write,
         seed_table, materialize_table, put_versions, snapshot_fold, system_fields, tombstones,
         fold_incremental,
     )
@@ -298,6 +318,17 @@ ORACLES = {
     select c_custkey, c_name, c_nationkey, coalesce(bal, c_acctbal) as c_acctbal,
            coalesce(seg, c_mktsegment) as c_mktsegment
     from customer left join u on o_custkey = c_custkey""",
+    "update_mixed": """
+    with u as (select o_custkey, arg_max(o_orderstatus, o_orderkey) st, arg_max(o_totalprice, o_orderkey) p,
+                 arg_max(o_orderpriority, o_orderkey) pr from orders group by o_custkey)
+    select c_custkey, c_name, c_nationkey,
+           case when st = 'F' then p when st = 'P' then null else c_acctbal end as c_acctbal,
+           case when st = 'O' then pr else c_mktsegment end as c_mktsegment
+    from customer left join u on o_custkey = c_custkey""",
+    "update_repeated_keys": """
+    with u as (select o_custkey, max(o_totalprice) p from orders group by o_custkey having count(*) = 1)
+    select c_custkey, c_name, c_nationkey, coalesce(p, c_acctbal) as c_acctbal, c_mktsegment
+    from customer left join u on o_custkey = c_custkey""",
     "update_rejected": """
     select o_custkey as s_suppkey,
            arg_max(o_totalprice, o_orderkey) filter (where o_orderstatus = 'F') as s_acctbal

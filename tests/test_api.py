@@ -128,6 +128,43 @@ def test_rows_of_one_request_apply_in_order(spark, db):
     assert metadata["type_name"] == f"T{db.tenant}_notes" and len(metadata["fields"]) == 5
 
 
+def test_no_row_of_a_request_is_lost(spark, db):
+    rows = db.create_table("rows", [{"name": "a", "type": "Int"}, {"name": "b", "type": "Int"}, {"name": "_note"}])
+    made = rows.create_many([{"id": "1", "a": 1, "b": 2, "_note": "n"}, {"id": "2", "a": 3, "b": "x"}, {"a": 4, "b": 4}])
+    outcome = made.outcome.orderBy("position").collect()
+    assert [r["ok"] for r in outcome] == [True, False, True]
+    assert (outcome[1]["id"], outcome[1]["error_field"], outcome[1]["error_rule"]) == ("2", "b", "type")
+    assert outcome[2]["id"] in ids(rows.records())
+
+    # every row gives its own fields
+    rows.create({"id": "2", "a": 3, "b": 4})
+    changed = rows.update_many([{"id": "1", "a": 5}, {"id": "2", "b": 6}, {"id": "9", "a": 1}, {"id": "1", "_note": None}])
+    assert [r["ok"] for r in changed.outcome.orderBy("position").collect()] == [True, True, False, True]
+    assert rows.get("1").select("a", "b", "_note").first() == (5, 2, None)
+    assert rows.get("2").select("a", "b").first() == (3, 6)
+
+    # positions out of range, repeated ids without any, and values that don't fit
+    frame = spark.createDataFrame([("p", 1, 2**50), ("q", 2, -1), ("r", 3, None), ("s", 4, 7)], "id string, a int, at long")
+    assert sorted(r["id"] for r in rows.create_many(frame, order="at").rejected.collect()) == ["p", "q", "r"]
+    twice = spark.createDataFrame([("t", 1), ("t", 2), ("u", 3)], "id string, a int")
+    assert {(r["id"], r["error_rule"]) for r in rows.create_many(twice).rejected.collect()} == {("t", "repeated")}
+    assert rows.get("u").first()["a"] == 3 and rows.get("t").count() == 0
+    typed = spark.createDataFrame([("v", "12"), ("w", "x")], "id string, a string")
+    assert [(r["id"], r["error_rule"]) for r in rows.create_many(typed).rejected.collect()] == [("w", "type")]
+    assert rows.get("v").first()["a"] == 12
+    rows.update("s", {"a": 8})
+    assert rows.get("s").first()["a"] == 8
+
+
+def test_all_declared_subscriptions_count_and_tenants_are_apart(spark, db):
+    filters = [([("a", "String", None, None)],), ([("b", "String", None, None)],)]
+    assert db.create_table("declared", [{"name": "a"}, {"name": "b"}], filters).declared == ["a", "b"]
+    other = Database(spark, db.root, "third-key")
+    other.create_table("mine", [{"name": "x"}])
+    assert other.table_counts().count() == 1 and not {"mine"} & {r["table_name"] for r in db.list_tables().collect()}
+    assert other.subscription_rows().filter(F.col("tenant") != other.tenant).count() == 0
+
+
 def test_tables_retire(spark, db):
     db.create_table("temporary", [Field("x", "Int")])
     db.delete_table("temporary")
