@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,17 +14,32 @@ def held_out(doc_id: Column) -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: int, max_chars: int) -> list[tuple[str, int]]:
     """At most ``per_class`` texts of each class with labels, chosen by a hash of the id.
 
-    Only rows outside of the held-out fold count. Texts above ``max_chars`` are left out of the
-    sample, so that its size is bounded; null texts, ids and labels are too.
+    Only rows outside of the held-out fold count. First, twice as many labels are drawn; the few
+    drawn ids are then looked up in the documents, which stay where they are. Texts above
+    ``max_chars`` are left out of the sample, so that its size is bounded; null texts, ids and
+    labels are too. Of documents that repeat an id, one counts.
     """
-    own = labels.select(F.col("doc_id").alias("_id"), F.col(column).cast("int").alias("label")).where(
-        ~held_out(F.col("_id")) & F.col("label").isin(0, 1)
+    own = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(column).cast("int").alias("label")).where(
+        ~held_out(F.col("_id")) & F.col("_id").isNotNull() & F.col("label").isin(0, 1)
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    found = texts.where((F.length("text") <= max_chars) & ~held_out(F.col("_id"))).join(own.distinct(), "_id")
 
-    def some(label: int) -> DataFrame:
-        ordered = found.where(F.col("label") == label).orderBy(F.xxhash64("_id"), "_id", F.xxhash64("text"))
-        return ordered.limit(per_class).select("text", "label")
+    def drawn(label: int) -> DataFrame:
+        return own.where(F.col("label") == label).orderBy(F.xxhash64("_id"), "_id").limit(2 * per_class)
 
-    return [(r["text"], r["label"]) for r in reduce(DataFrame.union, [some(0), some(1)]).collect()]
+    chosen = drawn(0).union(drawn(1)).groupBy("_id").agg(F.min("label").alias("label"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    found = (
+        texts.where(F.length("text") <= max_chars)
+        .join(F.broadcast(chosen), "_id")  # at most 4 * per_class rows of two numbers
+        .groupBy("_id", "label")
+        .agg(F.min("text").alias("text"))
+        .orderBy(F.xxhash64("_id"), "_id")
+        .select("text", "label")
+    )
+    out: list[tuple[str, int]] = []
+    taken = {0: 0, 1: 0}
+    for row in found.collect():
+        if taken[row["label"]] < per_class:
+            taken[row["label"]] += 1
+            out.append((row["text"], row["label"]))
+    return out
