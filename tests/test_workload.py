@@ -6,8 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from keyfold import workload
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = workload.queries(), workload.oracle_sql()
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
          "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 
@@ -27,6 +28,7 @@ def test_every_query_has_an_oracle():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def cell(value):
