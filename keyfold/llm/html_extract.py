@@ -28,6 +28,8 @@ from keyfold.llm.url_filter import host_of
 MIN_PAGES = 3
 MIN_SHARE = 0.2
 MAX_TEXT = 0.4
+#: A host's pages meet its template in this many groups.
+SALTS = 64
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title iframe noscript xmp noembed noframes".split())
@@ -317,10 +319,11 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
                 out.append(main_text(page or "", known[key]))
             yield pd.Series(out, dtype=object)
 
-    own = pages.select(
-        "page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("host")
-    )
-    found = own.join(templates(pages, min_pages, min_share), "host", "left")
+    html, url = F.col("html").cast("string").alias("html"), F.col("url").cast("string")
+    salt = F.pmod(F.hash("page_id", url, html), F.lit(SALTS)).alias("salt")
+    own = pages.select("page_id", "url", html, host_of(url).alias("host"), salt)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    found = own.join(templates(pages, min_pages, min_share).withColumn("salt", salts), ["host", "salt"], "left")
     return found.select("page_id", "url", text_of("html", "template").alias("text")).withColumn(
         "n_chars", F.length("text").cast("long")
     )
