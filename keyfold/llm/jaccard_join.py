@@ -403,8 +403,9 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, hot_list:
     members = stored(members.join(open_, "token", "left_semi").join(heads, ["sig", "p_sig"]), "members")
     # the group that most of an open list is in needs no look within itself
     sizes = members.groupBy("token", "own").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("token").agg(F.max_by("own", F.struct("n", "own")).alias("main"))
-    left = members.join(main, "token").where("own <> main").drop("main")
+    # both are stored, so that a hot shingle's rows are only ever joined, and Spark can split them
+    main = stored(sizes.groupBy("token").agg(F.max_by("own", F.struct("n", "own")).alias("main")), "main")
+    left = stored(members.join(main, "token").where("own <> main").drop("main"), "left")
     x, y = left.alias("x"), members.alias("y")
     c = F.col
     same = c("x.p_sig") == c("y.p_sig")
