@@ -27,10 +27,21 @@ MANIFEST = T.StructType(
         T.StructField("bucket", T.IntegerType()),
         T.StructField("version", T.LongType()),
         T.StructField("batch_id", T.LongType()),
+        T.StructField("attempt", T.StringType()),
+        T.StructField("buckets", T.IntegerType()),
     ]
 )
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder; its files keep their names, so a stream reads each of them once."""
+    here, there = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    system = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(there.getParent())
+    if not system.rename(here, there):
+        raise OSError(f"cannot move {source} to {target}")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether the path exists, on whatever file system its scheme names."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -82,7 +93,7 @@ class Snapshot:
     def version(self, number: int) -> "Head":
         rows = self.spark.read.schema(MANIFEST).parquet(self._manifest(number)).collect()
         held = {r["bucket"]: r["version"] for r in rows if r["bucket"] is not None}
-        return Head(number, rows[0]["batch_id"], held)
+        return Head(number, rows[0]["batch_id"], held, rows[0]["attempt"], rows[0]["buckets"])
 
     def _file_of(self) -> Column:
         """Which of a bucket's files a row goes to; spreads one bucket over several tasks."""
@@ -91,8 +102,10 @@ class Snapshot:
 
     # --- reads ----------------------------------------------------------------
 
-    def bucket_of(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+    def bucket_of(self, head: "Head | None" = None) -> Column:
+        """The bucket of a row. A table keeps the number of buckets it was made with."""
+        count = head.buckets if head is not None and head.buckets else self.buckets
+        return F.pmod(F.xxhash64(*self.keys), F.lit(count)).cast("int")
 
     def read(
         self,
@@ -115,9 +128,9 @@ class Snapshot:
 
     # --- commits --------------------------------------------------------------
 
-    def touched(self, changes: DataFrame) -> list[int]:
+    def touched(self, changes: DataFrame, head: "Head | None" = None) -> list[int]:
         """The buckets the keys of ``changes`` fall into, at most ``buckets`` numbers."""
-        found = changes.select(self.bucket_of().alias("b")).distinct().collect()
+        found = changes.select(self.bucket_of(head or self.head()).alias("b")).distinct().collect()
         return sorted(r["b"] for r in found)
 
     def commit(
@@ -126,14 +139,17 @@ class Snapshot:
         buckets: Sequence[int] | None = None,
         batch_id: int = -1,
         head: "Head | None" = None,
+        attempt: str | None = None,
     ) -> int:
         """Write ``rows`` as the new content of ``buckets`` (all when None).
 
-        ``rows`` must hold every row of these buckets. Returns the new version.
+        ``rows`` must hold every row of these buckets. The manifest names the ``attempt`` that
+        made it. Returns the new version.
         """
         head = head or self.head()
         version = 0 if head is None else head.version + 1
-        placed = rows.select(*self.schema.names).withColumn(BUCKET, self.bucket_of())
+        count = head.buckets if head is not None and head.buckets else self.buckets
+        placed = rows.select(*self.schema.names).withColumn(BUCKET, self.bucket_of(head))
         written = Observation()
         writer = (
             placed.repartition(F.col(BUCKET), self._file_of())
@@ -151,7 +167,9 @@ class Snapshot:
         # at most ``buckets`` numbers; buckets left without rows have no folder
         held.update({b: version for b in written.get["buckets"]})
         manifest = self.spark.createDataFrame(
-            [(b, v, batch_id) for b, v in sorted(held.items())] or [(None, version, batch_id)], MANIFEST
+            [(b, v, batch_id, attempt, count) for b, v in sorted(held.items())]
+            or [(None, version, batch_id, attempt, count)],
+            MANIFEST,
         )
         manifest.coalesce(1).write.mode("overwrite").parquet(self._manifest(version))
         return version
@@ -165,9 +183,12 @@ class Snapshot:
 
 @dataclass(frozen=True)
 class Head:
-    """A version: its number, the batch that made it, and bucket -> version holding it."""
+    """A version: its number, the batch and attempt that made it, bucket -> version holding it,
+    and the number of buckets its rows are placed by."""
 
     version: int
     batch_id: int
     held: dict[int, int]
+    attempt: str | None = None
+    buckets: int | None = None
 

@@ -4,16 +4,20 @@ Every micro-batch runs the batch operators against the current snapshot:
 
 1. read the buckets the batch touches, tombstones included;
 2. drop rows that are not newer than what their key has seen (replays, late rows);
-3. write the accepted changes with both images as the feed of this batch;
-4. commit the advanced state of the touched buckets as the next version.
-
-The manifest of a version records its batch, so a batch that is run again after a
-crash either finds itself committed and does nothing, or overwrites its own feed
-folder with the same rows and commits.
+3. write the accepted changes with both images to a folder of this attempt, which no
+   reader looks into;
+4. commit the advanced state of the touched buckets as the next version, whose manifest
+   names the batch and the attempt;
+5. move the attempt's folder into the feed.
+
+So a change is in the feed only if it is committed, and once: an attempt that dies before
+the commit leaves nothing visible, and one that dies behind it is finished by whoever
+comes next, from the name in the manifest.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -23,7 +27,7 @@ from keyfold.operators.feed import images
 from keyfold.operators.fold import CREATED, LAST_SEQ, LIVE, UPDATED, advance, is_late, records, with_prior
 from keyfold.plans.skew import GROUP_ROWS, find_slices
 from keyfold.sources.log import LogSpec
-from keyfold.sources.snapshot import Snapshot
+from keyfold.sources.snapshot import Head, Snapshot, move, path_exists
 
 
 def state_schema(log_schema: T.StructType, spec: LogSpec) -> T.StructType:
@@ -68,10 +72,11 @@ class ChangePipeline:
         """Apply one micro-batch; safe to call again with the same id."""
         store = self.snapshot
         head = store.head()
+        self._deliver(head)
         if head is not None and head.batch_id >= batch_id:
             return
         log = batch.select(*self.spec.columns)
-        buckets = store.touched(log)
+        buckets = store.touched(log, head)
         if not buckets:
             return
         state = store.read(buckets=buckets, head=head)
@@ -79,15 +84,24 @@ class ChangePipeline:
         # one join with the state serves all three results; lost blocks are computed again
         judged = with_prior(log, state, self.spec, slices).withColumn("late", is_late(self.spec)).persist()
         fresh = judged.filter("not late")
-        (
-            images(fresh, self.spec, slices=slices)
-            .write.mode("overwrite")
-            .parquet(f"{self.feed_path}/batch={batch_id}")
-        )
+        attempt = uuid.uuid4().hex
+        images(fresh, self.spec, slices=slices).write.parquet(self._waiting(batch_id, attempt))
         late = judged.filter("late").select(*self.spec.columns)
         late.write.mode("overwrite").parquet(f"{self.root}/late/batch={batch_id}")
-        store.commit(advance(state, fresh, self.spec), buckets, batch_id, head=head)
+        store.commit(advance(state, fresh, self.spec), buckets, batch_id, head=head, attempt=attempt)
         judged.unpersist()
+        self._deliver(store.head())
+
+    def _waiting(self, batch_id: int, attempt: str) -> str:
+        return f"{self.root}/waiting/{batch_id}-{attempt}"
+
+    def _deliver(self, head: Head | None) -> None:
+        """Put the changes of the newest version into the feed, if they are not there yet."""
+        if head is None or not head.attempt:
+            return
+        waiting = self._waiting(head.batch_id, head.attempt)
+        if path_exists(self.spark, waiting):
+            move(self.spark, waiting, f"{self.feed_path}/batch={head.batch_id}")
 
     def start(
         self, stream: DataFrame, available_now: bool = False, every: str = "10 seconds"

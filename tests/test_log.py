@@ -10,6 +10,7 @@ import model as m
 from keyfold.operators import feed, fold
 from keyfold.plans.skew import find_slices
 from keyfold.session import work_dir
+from keyfold.sources.log import EVENT_LOG
 from keyfold.sources.snapshot import Snapshot
 from keyfold.streaming import channels
 from keyfold.streaming.pipeline import ChangePipeline
@@ -216,3 +217,43 @@ def test_fold_is_one_shuffle_with_partial_aggregation(spark):
 def test_feed_of_an_even_log_is_one_shuffle(spark):
     text = plan(feed.images(frame(spark, EDGE), SPEC))
     assert text.count("Exchange") == 1 and text.count("Sort ") == 1
+
+
+def test_a_change_is_in_the_feed_once_and_only_if_committed(spark, tmp_path, monkeypatch):
+    from keyfold.sources import snapshot
+    from keyfold.streaming import channels, pipeline
+
+    log = spark.createDataFrame(
+        [(k, s, "create", float(s), True, None, False) for s, k in enumerate((1, 2, 3, 1))],
+        "id long, seq long, op string, value double, present_value boolean, props string, present_props boolean",
+    ).selectExpr("id", "seq", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "op", "value", "props", "present_value", "present_props")
+    own = pipeline.ChangePipeline(spark, str(tmp_path / "t"), EVENT_LOG, log.schema, buckets=4)
+    commit, move = snapshot.Snapshot.commit, pipeline.move
+
+    def fail(*_, **__):
+        raise RuntimeError("lost")
+
+    def heard():
+        stream = channels.read_stream(spark, own.feed_path, own.spark.read.parquet(own.feed_path).schema)
+        channels.sink(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), available_now=True).awaitTermination()
+        return spark.read.parquet(str(tmp_path / "out")).count()
+
+    # lost before the commit: nothing is visible, and the batch may hold other rows later
+    monkeypatch.setattr(snapshot.Snapshot, "commit", fail)
+    with pytest.raises(RuntimeError):
+        own.process(log, 0)
+    assert own.snapshot.head() is None and not snapshot.path_exists(spark, own.feed_path)
+    monkeypatch.setattr(snapshot.Snapshot, "commit", commit)
+    own.process(log.where("seq < 3"), 0)
+    assert heard() == 3
+    # lost behind the commit: the next call finishes it
+    monkeypatch.setattr(pipeline, "move", fail)
+    with pytest.raises(RuntimeError):
+        own.process(log.where("seq = 3"), 1)
+    monkeypatch.setattr(pipeline, "move", move)
+    assert heard() == 3
+    own.process(log.where("seq = 3"), 1)
+    assert heard() == 4 and own.feed().count() == 4
+    # a table keeps its number of buckets
+    wide = pipeline.ChangePipeline(spark, own.root, EVENT_LOG, log.schema, buckets=64)
+    assert wide.table(keys=log.select("id")).count() == 3
