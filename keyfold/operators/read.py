@@ -16,6 +16,9 @@ from keyfold.functions.tokens import cursor, cursor_value
 from keyfold.model import DEFAULT_PAGE, MAX_PAGE, TableSpec
 from keyfold.plans.skew import key_cuts, locate
 
+#: records that one task numbers when a whole table is cut into pages
+RANGE_ROWS = 2_000_000
+
 
 def page_limit(limit: int | None) -> int:
     return min(DEFAULT_PAGE if limit is None else int(limit), MAX_PAGE)
@@ -215,7 +218,8 @@ def page_index(df: DataFrame, key: str, size: int = MAX_PAGE, ranges: int | None
 
 
 def _numbered(df: DataFrame, key: str, ranges: int | None) -> DataFrame:
-    parts = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # as many ranges as the table needs, whatever the session's number of partitions is
+    parts = ranges or max(1, -(-df.count() // RANGE_ROWS))
     cuts = key_cuts(df, key, parts)
     piece = locate(F.col(key), cuts).alias("_range")
     sizes = df.select(piece).groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
@@ -230,7 +234,8 @@ def _numbered(df: DataFrame, key: str, ranges: int | None) -> DataFrame:
     inside = Window.partitionBy("_range").orderBy(key)
     return (
         df.select("*", piece)
-        .withColumn("_rank", F.row_number().over(inside))
+        # a count and no row number, which is an int
+        .withColumn("_rank", F.count(F.lit(1)).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .join(F.broadcast(offsets), "_range")
         .withColumn("_position", F.col("_offset") + F.col("_rank") - 1)
     )

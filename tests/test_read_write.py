@@ -30,8 +30,9 @@ def test_pages_joined_are_the_table(spark, people):
     assert read.page(people, "id", {"n": -1}).count() == 0
 
 
-@pytest.mark.parametrize("ranges", [1, 3, 7, 64])
-def test_bulk_pages_have_no_gap_or_repeat(people, ranges):
+@pytest.mark.parametrize("ranges", [1, 3, 7, 64, None])
+def test_bulk_pages_have_no_gap_or_repeat(people, ranges, monkeypatch):
+    monkeypatch.setattr(read, "RANGE_ROWS", 40)  # many ranges, also where none are given
     rows = read.bulk_pages(people, "id", 30, ranges).orderBy("page_no", "position").collect()
     assert [r["id"] for r in rows] == [f"p{i:03d}" for i in range(250)]
     assert [(r["page_no"], r["position"]) for r in rows] == [(i // 30, i % 30) for i in range(250)]
