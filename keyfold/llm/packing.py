@@ -4,7 +4,8 @@ Every document becomes its token ids and an end token. Only documents longer tha
 are cut. What is shorter than a sequence is an item; an item goes to the place that makes the
 sum of squares of N(g), the number of open sequences with g tokens left, smallest: into a
 sequence with gap g the sum changes by 2 * (N(g - size) - N(g) + 1), into a new one by
-2 * N(capacity - size) + 1. Ties go to the smallest gap.
+2 * N(capacity - size) + 1. Ties go to the smallest gap. The items of sequences that
+stay open are placed once more where they fit best.
 
 Items are packed in blocks of bounded size, each in one task; the open sequences that blocks
 leave are then items themselves and are packed again until one block holds all that is left.
@@ -232,13 +233,49 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return sequence, offset, np.array(fills, dtype=np.int64)
 
 
+def place_open_again(
+    sizes: np.ndarray, sequence: np.ndarray, offset: np.ndarray, fills: np.ndarray, capacity: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same, with the items of sequences that stayed open placed anew.
+
+    The rule keeps sequences of many gaps open for items to come. When none come, their items
+    go, largest first, where they fit best, which closes nearly all. Kept only if it saves a sequence.
+    """
+    again = np.flatnonzero(fills[sequence] < capacity)
+    sequence, offset = sequence.copy(), offset.copy()
+    open_count = np.zeros(capacity + 1, dtype=np.int64)
+    members: list[list[int]] = [[] for _ in range(capacity + 1)]
+    more: list[int] = []
+    before = (sequence.copy(), offset.copy(), fills)
+    for k in again[np.argsort(-sizes[again], kind="stable")]:
+        size = int(sizes[k])
+        fitting = np.flatnonzero(open_count[size:])
+        if len(fitting):
+            gap = size + int(fitting[0])
+            number = members[gap].pop()
+            open_count[gap] -= 1
+        else:
+            number = len(more)
+            more.append(0)
+        sequence[k], offset[k] = len(fills) + number, more[number]
+        more[number] += size
+        left = capacity - more[number]
+        if left:
+            members[left].append(number)
+            open_count[left] += 1
+    if len(more) >= np.count_nonzero(fills < capacity):
+        return before
+    return sequence, offset, np.concatenate([fills, np.array(more, dtype=np.int64)])
+
+
 def _pack_blocks(items: DataFrame, capacity: int, base: int, items_per_block: int) -> tuple[DataFrame, int]:
     """Items ``item, size`` packed in blocks; ``item, number, inner, fill`` and the block count."""
     blocks = max(1, math.ceil(items.count() / items_per_block))
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("item", kind="stable")
-        number, inner, fills = sum_of_squares(block["size"].to_numpy(), capacity)
+        sizes = block["size"].to_numpy()
+        number, inner, fills = place_open_again(sizes, *sum_of_squares(sizes, capacity), capacity)
         # the number holds round and block, so that it is the same whenever the task runs
         top = np.int64(base) + np.int64(block["block"].iloc[0])
         return pd.DataFrame(
