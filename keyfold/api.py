@@ -22,7 +22,7 @@ from keyfold.model import SYSTEM_FIELDS, Field, TableSpec, table_spec
 from keyfold.operators import feed as feeds, read, registry as reg
 from keyfold.operators.write import iso_utc, repeated
 from keyfold.sources.log import CREATE, DELETE, UPDATE, LogSpec
-from keyfold.sources.snapshot import Snapshot, path_exists
+from keyfold.sources.snapshot import Snapshot, path_exists, remove
 from keyfold.streaming.pipeline import ChangePipeline
 
 KEY = "id"
@@ -175,9 +175,15 @@ class Database:
         self._store.commit(changed)
         return self.table(name)
 
-    def delete_table(self, name: str) -> None:
-        """Retire a definition; its data is no longer reachable. Safe to repeat."""
+    def delete_table(self, name: str, keep_data: bool = False) -> None:
+        """Retire a definition and, unless ``keep_data``, remove its records, log and feed.
+
+        The definition goes first, so that no reader finds a table without its data. Safe to repeat.
+        """
+        found = self._row(name).select("table_id").first()
         self._store.commit(reg.retire(self.registry(), self._row(name)))
+        if found is not None and not keep_data:
+            remove(self.spark, f"{self.root}/tables/{found['table_id']}")
 
     def subscription_rows(self) -> DataFrame:
         """Declared subscriptions of this tenant's tables."""
@@ -471,12 +477,14 @@ class Table:
             ]
         )
 
-    def subscribe(self, event: str, filters: Mapping | None = None) -> DataFrame:
+    def subscribe(self, event: str, filters: Mapping | None = None, new_only: bool = False) -> DataFrame:
         """A streaming DataFrame of one channel; end it in any sink.
 
         The update channel also carries published events. Only declared filter fields
-        count where the table declares some.
+        count where the table declares some. With ``new_only`` events of before the call are
+        left out; otherwise a new listener hears the whole history.
         """
+        started = _now()
         self._make_folders()
         stored = self.spark.readStream.schema(self.feed_schema()).parquet(self.pipeline.feed_path)
         channel = feeds.subscribe(feeds.payload(stored, self.log_spec), event)
@@ -485,6 +493,8 @@ class Table:
                 f"{self.root}/published"
             )
             channel = feeds.update_channel(channel, published)
+        if new_only:
+            channel = channel.filter(F.col("ts") >= started)
         chosen = {n: v for n, v in (filters or {}).items() if not self.declared or n in self.declared}
         return read.index_filters(channel, chosen)
 

@@ -42,6 +42,12 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot move {source} to {target}")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all that is in it; one that is not there is no error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether the path exists, on whatever file system its scheme names."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from keyfold.api import Database
 from keyfold.model import Field
 from keyfold.session import work_dir
+from keyfold.sources.snapshot import path_exists
 from keyfold.streaming import channels
 
 FIELDS = [
@@ -165,9 +166,21 @@ def test_all_declared_subscriptions_count_and_tenants_are_apart(spark, db):
     assert other.subscription_rows().filter(F.col("tenant") != other.tenant).count() == 0
 
 
+def test_a_listener_can_start_now(spark, db):
+    told = db.create_table("told", [{"name": "x", "type": "Int"}])
+    told.create({"id": "old", "x": 1})
+    channel, root = told.subscribe("create", new_only=True), work_dir(spark, "now")
+    told.create({"id": "new", "x": 2})
+    channels.sink(channel, f"{root}/out", f"{root}/checkpoint", available_now=True).awaitTermination()
+    assert ids(spark.read.parquet(f"{root}/out")) == ["new"]
+
+
 def test_tables_retire(spark, db):
-    db.create_table("temporary", [Field("x", "Int")])
+    doomed = db.create_table("temporary", [Field("x", "Int")])
+    doomed.create({"x": 1})
+    assert path_exists(spark, doomed.root)
     db.delete_table("temporary")
+    assert not path_exists(spark, doomed.root)
     db.delete_table("temporary")
     with pytest.raises(KeyError):
         db.table("temporary")
