@@ -255,15 +255,14 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_chars: int = SAMP
 
     Texts above ``max_chars`` are left out of the sample, so that its size is bounded.
     """
-    text = F.col("text").cast("string").alias("text")
-    found = (
-        docs.select(text)
-        .where(F.col("text").rlike("[0-9]{3}|@") & (F.length("text") <= max_chars))
-        .select("text", F.xxhash64("text").alias("order"))
-        .orderBy("order", "text")
-        .limit(sample_docs)
-    )
-    return fit([r["text"] for r in found.collect()])
+    own = docs.select(F.col("text").cast("string").alias("text")).withColumn("order", F.xxhash64("text"))
+    fitting = (F.length("text") <= max_chars) & F.col("text").rlike("[0-9]{3}|@")
+    # first only hashes come to the driver, then the texts of the smallest, each once
+    hashes = own.where(fitting).select("order").distinct().orderBy("order").limit(sample_docs).collect()
+    if not hashes:
+        return None
+    chosen = own.where((F.col("order") <= hashes[-1]["order"]) & fitting).groupBy("order").agg(F.min("text").alias("text"))
+    return fit([r["text"] for r in sorted(chosen.collect(), key=lambda r: r["order"])])
 
 
 def _joined(spans: list[Span]) -> str:

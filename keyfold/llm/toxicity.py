@@ -31,7 +31,7 @@ DECAY = 0.7
 SPAN = 6
 LANDMARKS = 64
 #: Bounds of the training sample.
-DOCS_PER_CLASS = 1_000
+DOCS_PER_CLASS = 800
 MAX_CHARS = 10_000
 ROUNDS = 4
 RIDGE = 1e-3
@@ -138,26 +138,41 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.features(words) @ self.document, -30, 30)))
 
 
-def _table(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A row for every subsequence, a column for every unit: its weight over the unit's norm."""
+@dataclass
+class _Table:
+    """Weights of the subsequences of some units, over the unit's norm; row 0 is for all others."""
+
+    row_of: np.ndarray
+    rows: np.ndarray
+
+    def spread(self, by: np.ndarray) -> np.ndarray:
+        """A weight for every subsequence there can be."""
+        return (self.rows @ by)[self.row_of].astype(np.float32)
+
+
+def _table(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> _Table:
     unit, item, weight = subsequences(raw, starts, ends)
-    table = np.zeros((64**3, len(starts)), dtype=np.float32)
-    np.add.at(table, (item, unit), weight)
-    return table / _norms(unit, weight, len(starts)).astype(np.float32)
+    items, row = np.unique(item, return_inverse=True)
+    row_of = np.zeros(64**3, dtype=np.int32)
+    row_of[items] = np.arange(1, len(items) + 1)
+    rows = np.zeros((len(items) + 1, len(starts)), dtype=np.float32)
+    np.add.at(rows, (row + 1, unit), weight)
+    return _Table(row_of, rows / _norms(unit, weight, len(starts)).astype(np.float32))
 
 
-def _kernels(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+def _kernels(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: _Table) -> np.ndarray:
     """Kernels of units with those of the table."""
-    found = np.zeros((len(starts), table.shape[1]), dtype=np.float32)
-    for k in range(0, len(starts), 2_000):
-        n = len(starts[k : k + 2_000])
+    found = np.zeros((len(starts), table.rows.shape[1]), dtype=np.float32)
+    for k in range(0, len(starts), 1_000):
+        n = len(starts[k : k + 1_000])
         unit, item, weight = subsequences(raw, starts[k : k + n], ends[k : k + n])
-        order = np.argsort(unit, kind="stable")
-        unit, item, weight = unit[order], item[order], weight[order]
+        norm, row = _norms(unit, weight, n), table.row_of[item]
+        order = np.argsort(unit[row > 0], kind="stable")
+        unit, row, weight = unit[row > 0][order], row[row > 0][order], weight[row > 0][order]
         if len(unit):
             heads = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
-            sums = np.add.reduceat(table[item] * weight[:, None].astype(np.float32), heads)
-            found[k + unit[heads]] = sums / _norms(unit, weight, n)[unit[heads], None]
+            sums = np.add.reduceat(table.rows[row] * weight[:, None].astype(np.float32), heads)
+            found[k + unit[heads]] = sums / norm[unit[heads], None]
     return found
 
 
@@ -248,7 +263,9 @@ def fit(sample: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > 1e-4 * values[-1]
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    z = np.concatenate([kernels @ whiten.astype(np.float32), np.ones((len(one), 1), dtype=np.float32)], axis=1)
+    z = np.ones((len(one), int(keep.sum()) + 1), dtype=np.float32)
+    np.matmul(kernels, whiten.astype(np.float32), out=z[:, :-1])
+    del kernels
     # rounds: each sentence stands for its highest unit under the machine so far
     score = telling.astype(np.float64)
     rng = np.random.default_rng(7)
@@ -270,7 +287,7 @@ def fit(sample: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
         ]) * len(chosen)
         w = _squared_hinge(z[chosen].astype(np.float64), y, balance, RIDGE * len(chosen))
         score = z @ w
-    weights = (table @ (whiten @ w[:-1]).astype(np.float32)).astype(np.float32)
+    weights = table.spread((whiten @ w[:-1]).astype(np.float32))
     model = Model(weights, float(w[-1]), np.zeros(FEATURES))
     features = np.concatenate([model.features(words) for _, words in chunks])
     model.document = _logistic(features, labels)
