@@ -29,7 +29,7 @@ SHINGLE = 5
 #: Bits of the map of benchmark shingles: 2 MB at any size of the benchmark.
 MARKS = 1 << 24
 #: A common shingle's occurrences meet its windows in this many groups.
-SALTS = 32
+SALTS = 8
 
 
 def _of(words: Words, d: int) -> np.ndarray:
