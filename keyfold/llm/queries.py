@@ -21,7 +21,7 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return substring_dedup.dedup(_read(spark, folder, "documents"))
+    return substring_dedup.dedup(_read(spark, folder, "documents"), min_line_words=1, each_row=True)
 
 
 def op2_html_extract(spark: SparkSession, folder: str) -> DataFrame:

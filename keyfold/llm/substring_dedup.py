@@ -1,14 +1,17 @@
 """Substring dedup: hash lines and phrases, keep the earliest occurrence, remove the others.
 
-A text's units are its lines, and within lines phrases cut where the content says: a phrase
-begins at a word whose hash with its neighbour is the smallest for ``REACH`` words to both sides. So a
-passage gives the same phrases wherever it stands, also in the middle of another line. Units
-are normalised (A-Z lower-cased, white space between words not counted) and hashed. The first
-occurrence of every unit, by ``doc_id`` and place, stays. Of the others, each run of adjacent
-units that counts ``MIN_WORDS`` words or more is removed, so chance repeats of short phrases
-stay.
-
-Digests are grouped by an aggregation that keeps one row per digest and task, so a unit that
+Words are compared with A-Z lower-cased; white space between them does not count. The earliest
+occurrence, by ``doc_id`` and place, stays. Of the others go:
+
+* whole lines of ``min_line_words`` words or more;
+* every passage of ``min_words`` words or more, wherever it stands, also within or across lines.
+  Phrases of ``k`` words are hashed; of every ``w`` phrases next to each other the one with the
+  smallest hash counts, ``k + w - 1 = min_words``, so two places with the same ``min_words`` words
+  share a phrase. Counted phrases of a repeated passage overlap or touch (``w <= k``). Their run is
+  extended word by word to both sides as far as the words are those at the first occurrence of
+  its outermost phrase. Less than ``w`` words are equal there: with more the next phrase counts.
+
+Digests are grouped by an aggregation that keeps one row per digest and task, so a phrase that
 a third of all documents hold is no large group; its occurrences meet that row in a join
 whose skewed partitions Spark splits.
 """
@@ -25,15 +28,20 @@ from pyspark.sql import functions as F
 from keyfold.llm._store import stored
 from keyfold.llm._words import U64, Words, each, mix, signed
 
-REACH = 5
 MIN_WORDS = 16
 
 
-def _starts(words: Words, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first word of every unit, and which of them begin a line."""
+def _sizes(min_words: int) -> tuple[int, int]:
+    """Words of a phrase, and how many neighbours one is chosen from."""
+    w = max(1, min_words // 2)
+    return min_words + 1 - w, w
+
+
+def _line_starts(words: Words) -> np.ndarray:
+    """The first word of every line."""
     n = len(words.hashes)
     if not n:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+        return np.zeros(0, dtype=np.int64)
     breaks = np.concatenate([[0], np.cumsum(words.raw == 10)])
     line = np.zeros(n, dtype=bool)
     at = breaks[words.starts]
@@ -41,19 +49,7 @@ def _starts(words: Words, reach: int) -> tuple[np.ndarray, np.ndarray]:
     line[1:] = at[1:] != at[:-1]
     firsts = words.first[:-1]
     line[firsts[firsts < n]] = True
-    # the order of places comes from pairs of words, so that a common word is no landmark
-    order = mix(words.hashes + np.append(words.hashes[1:], U64(0)) * U64(0x9E3779B97F4A7C15))
-    low = np.ones(n, dtype=bool)
-    for k in range(1, reach + 1):
-        low[k:] &= order[k:] < order[:-k]
-        low[:-k] &= order[:-k] < order[k:]
-    # not next to a line's border, where what is smallest depends on the other line
-    number = np.cumsum(line)
-    for k in range(1, reach + 2):
-        low[k:] &= number[k:] == number[:-k]
-        low[:-k] &= number[:-k] == number[k:]
-        low[:k] = low[n - k :] = False
-    return np.flatnonzero(line | low), line
+    return np.flatnonzero(line)
 
 
 def _digests(words: Words, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,37 +62,73 @@ def _digests(words: Words, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64)), ends
 
 
-def units(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """``row, doc_id, units: array<struct<digest, start, end, words>>`` for every row.
+def _phrases(words: Words, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the phrases that count, and their first words."""
+    hashes, ok = words.shingles(k)
+    if len(hashes) < w:
+        return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
+    whole = np.flatnonzero(ok[: len(ok) - w + 1] & ok[w - 1 :])
+    least, at = hashes[whole], whole.copy()
+    for j in range(1, w):
+        less = hashes[whole + j] < least
+        least = np.where(less, hashes[whole + j], least)
+        at[less] = whole[less] + j
+    at = np.unique(at)
+    return hashes[at], at
+
+
+def _lists(counts: list[np.ndarray], fields: list[list[np.ndarray]], kind: pa.ListType) -> pa.ListArray:
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1)
+    values = pa.StructArray.from_arrays(
+        [pa.array(np.concatenate(f), t.type) if f else pa.array([], t.type) for f, t in zip(fields, kind.value_type, strict=True)],
+        fields=list(kind.value_type),
+    )
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values)
+
+
+def _struct_list(**fields: pa.DataType) -> pa.ListType:
+    return pa.list_(pa.struct(list(fields.items())))
 
-    ``start`` and ``end`` are code points of the text, from a unit's first word to the end of
-    its last. A null text has no units.
+
+def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``row, doc_id, n, phrases: array<struct<digest, place>>, lines: array<struct<digest, place, words, start, end>>``.
+
+    ``place`` counts words of the text, ``n`` is their number. ``start`` and ``end`` are code points,
+    from a line's first word to the end of its last. A null text has no units.
     """
-    schema = "row long, doc_id long, units array<struct<digest:long,start:int,end:int,words:int>>"
-    kind = pa.list_(pa.struct([("digest", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
+    k, w = _sizes(min_words)
+    schema = """row long, doc_id long, n int, phrases array<struct<digest:long,place:int>>,
+        lines array<struct<digest:long,place:int,words:int,start:int,end:int>>"""
+    small = _struct_list(digest=pa.int64(), place=pa.int32())
+    large = _struct_list(digest=pa.int64(), place=pa.int32(), words=pa.int32(), start=pa.int32(), end=pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fields: list[list[np.ndarray]] = [[], [], [], []]
-            counts = []
+            phrases: list[list[np.ndarray]] = [[], []]
+            lines: list[list[np.ndarray]] = [[], [], [], [], []]
+            n_phrases, n_lines, n = [], [], []
             for _, _, words in each(batch.column(2), "space"):
-                starts, _ = _starts(words, reach)
+                rows = len(words.first) - 1
+                n.append(np.diff(words.first))
+                digests, at = _phrases(words, k, w)
+                doc = np.searchsorted(words.first, at, "right") - 1
+                n_phrases.append(np.bincount(doc, minlength=rows))
+                for out, values in zip(phrases, (signed(digests), at - words.first[doc]), strict=True):
+                    out.append(values)
+                starts = _line_starts(words)
                 digests, ends = _digests(words, starts)
                 letters = np.concatenate([[0], np.cumsum((words.raw & 0xC0) != 0x80)])
                 doc = np.searchsorted(words.first, starts, "right") - 1
                 base = letters[words.offsets[doc]]
-                fields[0].append(signed(digests))
-                fields[1].append((letters[words.starts[starts]] - base).astype(np.int32))
-                fields[2].append((letters[words.ends[ends - 1]] - base).astype(np.int32))
-                fields[3].append((ends - starts).astype(np.int32))
-                counts.append(np.bincount(doc, minlength=len(words.first) - 1))
-            bounds = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1)
-            values = pa.StructArray.from_arrays(
-                [pa.array(np.concatenate(f)) if f else pa.array([], t.type) for f, t in zip(fields, kind.value_type, strict=True)],
-                fields=list(kind.value_type),
+                n_lines.append(np.bincount(doc, minlength=rows))
+                begin, end = letters[words.starts[starts]] - base, letters[words.ends[ends - 1]] - base
+                for out, values in zip(lines, (signed(digests), starts - words.first[doc], ends - starts, begin, end), strict=True):
+                    out.append(values)
+            counts = pa.array(np.concatenate(n) if n else [], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), counts, _lists(n_phrases, phrases, small), _lists(n_lines, lines, large)],
+                names=["row", "doc_id", "n", "phrases", "lines"],
             )
-            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["row", "doc_id", "units"])
 
     return _keyed(docs).mapInArrow(run, schema)
 
@@ -107,52 +139,160 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(doc_id, text).alias("row"), doc_id.alias("doc_id"), text.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, reach: int = REACH, min_words: int = MIN_WORDS) -> DataFrame:
-    """``row, start, end, words``: the spans to remove, as code points of the text."""
-    found = stored(units(docs, reach), "units")
-    each_unit = found.select(
-        "row", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.posexplode("units").alias("place", "unit")
-    ).select("row", "doc_id", "place", "unit.*")
+def _again(found: DataFrame, name: str) -> DataFrame:
+    """Later occurrences of the units in column ``name``, with the first one's ``first_row, first_place``."""
+    each_unit = found.select("row", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.explode(name).alias("unit"))
+    each_unit = each_unit.select("row", "doc_id", "unit.*")
     first = (
         each_unit.groupBy("digest")
-        .agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.count("*").alias("n"))
+        .agg(F.min(F.struct("doc_id", "row", "place")).alias("first"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("digest", F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start"))
+        .select("digest", F.col("first.row").alias("first_row"), F.col("first.place").alias("first_place"))
     )
-    again = (
+    return (
         each_unit.drop("doc_id")
         .join(first, "digest")
-        .where((F.col("row") != F.col("first_row")) | (F.col("start") != F.col("first_start")))
-        .select("row", "place", "start", "end", "words")
+        .where((F.col("row") != F.col("first_row")) | (F.col("place") != F.col("first_place")))
+        .drop("digest")
         .distinct()
     )
-    island = F.col("place") - F.row_number().over(Window.partitionBy("row").orderBy("place"))
+
+
+def _around(docs: DataFrame, places: DataFrame, k: int, w: int) -> DataFrame:
+    """``row, place, before, behind`` for the phrases at ``places``: words as ``array<struct<h, at>>``.
+
+    ``before`` begins with the phrase's first word and goes back by ``w`` words, ``at`` being
+    where a word starts; ``behind`` begins with its last word and goes on, ``at`` being where a word ends.
+    """
+    words_of = "array<struct<h:long,at:int>>"
+    kind = _struct_list(h=pa.int64(), at=pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked, rows = batch.column(2).to_pylist(), batch.column(0).to_numpy()
+            keys, at_places = [], []
+            before: list[list[np.ndarray]] = [[], []]
+            behind: list[list[np.ndarray]] = [[], []]
+            n_before, n_behind = [], []
+            for begin, end, words in each(batch.column(1), "space"):
+                letters = np.concatenate([[0], np.cumsum((words.raw & 0xC0) != 0x80)])
+                for j in range(begin, end):
+                    low, high = words.first[j - begin], words.first[j - begin + 1]
+                    base = letters[words.offsets[j - begin]]
+                    for place in asked[j]:
+                        keys.append(rows[j])
+                        at_places.append(place)
+                        a = np.arange(low + place, max(low, low + place - w) - 1, -1)
+                        b = np.arange(low + place + k - 1, min(high, low + place + k + w))
+                        for own, counts, which, edge in ((before, n_before, a, words.starts), (behind, n_behind, b, words.ends)):
+                            own[0].append(signed(words.hashes[which]))
+                            own[1].append(letters[edge[which]] - base)
+                            counts.append(np.array([len(which)]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array(at_places, pa.int32()), _lists(n_before, before, kind), _lists(n_behind, behind, kind)],
+                names=["row", "place", "before", "behind"],
+            )
+
+    asked = places.groupBy("row").agg(F.collect_set("place").alias("places"))
+    texts = _keyed(docs).join(asked, "row").select("row", "text", "places")
+    found = texts.mapInArrow(run, f"row long, place int, before {words_of}, behind {words_of}")
+    return found.groupBy("row", "place").agg(F.first("before").alias("before"), F.first("behind").alias("behind"))
+
+
+def _passages(docs: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
+    """``row, place, words, start, end`` of every repeated passage, extended to both sides."""
+    k, w = _sizes(min_words)
+    again = _again(found, "phrases")
+    # a phrase that overlaps its own first occurrence would take words of that
+    again = again.where((F.col("row") != F.col("first_row")) | (F.col("place") >= F.col("first_place") + k))
+    by_place = Window.partitionBy("row").orderBy("place")
+    new = F.coalesce((F.col("place") - F.lag("place").over(by_place) > k).cast("long"), F.lit(1).cast("long"))
+    one = F.struct("place", "first_row", "first_place")
+    runs = (
+        again.withColumn("new", new)
+        .withColumn("run", F.sum("new").over(by_place))
+        .groupBy("row", "run")
+        .agg(F.min(one).alias("l"), F.max(one).alias("r"))
+    )
+    runs = stored(runs, "runs")
+    sides = [("row", "l.place"), ("row", "r.place"), ("l.first_row", "l.first_place"), ("r.first_row", "r.first_place")]
+    asked = runs.select(F.explode(F.array(*[F.struct(F.col(a).alias("row"), F.col(b).alias("place")) for a, b in sides])).alias("x"))
+    around = stored(_around(docs, asked.select("x.*"), k, w), "around")
+
+    def compared(side: str, name: str) -> DataFrame:
+        """Runs with how many words of a side are equal, its phrase's own one included, and where they end."""
+        ends = runs.select("row", "run", f"{side}.*")
+        own = around.select("row", "place", F.col(name).alias("own"))
+        other = around.select(F.col("row").alias("first_row"), F.col("place").alias("first_place"), F.col(name).alias("other"))
+        differs = F.array_position(F.zip_with("own", "other", lambda x, y: x["h"].eqNullSafe(y["h"])), False)
+        equal = F.when(differs == 0, F.size("own")).otherwise(differs - 1).cast("int")
+        if side == "l":  # not into the first occurrence in the same text
+            equal = F.when(F.col("row") == F.col("first_row"), F.least(equal, F.col("place") - F.col("first_place") - k + 1)).otherwise(equal)
+        joined = ends.join(own, ["row", "place"]).join(other, ["first_row", "first_place"]).withColumn("equal", equal)
+        return joined.select(
+            "row", "run",
+            (F.col("place") + (1 - F.col("equal") if side == "l" else k - 1 + F.col("equal"))).alias(f"{side}_place"),
+            F.element_at("own", F.col("equal"))["at"].alias(f"{side}_at"),
+        )
+
+    both = compared("l", "before").join(compared("r", "behind"), ["row", "run"])
+    return both.where(F.col("r_place") - F.col("l_place") >= min_words).select(
+        "row", F.col("l_place").alias("place"), (F.col("r_place") - F.col("l_place")).alias("words"),
+        F.col("l_at").alias("start"), F.col("r_at").alias("end"),
+    )
+
+
+def _spans(docs: DataFrame, found: DataFrame, min_words: int, min_line_words: int) -> DataFrame:
+    again = _again(found.withColumn("lines", F.filter("lines", lambda x: x["words"] >= min_line_words)), "lines")
+    both = again.select("row", "place", "words", "start", "end").unionByName(_passages(docs, found, min_words))
+    both = both.withColumn("behind", F.col("place") + F.col("words"))
+    by_place = Window.partitionBy("row").orderBy("place", "behind")
+    before = F.max("behind").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
     return (
-        again.withColumn("island", island)
+        both.withColumn("new", F.coalesce((F.col("place") > before).cast("long"), F.lit(1).cast("long")))
+        .withColumn("island", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("row", "island")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"))
-        .where(F.col("words") >= min_words)
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("behind") - F.min("place")).cast("long").alias("words"))
         .select("row", "start", "end", "words")
     )
 
 
-def dedup(docs: DataFrame, reach: int = REACH, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, min_line_words: int = MIN_WORDS) -> DataFrame:
+    """``row, start, end, words``: the spans to remove, as code points of the text."""
+    return _spans(docs, stored(units(docs, min_words), "units"), min_words, min_line_words)
+
+
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_line_words: int = MIN_WORDS, each_row: bool = False) -> DataFrame:
     """``doc_id, n_removed, removed_words, removed, text`` for every row.
 
     ``removed`` lists the spans that were taken out as ``start:end`` in code points of the
     original text, joined by commas; ``text`` is what is left. A null text stays null, with
-    nothing removed. Rows equal in ``doc_id`` and text are one document, and each gets its
-    result; a row without ``doc_id`` ranks last. An empty table gives an empty one.
+    nothing removed. With ``min_line_words=1`` every repeated line goes. Rows equal in ``doc_id``
+    and text are one document, and each gets its result; with ``each_row`` all but one of them lose
+    their whole text. A row without ``doc_id`` ranks last. An empty table gives an empty one.
     """
-    spans = (
-        repeated_spans(docs, reach, min_words)
+    found = stored(units(docs, min_words), "units")
+    marks = (
+        _spans(docs, found, min_words, min_line_words)
         .groupBy("row")
         .agg(
             F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"),
             F.sum("words").alias("removed_words"),
         )
     )
-    own = _keyed(docs).join(spans, "row", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")))
+    if each_row:
+        copies = found.where("n > 0").groupBy("row").agg(F.count("*").alias("copies"), F.first("n").cast("long").alias("n")).where("copies > 1")
+        marks = marks.join(copies, "row", "full")
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    own = _keyed(docs).join(marks, "row", "left").withColumn("spans", F.coalesce("spans", none))
+    if each_row:
+        # rows of a key are all the same, so one stands for them and is counted out again
+        one = own.where("copies is not null").groupBy("row").agg(*[F.first(c).alias(c) for c in own.columns if c != "row"])
+        one = one.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+        whole = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end")))
+        one = one.withColumn("spans", F.when(F.col("nth") > 1, whole).otherwise(F.col("spans")))
+        one = one.withColumn("removed_words", F.when(F.col("nth") > 1, F.col("n")).otherwise(F.col("removed_words")))
+        own = own.where("copies is null").drop("copies", "n").unionByName(one.drop("copies", "n", "nth"))
     kept = F.expr(
         """array_join(transform(
              arrays_zip(concat(array(0), spans.end), concat(spans.start, array(length(text)))),

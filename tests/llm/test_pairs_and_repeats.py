@@ -153,6 +153,33 @@ def test_repeats_of_whole_documents_and_odd_rows(spark):
     assert substring_dedup.dedup(frame(spark, ["a"]).where("false")).count() == 0
 
 
+def test_passages_go_whole_and_short_lines_and_copies_too(spark):
+    rng = random.Random(8)
+
+    def fresh(n):
+        return [f"{rng.randrange(10**9):x}" for _ in range(n)]
+
+    passages = [fresh(n) for n in (16, 17, 30, 51, 51, 51, 66, 70) * 4]
+    texts = [" ".join(w for p in passages for w in [*p, *fresh(3)]) + "\nall rights reserved"]
+    for p in passages:
+        texts.append(" ".join(fresh(rng.randrange(1, 30))) + " " + "\n ".join([" ".join(p[:9]), " ".join(p[9:])]) + " " + " ".join(fresh(20)))
+    texts += ["own words\nAll  rights reserved\nmore", texts[5], texts[5], None, None, "", "w " * 100]
+    ids = [*range(len(texts) - 6), 900, 900, None, None, 901, 902]
+    got = substring_dedup.dedup(frame(spark, texts, ids=ids, extra=True), min_line_words=1, each_row=True).collect()
+    assert len(got) == len(texts)
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[0]["n_removed"] == 0
+    for k, p in enumerate(passages, 1):
+        (span,) = [tuple(map(int, x.split(":"))) for x in by_id[k]["removed"].split(",")]
+        assert texts[k][span[0] : span[1]].split() == p and by_id[k]["removed_words"] == len(p)
+    assert by_id[len(passages) + 1]["text"] == "own words\n\nmore"
+    assert sorted(r["text"].strip() for r in got if r["doc_id"] == 900) == ["", ""]
+    assert 9 <= len(by_id[902]["text"].split()) < 34
+    alone = "one two\nthree"
+    got = substring_dedup.dedup(frame(spark, [alone, alone, alone], ids=[4, 4, 4]), min_line_words=1, each_row=True).collect()
+    assert sorted((r["text"], r["removed_words"]) for r in got) == [("", 3), ("", 3), (alone, 0)]
+
+
 def test_quality_rules_equal_sql(spark):
     texts = corpus(4) + ["same line of the site\n" + " ".join(f"u{k}x{j}" for j in range(60)) for k in range(60)]
     texts += ["a b c a b c " * 30, "# $ % & | < > * #", "x\n\nx\n x\nX"]
