@@ -2,7 +2,8 @@
 
 Lines are normalised (A-Z lower-cased, white space to one blank, trimmed) and hashed; every
 document counts a line once; a line is boilerplate if more than ``MIN_DOCUMENTS`` documents
-and more than ``MAX_SHARE`` of its host's documents hold it. Such lines are removed. A
+and more than ``MAX_SHARE`` of its host's documents hold it. Such lines are removed: ``cleaned``
+gives the texts without them, ``judge`` what that does to each document. A
 document is depleted if less than ``MIN_LEFT`` of its words are left. ``documents`` has no
 host, so ``source`` stands for it in the query.
 """
@@ -29,6 +30,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
+def normal(line: Column) -> Column:
+    """A line as it is compared with others."""
+    return F.trim(F.regexp_replace(F.translate(line, _UPPER, _LOWER), SPACE, " "))
+
+
 def with_repeated_words(own: DataFrame) -> DataFrame:
     """Adds ``n_repeat_words``: the words in a 3-word window that occurs twice or more.
 
@@ -67,19 +73,16 @@ def with_repeated_words(own: DataFrame) -> DataFrame:
 
 
 def statistics(docs: DataFrame, host: str = "source") -> DataFrame:
-    """``doc_id, host``, base statistics, and the distinct lines as ``lines: array<struct<h, words>>``.
+    """``doc_id, host``, base statistics, and the lines as ``lines: array<struct<h, words>>``, and ``text``.
 
     A null text has no words. A null host is a host of its own.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(F.col("doc_id"), F.col(host).cast("string").alias("host"), text.alias("text"))
+    own = docs.select(F.col("doc_id"), F.col(host).cast("string").alias("host"), text.alias("text"), F.col("text").cast("string").alias("own_text"))
     own = own.withColumn("words", words_of(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
     own = with_repeated_words(own.withColumns({"n": F.size("words"), "lines": lines}))
 
-    def normal(x: Column) -> Column:
-        return F.trim(F.regexp_replace(F.translate(x, _UPPER, _LOWER), SPACE, " "))
-
     hashed = F.transform(
         "lines", lambda x: F.struct(F.xxhash64(normal(x)).alias("h"), F.size(words_of(x)).cast("long").alias("words"))
     )
@@ -91,23 +94,14 @@ def statistics(docs: DataFrame, host: str = "source") -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
         hashed.alias("lines"),
+        F.col("own_text").alias("text"),
     )
 
 
-def judge(
-    docs: DataFrame,
-    host: str = "source",
-    min_documents: int = MIN_DOCUMENTS,
-    max_share: float = MAX_SHARE,
-    min_left: float = MIN_LEFT,
-) -> DataFrame:
-    """Statistics and verdict of every document.
-
-    ``n_line_words`` counts the words in lines that are boilerplate on the document's host. A
-    document without words is base_failed. Rows with the same or a null ``doc_id`` are judged
-    each on its own. An empty table gives an empty one.
-    """
-    own = stored(statistics(docs, host).withColumn("row", F.expr("uuid()")), "lines")
+def _judged(docs: DataFrame, host: str, min_documents: int, max_share: float, min_left: float, texts: bool) -> DataFrame:
+    """Statistics, verdict and, with ``texts``, the text without boilerplate lines, of every row."""
+    own = statistics(docs, host)
+    own = stored((own if texts else own.drop("text")).withColumn("row", F.expr("uuid()")), "lines")
     per_line = (
         own.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
         .groupBy("host", "h")
@@ -128,26 +122,63 @@ def judge(
             F.xxhash64(F.coalesce("host", F.lit("\0")), "line.h").alias("key"),
             F.pmod(F.hash("row"), F.lit(32)).alias("salt"),
             F.col("line.words").alias("words"),
+            F.col("line.h").alias("h"),
         )
         .join(common, ["key", "salt"])
         .groupBy("row")
-        .agg(F.sum("words").alias("n_line_words"))
+        .agg(F.sum("words").alias("n_line_words"), *[F.collect_set("h").alias("common")] * texts)
     )
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("n_line_words")
-    return (
+    judged = (
         own.drop("lines")
         .join(removed, "row", "left")
         .withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0).cast("long")))
-        .select(
-            "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-            base_failed.alias("base_failed"),
-            (~base_failed & (left >= min_left * F.col("n_words"))).alias("kept"),
-            "n_line_words",
-        )
+    )
+    rest = []
+    if texts:
+        kept_lines = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("common", F.xxhash64(normal(x))))
+        rest = [F.when(F.col("common").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n")).alias("text")]
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        base_failed.alias("base_failed"),
+        (~base_failed & (left >= min_left * F.col("n_words"))).alias("kept"),
+        "n_line_words",
+        *rest,
     )
 
 
+def judge(
+    docs: DataFrame,
+    host: str = "source",
+    min_documents: int = MIN_DOCUMENTS,
+    max_share: float = MAX_SHARE,
+    min_left: float = MIN_LEFT,
+) -> DataFrame:
+    """Statistics and verdict of every document.
+
+    ``n_line_words`` counts the words in lines that are boilerplate on the document's host, which
+    ``cleaned`` removes. A document without words is base_failed. Rows with the same or a null
+    ``doc_id`` are judged each on its own. An empty table gives an empty one.
+    """
+    return _judged(docs, host, min_documents, max_share, min_left, False)
+
+
+def cleaned(
+    docs: DataFrame,
+    host: str = "source",
+    min_documents: int = MIN_DOCUMENTS,
+    max_share: float = MAX_SHARE,
+    min_left: float = MIN_LEFT,
+) -> DataFrame:
+    """The columns of ``judge`` and ``text`` without the lines that are boilerplate on the document's host.
+
+    Every row is given, kept or not. All other lines stay as they are, blank ones too; a text
+    without boilerplate lines is unchanged, and a null text stays null.
+    """
+    return _judged(docs, host, min_documents, max_share, min_left, True)
+
+
 def oracle_sql() -> str:
     """The query in DuckDB's SQL."""
     space = r"[\x20\x09-\x0D]+"

@@ -192,3 +192,20 @@ def test_quality_rules_equal_sql(spark):
     assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
     assert got.where("n_line_words > 0").count() > 30
     assert quality_rules.judge(docs.where("false")).count() == 0
+
+
+def test_boilerplate_lines_are_removed_from_texts(spark):
+    line, many = "same  line of the\tsite", 60
+    texts = [f"\n{line.upper() if k % 2 else line}\n\n" + " ".join(f"u{k}x{j}" for j in range(60)) for k in range(many)]
+    texts += [None, "", "site of the line same", f"{line}\n{line}"]
+    rows = [(None if k < 2 else k, t, None, "s" if k != 5 else None, None) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = ["\n".join(x for x in t.split("\n") if x.lower() != line or k == 5) if t else t for k, t in enumerate(texts)]
+    got = quality_rules.cleaned(docs).collect()
+    assert sorted(str(r["text"]) for r in got) == sorted(map(str, want))
+    for r in got:
+        if r["text"] is not None:
+            assert r["n_words"] - r["n_line_words"] == len(r["text"].split())
+    names = quality_rules.judge(docs).columns
+    assert sorted(map(str, quality_rules.judge(docs).collect())) == sorted(str(r) for r in quality_rules.cleaned(docs).select(*names).collect())
+    assert quality_rules.cleaned(docs.where("false")).count() == 0
