@@ -4,8 +4,9 @@ The tagger is trained on windows around the spans that the base rules label in a
 of documents, as they are and rewritten in other usual ways (other separators, no country
 code, blanks around ``@``). It reads overlapping windows of whole texts. All its kinds need a
 digit or ``@``, and a span without one is dropped, so windows without any are not read.
-A window's spans that touch its border inside the text are left to the next window; of all
-spans of a document, those that don't overlap and have the highest sum of scores stay. A span
+Windows reach ``STRIDE`` characters beyond every digit and ``@``, and on while a span touches the
+last border. Parts of a span that a border cuts are joined with what the neighbouring window
+found there; of all spans of a document, those that don't overlap and have the highest sum of scores stay. A span
 of the tagger must be plausible (enough digits, a valid check digit, parts in range) and must not
 touch a base span.
 """
@@ -86,15 +87,15 @@ def base_spans(text: str, checked: bool = True) -> list[Span]:
 
 
 def _windows(text: str) -> list[tuple[int, int]]:
-    """Overlapping windows that cover every digit and ``@`` with room around them."""
+    """Overlapping windows that cover every digit and ``@`` with ``STRIDE`` characters to both sides."""
     out: list[tuple[int, int]] = []
     covered = -1
     for m in _ANCHOR.finditer(text):
         at = m.start()
-        if at + STRIDE // 2 <= covered:
+        if at + STRIDE < covered:
             continue
         start = max(0, at - STRIDE) if covered < at - STRIDE else covered - (WINDOW - STRIDE)
-        while covered < at + STRIDE // 2 and covered < len(text):
+        while covered <= at + STRIDE and covered < len(text):
             out.append((start, min(len(text), start + WINDOW)))
             covered = start + WINDOW
             start += STRIDE
@@ -212,30 +213,61 @@ def _reconciled(spans: list[tuple[float, str, int, int]]) -> list[Span]:
     return out[::-1]
 
 
+#: Kind, start, end, sum of probabilities, and whether a border cuts it on the left or right.
+Part = tuple[int, int, int, float, bool, bool]
+
+
+def _whole(parts: list[Part]) -> list[tuple[float, str, int, int]]:
+    """Spans with their scores: those that no border cuts, and those joined from parts of one kind."""
+    out = [(total / (e - s), KINDS[kind], s, e) for kind, s, e, total, left, right in parts if not (left or right)]
+    for kind in {p[0] for p in parts if p[4] or p[5]}:
+        open_: list | None = None  # start, end, sum, length, whether its right end is cut, whether it has a cut part
+        for _, s, e, total, left, right in [*sorted(p for p in parts if p[0] == kind), (kind, -1, -1, 0.0, False, False)]:
+            if open_ and 0 <= s <= open_[1] and (open_[4] or left):
+                cut = right if e > open_[1] else open_[4] and (right or e < open_[1])
+                open_ = [open_[0], max(open_[1], e), open_[2] + total, open_[3] + e - s, cut, True]
+                continue
+            if open_ and open_[5]:
+                out.append((open_[2] / open_[3], KINDS[kind], open_[0], open_[1]))
+            open_ = [s, e, total, e - s, right, left or right]
+    return out
+
+
 def model_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
     """Plausible spans of each text by the tagger, from all its windows."""
     places = [(k, start, end) for k, text in enumerate(texts) for start, end in _windows(text)]
-    found: list[list[tuple[float, str, int, int]]] = [[] for _ in texts]
-    for at in range(0, len(places), 256):
-        part = places[at : at + 256]
-        unary = tagger.unary(_matrix([texts[k][start:end] for k, start, end in part]))
-        decoded = tagger.decode(unary)
-        if not decoded.any():
-            continue
-        some = np.flatnonzero(decoded.any(axis=1))
-        probability, _ = tagger.marginals(unary[:, some])
-        for j, row in enumerate(some.tolist()):
-            k, start, end = part[row]
-            text = texts[k]
-            for kind, a, b in _spans_of(decoded[row, : end - start]):
-                # cut by a border inside the text: the next window has it whole
-                if (a == 0 and start > 0) or (b == end - start and end < len(text)):
-                    continue
-                score = float(probability[np.arange(a, b), j, decoded[row, a:b]].mean())
-                own = text[start + a : start + b]
-                if score >= MIN_SCORE and _ANCHOR.search(own) and _plausible(KINDS[kind], own):
-                    found[k].append((score, KINDS[kind], start + a, start + b))
-    return [_reconciled(spans) for spans in found]
+    seen = {(k, start) for k, start, _ in places}
+    found: list[list[Part]] = [[] for _ in texts]
+    while places:
+        more = []
+        for at in range(0, len(places), 256):
+            part = places[at : at + 256]
+            unary = tagger.unary(_matrix([texts[k][start:end] for k, start, end in part]))
+            decoded = tagger.decode(unary)
+            if not decoded.any():
+                continue
+            some = np.flatnonzero(decoded.any(axis=1))
+            probability, _ = tagger.marginals(unary[:, some])
+            for j, row in enumerate(some.tolist()):
+                k, start, end = part[row]
+                size = len(texts[k])
+                for kind, a, b in _spans_of(decoded[row, : end - start]):
+                    left, right = a == 0 and start > 0, b == end - start and end < size
+                    total = float(probability[np.arange(a, b), j, decoded[row, a:b]].sum())
+                    found[k].append((kind, start + a, start + b, total, left, right))
+                    # a border that no other window reaches over gets one
+                    for cut, other in ((left, max(0, start - STRIDE)), (right, start + STRIDE)):
+                        if cut and (k, other) not in seen:
+                            seen.add((k, other))
+                            more.append((k, other, min(size, other + WINDOW)))
+        places = more
+    return [
+        _reconciled([
+            (score, kind, s, e) for score, kind, s, e in _whole(parts)
+            if score >= MIN_SCORE and _ANCHOR.search(text[s:e]) and _plausible(kind, text[s:e])
+        ])
+        for text, parts in zip(texts, found, strict=True)
+    ]
 
 
 def all_spans(texts: list[str], tagger: Tagger | None) -> list[tuple[list[Span], list[Span]]]:

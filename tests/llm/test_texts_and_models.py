@@ -120,6 +120,33 @@ def test_tagger_finds_what_rules_label_and_windows_cover(spark):
     assert pii.report(docs.where("false")).count() == 0
 
 
+class Marker:
+    """A tagger that takes every run of some characters for an email."""
+
+    def __init__(self, chars):
+        self.codes = np.unique(pii.symbols(chars))
+
+    def unary(self, windows):
+        return windows.T[:, :, None]
+
+    def decode(self, unary):
+        return np.where(np.isin(unary[:, :, 0], self.codes), 2, 0).T
+
+    def marginals(self, unary):
+        return np.ones((*unary.shape[:2], 9)), None
+
+
+def test_windows_reach_beyond_anchors_and_cut_spans_are_joined():
+    for gap in range(70):
+        for before, behind in ((7, 25), (30, 50), (70, 100)):
+            datum = "q" * before + "@" + "q" * behind + ".q"
+            text = "Z " * 60 + "5" + "Z" * gap + " " + datum + " Z" * 60
+            start = text.index(datum)
+            covered = {x for a, b in pii._windows(text) for x in range(a, b)}
+            assert set(range(start + before - pii.STRIDE, start + before + pii.STRIDE)) <= covered
+            assert pii.model_spans([text], Marker("q@.")) == [[("email", start, start + len(datum))]]
+
+
 def test_tagger_gradient():
     tagger = pii.Tagger(3, size=3, width=2)
     rng = np.random.default_rng(0)
