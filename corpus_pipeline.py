@@ -1,9 +1,9 @@
 """The corpus pipeline: stages over ``documents``, each reading all that the one before kept.
 
 A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and
-read again as the next one's ``docs``. All but the last return the columns of ``docs``. Rows
-without ``doc_id`` can't be told apart by it: they stay where a stage decides by id. Rows that
-repeat a ``doc_id`` stay or go together. Empty tables pass through.
+read again as the next one's ``docs``. All but the last return the columns of ``docs``. A stage that
+drops rows by a decision gives each a key of its own first, so rows without ``doc_id`` and rows
+that repeat one are decided each on its own. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -17,9 +17,17 @@ from keyfold.llm._store import stored
 TOXIC_FROM = 0.5
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose ``doc_id`` is not among ``_gone``; rows without one stay."""
-    return docs.join(ids.where("_gone is not null").distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+KEY = "_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key for every row, stored so that it is the same whenever it is read."""
+    return stored(docs.withColumn(KEY, F.monotonically_increasing_id()), "rows")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose key is not among ``gone``, without the key."""
+    return rows.join(gone.select(KEY), KEY, "left_anti").drop(KEY)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,15 +37,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts: that with the smallest ``doc_id``."""
-    found = jaccard_join.components(docs)
-    return _without(docs, found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")))
+    """One document of each group of similar texts: that with the smallest ``doc_id``, a row without one last.
+
+    Texts without words are in no group, so all of their rows stay.
+    """
+    rows = _keyed(docs)
+    return _without(rows, jaccard_join.components(rows, key=KEY).where("not is_first"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("contaminated").select(F.col("doc_id").alias("_gone")))
+    rows = _keyed(docs)
+    found = decontaminate.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=KEY)
+    return _without(rows, found.where("contaminated"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,10 +103,9 @@ def _hits(words: Words, bits: np.ndarray, sizes: list[int]) -> tuple[np.ndarray,
     return np.concatenate(places), np.concatenate(tokens), np.concatenate(lengths)
 
 
-def _text(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.expr("uuid()").alias("row")
-    )
+def _text(docs: DataFrame, key: str | None = None) -> DataFrame:
+    row = F.col(key).cast("string") if key else F.expr("uuid()")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
 
 
 def _counted(docs: DataFrame, bits, sizes: list[int]) -> DataFrame:
@@ -123,7 +122,7 @@ def _counted(docs: DataFrame, bits, sizes: list[int]) -> DataFrame:
     return _text(docs).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _candidates(docs: DataFrame, bits, sizes: list[int], window: int) -> DataFrame:
+def _candidates(docs: DataFrame, bits, sizes: list[int], window: int, key: str | None = None) -> DataFrame:
     """Every row with its word count and its candidate places.
 
     ``around`` holds the hashes of the words from ``pos - left`` on, as many as a window that
@@ -152,7 +151,7 @@ def _candidates(docs: DataFrame, bits, sizes: list[int], window: int) -> DataFra
                 names=["row", "doc_id", "n_words", "hits"],
             )
 
-    return _text(docs).mapInArrow(
+    return _text(docs, key).mapInArrow(
         run,
         "row string, doc_id long, n_words long, hits array<struct<token:long,pos:long,left:long,around:array<long>>>",
     )
@@ -163,12 +162,15 @@ _HITS = pa.list_(
 )
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def contamination(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, key: str | None = None
+) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every row.
 
     A null text has no words. An item without words or id is in no document's list (one with a
     null id still marks words). Rows that repeat a ``doc_id`` or have none are rows of their own;
-    items with the same id count once. Empty tables: no documents give no rows, no items no hits.
+    items with the same id count once. A column ``key`` of ``docs`` that is unique and stored is
+    given too, so that a row can be told apart from others of its ``doc_id``. Empty tables: no documents give no rows, no items no hits.
     """
     spark = docs.sparkSession
     all_windows = stored(windows(items, window, shingle), "windows")
@@ -189,7 +191,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
         "prefixes",
     )
     marks = spark.sparkContext.broadcast(_bits(rarest.select("token").distinct()))
-    own = stored(_candidates(docs, marks, sizes, window), "candidates")
+    own = stored(_candidates(docs, marks, sizes, window, key), "candidates")
     found = own.select("row", F.explode("hits").alias("hit")).select("row", "hit.*")
     length = F.size("words")
     verified = (
@@ -208,10 +210,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
             )
         ).cast("long").alias("n_hit")
     )
-    key = F.xxhash64("words")
+    words_key = F.xxhash64("words")
     held = (
         verified.select("row", "words").distinct()
-        .withColumns({"key": key, "salt": F.pmod(F.hash("row"), F.lit(SALTS))})
+        .withColumns({"key": words_key, "salt": F.pmod(F.hash("row"), F.lit(SALTS))})
         .join(
             all_windows.select("item_id", F.col("words").alias("_words")).withColumns(
                 {"key": F.xxhash64("_words"), "salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))}
@@ -231,6 +233,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
             F.coalesce(F.size("item_ids").cast("long"), F.lit(0).cast("long")).alias("n_items"),
             F.sha2(F.coalesce(F.array_join("item_ids", ","), F.lit("")), 256).alias("items_sha256"),
             (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+            *([F.col("row").cast(docs.schema[key].dataType).alias(key)] if key else []),
         )
     )
 

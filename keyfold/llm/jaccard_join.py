@@ -78,8 +78,8 @@ def _text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def classes(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """``doc_id, n, sig`` per row; a text without words has ``n`` 0 and a null ``sig``."""
+def classes(docs: DataFrame, size: int = WORDS, key: str | None = None) -> DataFrame:
+    """``doc_id, n, sig``, and ``row`` if ``docs`` has a long ``key``, per row; a text without words has ``n`` 0 and a null ``sig``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,11 +87,13 @@ def classes(docs: DataFrame, size: int = WORDS) -> DataFrame:
             for row, own in _sets(batch.column(1), size):
                 if len(own):
                     n[row], sig[row] = len(own), _signature(own)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64())], names=["doc_id", "n", "sig"]
-            )
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig", "row"][: len(columns)])
 
-    return _text(docs).mapInArrow(run, "doc_id long, n long, sig long")
+    text = _text(docs)
+    if key:
+        text = docs.select(*[F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"))], F.col(key).alias("row"))
+    return text.mapInArrow(run, "doc_id long, n long, sig long" + ", row long" * bool(key))
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,28 +435,33 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, hot_list:
     )
 
 
-def components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, hot_list: int = HOT_LIST) -> DataFrame:
+def components(
+    docs: DataFrame, size: int = WORDS, percent: int = PERCENT, hot_list: int = HOT_LIST, key: str | None = None
+) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row.
 
     ``component_id`` is the smallest ``doc_id`` that links reach. A null or empty text, or one
     without words, has no shingles and reaches only itself. Rows that repeat a ``doc_id`` or have
-    none are rows of their own; a component of rows without ``doc_id`` has a null id. An empty
-    table gives an empty one.
+    none are rows of their own; a component of rows without ``doc_id`` has a null id. A long column
+    ``key`` of ``docs`` that is unique and stored is given too, with ``is_first``: whether a row is its component's
+    first by ``doc_id``, nulls last, and ``key``. An empty table gives an empty one.
     """
-    own = stored(classes(docs, size), "classes")
+    own = stored(classes(docs, size, key), "classes")
     label = groups(links(docs, size, percent, hot_list))
-    per_class = own.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    per_class = own.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), *([F.min(rank).alias("head")] if key else []))
     per_class = per_class.join(label.toDF("sig", "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     per_class = stored(per_class, "per-class")
-    least = per_class.groupBy("label").agg(F.min("least").alias("component"))
-    to = per_class.join(least, "label").select("sig", "component")
+    least = per_class.groupBy("label").agg(F.min("least").alias("component"), *([F.min("head").alias("head")] if key else []))
+    to = per_class.select("sig", "label").join(least, "label").select("sig", "component", *([F.col("head.row").alias("head")] if key else []))
     # texts without words have no class: a key of their own keeps them out of one task
-    key = F.coalesce("sig", F.xxhash64("doc_id", F.lit("none")))
+    class_key = F.coalesce("sig", F.xxhash64("doc_id", F.lit("none")))
     return (
-        own.withColumn("key", key)
+        own.withColumn("key", class_key)
         .join(to.withColumnRenamed("sig", "_sig"), (F.col("key") == F.col("_sig")) & F.col("sig").isNotNull(), "left")
         .select(
             "doc_id", F.col("n").alias("n_shingles"),
             F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+            *([F.col("row").alias(key), (F.col("sig").isNull() | (F.col("row") == F.col("head"))).alias("is_first")] if key else []),
         )
     )

@@ -414,3 +414,20 @@ def test_stages_do_what_they_say(spark):
     empty = docs.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DATA).count() == 0
+
+
+def test_stages_decide_rows_without_or_with_repeated_ids(spark):
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    item = next(r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() if len(r["text"].split()) >= 12)
+    one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(7, one), (7, one), (None, one), (9, one + " x"), (None, two), (None, two), (3, None), (None, ""), (7, "other words")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], schema)
+    got = corpus_pipeline.drop_near_copies(spark, docs, DATA)
+    assert got.columns == docs.columns
+    want = [(7, one), (None, two), (3, None), (None, ""), (7, "other words")]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
+    rows = [(1, item), (1, "clean words"), (None, "x " + item), (None, "clean words"), (None, None), (2, one)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], schema)
+    got = corpus_pipeline.drop_contaminated(spark, docs, DATA)
+    want = [(1, "clean words"), (None, "clean words"), (None, None), (2, one)]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
