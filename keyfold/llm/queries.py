@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyfold.llm import decontaminate, html_extract, jaccard_join, packing, pii, quality_crf, quality_rules, substring_dedup, toxicity, url_filter
+from keyfold.llm import (
+    decontaminate,
+    filter_audit,
+    html_extract,
+    jaccard_join,
+    packing,
+    passage_sketch,
+    periodic_runs,
+    pii,
+    quality_crf,
+    quality_rules,
+    substring_dedup,
+    toxicity,
+    url_filter,
+)
 
 
 def tokenizer_path() -> str:
@@ -60,6 +74,18 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(_read(spark, folder, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
+def op12_passage_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    return passage_sketch.fingerprints(_read(spark, folder, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.report(_read(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -72,6 +98,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_crf": op8_quality_crf,
         "op9_toxicity": op9_toxicity,
         "op10_url_filter": op10_url_filter,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_passage_sketch": op12_passage_sketch,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
@@ -80,4 +109,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontaminate": decontaminate.oracle_sql(),
         "op6_quality_rules": quality_rules.oracle_sql(),
         "op10_url_filter": url_filter.oracle_sql(),
+        "op11_filter_audit": filter_audit.oracle_sql(),
     }
