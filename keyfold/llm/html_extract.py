@@ -41,7 +41,7 @@ _BLOCK = frozenset(
 _CONTAINER = frozenset(
     "aside center details dialog div dl fieldset figure footer form header menu nav ol section table ul".split()
 )
-_HIDDEN = frozenset("head script style template svg math object canvas audio video noscript iframe xmp noembed noframes".split())
+_HIDDEN = frozenset("head script style template svg object canvas audio video noscript iframe xmp noembed noframes".split())
 _NAMED = frozenset("nav aside footer form button select textarea input dialog menu datalist".split())
 #: Words of a class, id or role that name something else than the article.
 _WORDS = frozenset(
@@ -50,6 +50,9 @@ _WORDS = frozenset(
     "breadcrumb breadcrumbs footer masthead comment comments disqus respond reply replies social share sharing related "
     "recommended widget widgets pagination pager toolbar skip login signup search contentinfo complementary alert".split()
 )
+#: Words that a name can have beside these, as in "site-footer" or "menu_left"; any other, as in "no-sidebar", makes it another name.
+_BESIDE = frozenset("site main page post top bottom left right box block bar area list section container wrapper inner outer primary secondary".split())
+_HEADED = _WORDS | {"header"}
 _NOT_ARTICLE = frozenset("comment comments reply replies ad ads advert advertisement promo related sponsored".split())
 #: A start tag of the keys ends open elements of the values, up to the nearest element of the third column.
 _CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"),
@@ -69,12 +72,13 @@ _WORD = re.compile("[a-z0-9]+")
 class Node:
     """An element: its children are nodes and texts in page order."""
 
-    __slots__ = ("tag", "words", "parent", "children", "hidden", "in_article", "size", "exact", "shape")
+    __slots__ = ("tag", "words", "names", "parent", "children", "hidden", "in_article", "holds_article", "size", "exact", "shape")
 
-    def __init__(self, tag: str, words: frozenset, parent: Node | None, hidden: bool):
-        self.tag, self.words, self.parent, self.hidden = tag, words, parent, hidden
+    def __init__(self, tag: str, words: frozenset, parent: Node | None, hidden: bool, names: frozenset = frozenset()):
+        self.tag, self.words, self.parent, self.hidden, self.names = tag, words, parent, hidden, names
         self.children: list = []
         self.in_article = parent is not None and (parent.in_article or parent.tag in ("article", "main"))
+        self.holds_article = False
         self.size = 0
 
 
@@ -111,7 +115,7 @@ def parse(html: str) -> Node:
             continue
         tag = m[2].lower()
         rest = m[3]
-        words, hidden = set(), False
+        words, names, hidden = set(), set(), False
         if len(rest) > 4:
             for a in _ATTRIBUTE.finditer(rest):
                 name, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
@@ -119,6 +123,7 @@ def parse(html: str) -> Node:
                     hidden = hidden or (name == "hidden" and a.end() - a.start() == 6) or value == "true"
                 else:
                     words.update(_WORD.findall(value))
+                    names.update(value.split())
         if tag in _BLOCK or tag in _CLOSES:
             ends, scope = _CLOSES.get(tag, (frozenset(), frozenset()))
             open_, to = node, node
@@ -134,7 +139,7 @@ def parse(html: str) -> Node:
                     leave(open_.parent)
                     break
                 open_ = open_.parent
-        new = Node(tag, frozenset(words), node, hidden)
+        new = Node(tag, frozenset(words), node, hidden, frozenset(names))
         node.children.append(new)
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(html, at)
@@ -179,6 +184,7 @@ def _hash_all(nodes: list[Node]) -> None:
                     shape.append(c.shape)
                     last = c.shape
         node.size = size
+        node.holds_article = any(not isinstance(c, str) and (c.holds_article or c.tag in ("article", "main", "h1")) for c in node.children)
         node.exact = xxhash.xxh64_hexdigest("\0".join(exact).encode("utf-8", "surrogatepass"))
         node.shape = xxhash.xxh64_hexdigest("\0".join(shape).encode("utf-8", "surrogatepass"))
 
@@ -198,27 +204,56 @@ def template_hashes(node: Node, total: int) -> list[int]:
     return [_number("exact", node.exact), _number("shape", node.shape)]
 
 
-def _names_itself(node: Node) -> bool:
-    """Whether an element says that it is something else than the article."""
-    if node.tag in _HIDDEN or node.hidden or node.tag in _NAMED:
+def _named(node: Node, words: frozenset) -> bool:
+    """Whether a whole class, id or role is one of the words, or made of them and of ``_BESIDE``."""
+    for name in node.names & words:
         return True
-    if node.tag in ("", "html", "body", "main"):
+    for name in node.names:
+        parts = set(_WORD.findall(name))
+        if parts & words and parts <= words | _BESIDE:
+            return True
+    return False
+
+
+def _not_shown(node: Node) -> bool:
+    """What no page shows as its article, by its element alone."""
+    return node.tag in _HIDDEN or node.hidden or node.tag in _NAMED
+
+
+def _names_itself(node: Node, total: int) -> bool:
+    """Whether an element says that it is something else than the article.
+
+    Inside of the article, only comments, adverts and the like. Outside, an element that holds an article or the
+    page's heading never goes by its name, nor does one with more than ``MAX_TEXT`` of the text, save headers and comments.
+    """
+    if _not_shown(node):
+        return True
+    if node.tag in ("", "html", "body", "main") or not (node.names or node.tag == "header"):
         return False
-    if node.tag == "article":
-        return bool(node.words & _NOT_ARTICLE)
-    if node.tag == "header" or "header" in node.words:
-        return not node.in_article
-    return bool(node.words & _WORDS)
+    if node.tag == "article" or node.in_article:
+        return _named(node, _NOT_ARTICLE)
+    if node.holds_article:
+        return False
+    if node.tag == "header" or _named(node, _NOT_ARTICLE):
+        return True
+    return node.size <= MAX_TEXT * total and _named(node, _HEADED)
 
 
 def main_text(html: str, template: frozenset) -> str:
-    """The text of a page without the subtrees of its site's template, one block a line."""
+    """The text of a page without the subtrees of its site's template, one block a line.
+
+    A page of which names and template would leave nothing keeps all that its elements show.
+    """
     root = parse(html)
     nodes = _walk(root)
     _hash_all(nodes)
     dropped = {
-        id(n) for n in nodes if _names_itself(n) or any(h in template for h in template_hashes(n, root.size))
+        id(n) for n in nodes if _names_itself(n, root.size) or any(h in template for h in template_hashes(n, root.size))
     }
+    return _text_without(root, nodes, dropped) or _text_without(root, nodes, {id(n) for n in nodes if _not_shown(n)})
+
+
+def _text_without(root: Node, nodes: list[Node], dropped: set[int]) -> str:
     # an article element stands for the page if it has most of the text that is left
     left: dict[int, int] = {}
     for n in reversed(nodes):
@@ -286,15 +321,13 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
         .groupBy("host", "hash")
         .agg(F.count("*").alias("n"))
     )
-    own = counts.where(F.col("hash").isNull() | (F.col("n") >= min_pages))
+    sizes = counts.where("hash is null").select(F.col("host").alias("_host"), F.col("n").alias("pages"))
+    # the share decides before anything is gathered, so that a host's list is as short as it says
+    recurring = counts.where(F.col("hash").isNotNull() & (F.col("n") >= min_pages)).join(sizes, F.col("host").eqNullSafe(F.col("_host")))
     return (
-        own.groupBy("host")
-        .agg(
-            F.max(F.when(F.col("hash").isNull(), F.col("n"))).alias("pages"),
-            F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("hash", "n"))).alias("found"),
-        )
-        .select("host", F.expr(f"transform(filter(found, x -> x.n >= {min_share} * pages), x -> x.hash)").alias("template"))
-        .where(F.size("template") > 0)
+        recurring.where(F.col("n") >= F.lit(min_share) * F.col("pages"))
+        .groupBy("host")
+        .agg(F.collect_list("hash").alias("template"))
     )
 
 

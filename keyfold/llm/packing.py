@@ -7,8 +7,9 @@ sequence with gap g the sum changes by 2 * (N(g - size) - N(g) + 1), into a new
 2 * N(capacity - size) + 1. Ties go to the smallest gap. The items of sequences that
 stay open are placed once more where they fit best.
 
-Items are packed in blocks of bounded size, each in one task; the open sequences that blocks
-leave are then items themselves and are packed again until one block holds all that is left.
+Items are packed in blocks of bounded size, each in one task. The items of the sequences that blocks
+leave open are packed again in other blocks; when that closes few more, the open sequences are items themselves
+and are packed until one block holds all that is left.
 Nothing is gathered on the driver, and no task sees more than a block.
 """
 
@@ -18,6 +19,7 @@ import json
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,6 +36,8 @@ CAPACITY = 2048
 BLOCK_ITEMS = 50_000
 #: Words whose ids a Python worker keeps; beyond it, the cache starts anew.
 CACHE_WORDS = 500_000
+#: A sequence with less than this part of its capacity left counts as closed.
+SLACK = 256
 END_ID = 0
 
 
@@ -269,7 +273,7 @@ def place_open_again(
 
 
 def _pack_blocks(items: DataFrame, capacity: int, base: int, items_per_block: int) -> tuple[DataFrame, int]:
-    """Items ``item, size`` packed in blocks; ``item, number, inner, fill`` and the block count."""
+    """Items ``item, size`` packed in blocks; ``item, size, number, inner, fill`` and the block count."""
     blocks = max(1, math.ceil(items.count() / items_per_block))
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
@@ -279,13 +283,13 @@ def _pack_blocks(items: DataFrame, capacity: int, base: int, items_per_block: in
         # the number holds round and block, so that it is the same whenever the task runs
         top = np.int64(base) + np.int64(block["block"].iloc[0])
         return pd.DataFrame(
-            {"item": block["item"], "number": (top << 24) + number, "inner": inner, "fill": fills[number]}
+            {"item": block["item"], "size": sizes, "number": (top << 24) + number, "inner": inner, "fill": fills[number]}
         )
 
     packed = (
-        items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
+        items.withColumn("block", F.pmod(F.xxhash64("item", F.lit(base)), F.lit(blocks)))
         .groupBy("block")
-        .applyInPandas(run, "item string, number long, inner long, fill long")
+        .applyInPandas(run, "item string, size long, number long, inner long, fill long")
     )
     return packed, blocks
 
@@ -299,41 +303,49 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, items_per_block: int = BLOCK_
     cut = stored(
         cut.select(
             "doc_id", "piece", "start", "length", "ids_crc32",
-            F.concat_ws(":", F.expr("uuid()")).alias("_item"),
+            F.monotonically_increasing_id().cast("string").alias("_item"),
         ),
         "pieces",
     )
     full = F.col("length") >= capacity
     items = cut.where(~full).select(F.col("_item").alias("item"), F.col("length").alias("size"))
-    placed = None  # _item -> number, offset
-    base, last = 1, 0
+    # items of sequences that a block leaves open are dealt to other blocks, as long as that closes a good part of them
+    parts, base, n = [], 1, items.count()
     while True:
         packed, blocks = _pack_blocks(items, capacity, base, items_per_block)
-        packed = stored(packed, "packed")
-        if placed is None:
-            placed = packed.select(F.col("item").alias("_item"), "number", F.col("inner").alias("offset"), "fill")
-        else:
-            moved = packed.select(
-                F.col("item").cast("long").alias("number"), F.col("number").alias("_to"), "inner", F.col("fill").alias("_fill")
-            )
-            placed = (
-                placed.join(moved, "number", "left")
-                .select(
-                    "_item",
-                    F.coalesce("_to", "number").alias("number"),
-                    (F.col("offset") + F.coalesce("inner", F.lit(0))).alias("offset"),
-                    F.coalesce("_fill", "fill").alias("fill"),
-                )
-            )
-        if blocks == 1 or blocks == last:
+        packed, base = stored(packed, "packed"), base + blocks
+        is_open = F.col("fill") + capacity // SLACK < capacity
+        left = packed.where(is_open).count() if blocks > 1 else 0
+        if not left or 10 * left > 9 * n:
             break
-        last, base = blocks, base + blocks
-        placed = stored(placed, "placed")
+        parts.append(packed.where(~is_open))
+        items, n = packed.where(is_open).select("item", "size"), left
+    placed = reduce(DataFrame.unionByName, [*parts, packed]).select(
+        F.col("item").alias("_item"), "number", F.col("inner").alias("offset"), "fill"
+    )
+    # what is open then is packed as it is, until one block holds it all
+    last = 0
+    while blocks > 1 and blocks != last:
+        last, placed = blocks, stored(placed, "placed")
         items = (
             placed.where(F.col("fill") < capacity)
             .select(F.col("number").cast("string").alias("item"), F.col("fill").alias("size"))
             .distinct()
         )
+        packed, blocks = _pack_blocks(items, capacity, base, items_per_block)
+        base += blocks
+        moved = stored(packed, "packed").select(
+            F.col("item").cast("long").alias("number"), F.col("number").alias("_to"), "inner", F.col("fill").alias("_fill")
+        )
+        placed = (
+            placed.join(moved, "number", "left")
+            .select(
+                "_item",
+                F.coalesce("_to", "number").alias("number"),
+                (F.col("offset") + F.coalesce("inner", F.lit(0))).alias("offset"),
+                F.coalesce("_fill", "fill").alias("fill"),
+            )
+        )
     small = cut.where(~full).join(placed.select("_item", "number", "offset"), "_item")
     whole = cut.where(full).withColumns(
         {"number": -F.abs(F.xxhash64("_item")) - 1, "offset": F.lit(0).cast("long")}
@@ -346,5 +358,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, items_per_block: int = BLOCK_
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, items_per_block: int = BLOCK_ITEMS
 ) -> DataFrame:
-    """Pieces of all documents with the sequence and the offset that hold them."""
+    """Pieces of all documents with the sequence and the offset that hold them.
+
+    A null or empty text is one piece, its end token. Rows that repeat or have no ``doc_id`` are documents of their
+    own; other columns are not looked at; an empty table gives an empty one. The same files give the same sequences.
+    """
     return pack(pieces(docs, tokenizer_path, capacity), capacity, items_per_block)
