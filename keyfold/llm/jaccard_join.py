@@ -79,7 +79,7 @@ def _text(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, size: int = WORDS, key: str | None = None) -> DataFrame:
-    """``doc_id, n, sig``, and ``row`` if ``docs`` has a long ``key``, per row; a text without words has ``n`` 0 and a null ``sig``."""
+    """``doc_id, n, sig``, and ``row`` if ``docs`` has a ``key``, per row; a text without words has ``n`` 0 and a null ``sig``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +93,7 @@ def classes(docs: DataFrame, size: int = WORDS, key: str | None = None) -> DataF
     text = _text(docs)
     if key:
         text = docs.select(*[F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"))], F.col(key).alias("row"))
-    return text.mapInArrow(run, "doc_id long, n long, sig long" + ", row long" * bool(key))
+    return text.mapInArrow(run, "doc_id long, n long, sig long" + (f", row {docs.schema[key].dataType.simpleString()}" if key else ""))
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +280,7 @@ def _marked(spark: SparkSession, need: DataFrame):
 
 
 def _sets_of(docs: DataFrame, need: DataFrame, size: int) -> DataFrame:
-    """``sig, items`` (sorted shingles, packed) of the wanted classes, one row each."""
+    """``sig, items`` (sorted shingles, packed) of the wanted classes, one row each, dealt by ``sig``."""
     marks = _marked(docs.sparkSession, need)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +303,7 @@ def _sets_of(docs: DataFrame, need: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(items, pa.binary())], names=["sig", "items"])
 
     found = _text(docs).mapInArrow(run, "sig long, items binary").join(need.select("sig"), "sig", "left_semi")
-    return stored(found.groupBy("sig").agg(F.first("items").alias("items")), "sets")
+    return found.groupBy("sig").agg(F.first("items").alias("items"))
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,8 +317,11 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """``a, b, overlap``: the exact overlap of each pair of sets."""
-    need = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
+    """``a, b, overlap``: the exact overlap of each pair of sets.
+
+    Sets are dealt by ``sig`` once and meet their pairs there; a pair then takes the set of ``a`` along to that of ``b``.
+    """
+    need = stored(pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct(), "need")
     items = _sets_of(docs, need, size)
     sides = pairs.join(items.toDF("a", "a_items"), "a").join(items.toDF("b", "b_items"), "b")
     return stored(sides.select("a", "b", "a_items", "b_items").mapInArrow(_overlaps, "a long, b long, overlap long"), "overlaps")
@@ -442,7 +445,7 @@ def components(
 
     ``component_id`` is the smallest ``doc_id`` that links reach. A null or empty text, or one
     without words, has no shingles and reaches only itself. Rows that repeat a ``doc_id`` or have
-    none are rows of their own; a component of rows without ``doc_id`` has a null id. A long column
+    none are rows of their own; a component of rows without ``doc_id`` has a null id. A column
     ``key`` of ``docs`` that is unique and stored is given too, with ``is_first``: whether a row is its component's
     first by ``doc_id``, nulls last, and ``key``. An empty table gives an empty one.
     """
