@@ -1,8 +1,10 @@
 """Extraction, personal data, packing, classifiers, URL rules and the pipeline."""
 
+import os
 import random
 import re
 import zlib
+from html import unescape
 
 import duckdb
 import numpy as np
@@ -10,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from keyfold.llm import html_extract, packing, pii, quality_crf, toxicity, url_filter
+from keyfold.llm import _rows, _store, html_extract, packing, pii, quality_crf, toxicity, url_filter
 from keyfold.llm._words import each
 from keyfold.llm.queries import tokenizer_path
 
@@ -53,12 +55,41 @@ def test_templates_go_and_articles_stay(spark):
         ("<article><header><h1>H</h1></header>x</article><header>top</header>", "H\nx"),
         ("<div>" * 20_000 + "deep", "deep"),
         ("a < b", "a < b"),
+        ('<div class="page no-sidebar"><p>hello world text</p></div>', "hello world text"),
+        ('<div class="social-science-article"><p>all of it</p></div>', "all of it"),
+        ("<article><p class=alert>a</p><ul class=menu><li>b</ul><math>c</math><div class=comments>d</div></article>", "a\nb\nc"),
+        ('<div class="entry-header"><h1>Title</h1></div><p>text of the article here</p>', "Title\ntext of the article here"),
+        ('<div class="widget"><p>the only text there is</p></div>', "the only text there is"),
+        ('<div class="site-footer">f</div><div id="menu_left">m</div><p>a long text stays</p><div class="comments">' + "c " * 50 + "</div>", "a long text stays"),
+        ('<div class="promo sidebar"><article>held</article></div>', "held"),
     ],
 )
 def test_blocks(html, text):
     assert html_extract.main_text(html, frozenset()) == text
 
 
+def article_of(html):
+    """The text of a test page: its one article element, by expressions instead of a tree."""
+    inner = re.search(r"<article>(.*?)</article>", html, re.S)[1]
+    inner = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>|<(form|aside|nav)\b.*?</\2>", "", inner, flags=re.S)
+    inner = re.sub(r"<(/?(p|h[1-6]|div|ul|ol|li|blockquote|table|tr|pre|section|figure|figcaption))\b[^>]*>", "\0", inner)
+    lines = (" ".join(unescape(re.sub(r"<[^>]*>", lambda m: " " if m[0][1:3] in ("br", "td", "th") else "", part)).split()) for part in inner.split("\0"))
+    return "\n".join(line for line in lines if line)
+
+
+def test_articles_of_the_test_pages(spark):
+    pages_ = spark.read.parquet(f"{DATA}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages_).collect()}
+    for r in pages_.collect():
+        assert got[r["page_id"]] == article_of(r["html"]), r["page_id"]
+
+
+def test_a_hosts_list_holds_its_share_only(spark):
+    rows = [(k, "http://hot.example/x", "<div>site</div>" + f"<ul><li>{k // 4}</li></ul>" + f"<p>{k} " + f"w{k} " * 30) for k in range(100)]
+    found = html_extract.templates(pages(spark, rows)).collect()
+    assert len(found) == 1 and 1 <= len(found[0]["template"]) <= 5
+
+
 RULES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -431,3 +462,30 @@ def test_stages_decide_rows_without_or_with_repeated_ids(spark):
     got = corpus_pipeline.drop_contaminated(spark, docs, DATA)
     want = [(1, "clean words"), (None, "clean words"), (None, None), (2, one)]
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("sent", [1 << 16, 0])
+def test_stages_keep_columns_of_any_name(spark, monkeypatch, tmp_path, sent):
+    """Rows of files and other rows, by few keys and by the bit map, with columns named like those of the stages."""
+    monkeypatch.setattr(_rows, "SENT_KEYS", sent)
+    one, two, three = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
+    rows = [(1, one, "x", 1), (2, one, "y", 2), (2, one + " z", "z", 3), (None, two, "x", 4), (None, two, "x", 4), (5, three, "x", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string, sig long")
+    docs.repartition(2).write.parquet(f"{tmp_path}/docs")
+    for own in (docs, spark.read.parquet(f"{tmp_path}/docs")):
+        got = corpus_pipeline.drop_near_copies(spark, own, DATA)
+        assert got.columns == docs.columns
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [rows[0], rows[3], rows[5]]))
+        got = corpus_pipeline.drop_contaminated(spark, own, DATA)
+        assert got.columns == docs.columns and got.count() == len(rows)
+
+
+def test_working_tables_go_and_results_stay(spark):
+    with _store.working(spark) as kept:
+        inner = _store.stored(spark.range(5).toDF("a"), "inner")
+        with _store.working(spark) as innermost:
+            outer = innermost(inner.selectExpr("a + 1 as a"), "outer")
+        result = kept(outer.where("a > 2"), "result")
+        folder = inner.inputFiles()[0]
+    assert sorted(r["a"] for r in result.collect()) == [3, 4, 5]
+    assert not os.path.exists(os.path.dirname(folder.removeprefix("file://")))
