@@ -3,33 +3,21 @@
 A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and
 read again as the next one's ``docs``. All but the last return the columns of ``docs``. A stage that
 drops rows by a decision gives each a key of its own first, so rows without ``doc_id`` and rows
-that repeat one are decided each on its own. Empty tables pass through.
+that repeat one are decided each on its own; what the decision needed is deleted before the stage ends. Columns
+beside ``doc_id`` and ``text``, whatever their names, pass through all stages but the last. Empty tables pass through.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from keyfold.llm import decontaminate, jaccard_join, packing, pii, queries, toxicity
-from keyfold.llm._store import stored
+from keyfold.llm._rows import keyed, without
+from keyfold.llm._store import stored, working
 
 TOXIC_FROM = 0.5
 
 
-KEY = "_row"
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key for every row, stored so that it is the same whenever it is read."""
-    return stored(docs.withColumn(KEY, F.monotonically_increasing_id()), "rows")
-
-
-def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows whose key is not among ``gone``, without the key."""
-    return rows.join(gone.select(KEY), KEY, "left_anti").drop(KEY)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below ``TOXIC_FROM``."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -41,15 +29,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts without words are in no group, so all of their rows stay.
     """
-    rows = _keyed(docs)
-    return _without(rows, jaccard_join.components(rows, key=KEY).where("not is_first"))
+    rows, key = keyed(docs)
+    with working(spark) as kept:
+        gone = kept(jaccard_join.components(rows, key=key).where("not is_first").select(key), "gone")
+    return without(rows, key, gone)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    rows = _keyed(docs)
-    found = decontaminate.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=KEY)
-    return _without(rows, found.where("contaminated"))
+    rows, key = keyed(docs)
+    with working(spark) as kept:
+        found = decontaminate.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=key)
+        gone = kept(found.where("contaminated").select(key), "gone")
+    return without(rows, key, gone)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
