@@ -12,7 +12,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keyfold.functions.predicates import all_of, typed_equal, typed_literal
-from keyfold.functions.tokens import cursor, cursor_value
+from keyfold.functions.tokens import cursor, cursor_value, cursor_values
 from keyfold.model import DEFAULT_PAGE, MAX_PAGE, TableSpec
 from keyfold.plans.skew import key_cuts, locate
 
@@ -99,25 +99,69 @@ def _after(df: DataFrame, key: str, token: str | None) -> DataFrame:
     return df.filter(F.col(key) > typed_literal(last, df.schema[key].dataType))
 
 
+#: a column and whether it ascends; ascending puts NULL first, descending last
+Order = Sequence[tuple[str, bool]]
+
+
+def _sorted_by(order: Order) -> list[Column]:
+    return [F.col(n).asc_nulls_first() if up else F.col(n).desc_nulls_last() for n, up in order]
+
+
+def beyond(df: DataFrame, order: Order, values: Mapping[str, object]) -> Column:
+    """Whether a row comes after the one with ``values``: by the first column, ties by the next ones.
+
+    Only the last column has to tell all rows apart; the others may repeat and be NULL.
+    """
+    (name, up), rest = order[0], order[1:]
+    column, value = F.col(name), values[name]
+    if value is None:
+        same, later = column.isNull(), column.isNotNull() if up else F.lit(False)
+    else:
+        bound = typed_literal(value, df.schema[name].dataType)
+        same = column == bound
+        later = column > bound if up else (column < bound) | column.isNull()
+    return later | (same & beyond(df, rest, values)) if rest else later
+
+
+def _continued(df: DataFrame, order: Order, token: str | None) -> DataFrame:
+    last = cursor_values(token, [n for n, _ in order])
+    return df if last is None else df.filter(beyond(df, order, last))
+
+
 def page(
     df: DataFrame,
     key: str,
     filters: Mapping[str, object] | None = None,
     limit: int | None = None,
     token: str | None = None,
+    by: str | None = None,
+    descending: bool = False,
 ) -> DataFrame:
     """A page with its record count and the cursor of the next page on every row.
 
+    In key order, or sorted ``by`` a field that may repeat and be NULL, ties in key order: its cursor
+    holds both, so that pages neither lose nor repeat a record.
+    """
+    chosen = index_filters(df, filters)
+    if by is None or by == key:
+        return _enveloped(_after(chosen, key, token), [(key, True)], limit)
+    order = [(by, not descending), (key, True)]
+    return _enveloped(_continued(chosen, order, token), order, limit)
+
+
+def _enveloped(df: DataFrame, order: Order, limit: int | None) -> DataFrame:
+    """The first page of ``df``.
+
     One record more than the page is fetched; it only tells whether there is a next
     page. The windows below see at most ``MAX_PAGE + 1`` rows.
     """
-    size = page_limit(limit)
-    fetched = _after(index_filters(df, filters), key, token).orderBy(key).limit(size + 1)
+    size, ordered = page_limit(limit), _sorted_by(order)
+    fetched = df.orderBy(*ordered).limit(size + 1)
     whole = Window.partitionBy(F.lit(0))
-    ranked = fetched.withColumn("_n", F.row_number().over(whole.orderBy(key))).withColumn(
+    ranked = fetched.withColumn("_n", F.row_number().over(whole.orderBy(*ordered))).withColumn(
         "_more", F.max("_n").over(whole) > size
     )
-    last = F.when(F.col("_more") & (F.col("_n") == size), cursor(key))
+    last = F.when(F.col("_more") & (F.col("_n") == size), cursor(*[n for n, _ in order]))
     return (
         ranked.withColumn("_token", last)
         .filter(F.col("_n") <= size)
@@ -156,9 +200,24 @@ def query(
     limit: int | None = None,
     start_after: object | None = None,
     forward: bool = True,
+    key: str | None = None,
+    token: str | None = None,
 ) -> DataFrame:
-    """Key query: equality on the key or an indexed field, residual filters, direction."""
+    """Key query: equality on the key or an indexed field, residual filters, direction.
+
+    ``start_after`` is a value of ``order_key``, which must not repeat then. With the record ``key``,
+    records with the same value come in key order and ``start_after`` is a pair, or ``token`` the cursor of
+    :func:`query_page`.
+    """
     chosen = index_filters(df, key_condition).filter(all_of(df, filters))
+    if key is not None:
+        order = [(order_key, forward), (key, forward)]
+        chosen = _continued(chosen, order, token)
+        if start_after is not None:
+            chosen = chosen.filter(beyond(df, order, dict(zip((order_key, key), start_after, strict=True))))
+        ordered = chosen.orderBy(*_sorted_by(order))
+        ordered = ordered if limit is None else ordered.limit(limit)
+        return ordered if fields is None else project(ordered, fields)
     if start_after is not None:
         bound = typed_literal(start_after, df.schema[order_key].dataType)
         chosen = chosen.filter(F.col(order_key) > bound if forward else F.col(order_key) < bound)
@@ -168,12 +227,33 @@ def query(
     return ordered if fields is None else project(ordered, fields)
 
 
+def query_page(
+    df: DataFrame,
+    key_condition: Mapping[str, object],
+    order_key: str,
+    key: str,
+    filters: Iterable[Mapping] = (),
+    limit: int | None = None,
+    token: str | None = None,
+    forward: bool = True,
+) -> DataFrame:
+    """One page of a key query with its record count and the cursor of the next page on every row."""
+    chosen = index_filters(df, key_condition).filter(all_of(df, filters))
+    order = [(order_key, forward), (key, forward)]
+    return _enveloped(_continued(chosen, order, token), order, limit)
+
+
 def list_sorted(
-    df: DataFrame, key: str, by: str, descending: bool = False, limit: int | None = None
+    df: DataFrame,
+    key: str,
+    by: str,
+    descending: bool = False,
+    limit: int | None = None,
+    token: str | None = None,
 ) -> DataFrame:
-    """A page sorted by any field, ties in key order."""
-    order = F.col(by).desc() if descending else F.col(by).asc()
-    return df.orderBy(order, F.col(key).asc()).limit(page_limit(limit))
+    """A page sorted by any field, ties in key order; ``token`` is the cursor of a :func:`page` in this order."""
+    order = [(by, not descending), (key, True)]
+    return _continued(df, order, token).orderBy(*_sorted_by(order)).limit(page_limit(limit))
 
 
 def count(df: DataFrame, filters: Mapping[str, object] | None = None) -> DataFrame:
@@ -218,9 +298,10 @@ def page_index(df: DataFrame, key: str, size: int = MAX_PAGE, ranges: int | None
 
 
 def _numbered(df: DataFrame, key: str, ranges: int | None) -> DataFrame:
-    # as many ranges as the table needs, whatever the session's number of partitions is
-    parts = ranges or max(1, -(-df.count() // RANGE_ROWS))
-    cuts = key_cuts(df, key, parts)
+    # as many ranges as the table needs, and one for every core
+    rows = df.count()
+    parts = ranges or max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // RANGE_ROWS))
+    cuts = key_cuts(df, key, parts, rows)
     piece = locate(F.col(key), cuts).alias("_range")
     sizes = df.select(piece).groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     # at most len(cuts) + 1 rows

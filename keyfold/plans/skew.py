@@ -194,6 +194,6 @@ def lookup(
     )
 
 
-def key_cuts(df: DataFrame, key: str, parts: int) -> list:
+def key_cuts(df: DataFrame, key: str, parts: int, rows: int | None = None) -> list:
     """At most ``parts - 1`` sorted key values that cut unique keys into even ranges."""
-    return _sampled_cuts(df.select(key), df.count(), parts)
+    return _sampled_cuts(df.select(key), df.count() if rows is None else rows, parts)

@@ -45,6 +45,37 @@ def _micros_token(spark, d):
     return read.page(_micros(spark, d), "at", limit=40).first()["next_token"]
 
 
+def _ranked(spark, d):
+    """Orders with a rank that repeats, and that a seventh of them doesn't have."""
+    return _orders(spark, d).select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).alias("rank")
+    )
+
+
+def _third_page(first_pages):
+    """Follows the cursors of two pages; ``first_pages`` takes a cursor and gives a page."""
+    token = first_pages(None).first()["next_token"]
+    return first_pages(first_pages(token).first()["next_token"])
+
+
+def sorted_next_page(s, d):
+    """The third page of orders by descending rank; the ranks of all three are the same."""
+    rows = _ranked(s, d)
+    return _third_page(
+        lambda token: read.page(rows, "o_orderkey", limit=70, token=token, by="rank", descending=True)
+    )
+
+
+def query_next_page(s, d):
+    """The third page of a user's events by kind, backwards."""
+    rows = table(s, d, "events").select("event_id", "user_id", "event_type")
+    return _third_page(
+        lambda token: read.query_page(
+            rows, {"user_id": 12}, "event_type", "event_id", limit=2, token=token, forward=False
+        )
+    ).drop("next_token")
+
+
 FRACTIONS = [
     {"field": "o_orderkey", "operator": "gte", "value": 3.5},
     {"field": "o_orderkey", "operator": "lt", "value": "1200.5"},
@@ -117,6 +148,8 @@ QUERIES = {
     "list_sorted": lambda s, d: read.list_sorted(
         _orders(s, d), "o_orderkey", "o_totalprice", descending=True
     ),
+    "sorted_next_page": sorted_next_page,
+    "query_next_page": query_next_page,
     "count_records": lambda s, d: read.count(_orders(s, d)),
     "count_filtered": lambda s, d: read.count(_orders(s, d), {"o_orderstatus": "P"}),
 }
@@ -172,6 +205,19 @@ ORACLES = {
     "order by event_id desc limit 20",
     "project_fields": "select p_partkey, p_name, p_retailprice from part",
     "list_sorted": "select * from orders order by o_totalprice desc, o_orderkey limit 50",
+    "sorted_next_page": """
+        with r as (select o_orderkey, case when o_orderkey % 7 <> 0 then o_orderpriority end as rank from orders),
+        n as (select *, row_number() over (order by rank desc nulls last, o_orderkey) rn from r)
+        select o_orderkey, rank, (select count(*) from n where rn between 141 and 210) as page_count,
+               case when (select count(*) from n) > 210 then
+                 (select base64(encode('{"rank":' || coalesce('"' || rank || '"', 'null') || ',"o_orderkey":' || o_orderkey || '}'))
+                  from n where rn = 210) end as next_token
+        from n where rn between 141 and 210""",
+    "query_next_page": """
+        with n as (select event_id, user_id, event_type,
+                          row_number() over (order by event_type desc, event_id desc) rn from events where user_id = 12)
+        select event_id, user_id, event_type, (select count(*) from n where rn between 5 and 6) as page_count
+        from n where rn between 5 and 6""",
     "count_records": "select count(*) as n from orders",
     "count_filtered": "select count(*) as n from orders where o_orderstatus='P'",
 }

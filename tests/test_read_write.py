@@ -99,6 +99,45 @@ def test_query_direction_and_start(people):
     assert [r["id"] for r in back.collect()] == ["p098", "p096", "p094"]
 
 
+def _all_pages(page):
+    token, seen = None, []
+    while True:
+        rows = page(token).collect()
+        seen += rows
+        token = rows[0]["next_token"] if rows else None
+        if token is None:
+            return seen
+
+
+@pytest.mark.parametrize("descending", [True, False])
+@pytest.mark.parametrize("by", ["few", "x", "at", "n"])
+def test_pages_by_a_field_that_repeats(spark, by, descending):
+    rows = spark.range(240).selectExpr(
+        "id AS n", "lpad(id, 4, '0') AS id", "CASE WHEN id % 3 > 0 THEN id % 4 END AS few",
+        "CASE WHEN id % 5 = 1 THEN double('NaN') WHEN id % 5 > 1 THEN (id % 7) / 3 END AS x",
+        "CASE WHEN id % 4 > 0 THEN timestamp_micros(1700000000000001 + id % 6) END AS at",
+    )
+    want = rows.orderBy(F.col(by).desc() if descending else F.col(by).asc(), "id").collect()
+    got = _all_pages(lambda t: read.page(rows, "id", limit=37, token=t, by=by, descending=descending))
+    assert [r["id"] for r in got] == [r["id"] for r in want]
+    back = _all_pages(lambda t: read.query_page(rows, {}, by, "id", limit=37, token=t, forward=not descending))
+    order = F.col(by).desc() if descending else F.col(by).asc()
+    want = rows.orderBy(order, F.col("id").desc() if descending else F.col("id").asc()).collect()
+    assert [r["id"] for r in back] == [r["id"] for r in want]
+    second = read.list_sorted(rows, "id", by, descending, limit=37, token=got[0]["next_token"]).collect()
+    assert [r["id"] for r in second] == [r["id"] for r in got[37:74]]
+
+
+def test_query_continues_behind_a_pair(people):
+    rows = people.withColumn("few", F.col("n") % 3)
+    first = read.query(rows, {"even": True}, "few", limit=50, key="id")
+    last = first.collect()[-1]
+    rest = read.query(rows, {"even": True}, "few", key="id", start_after=(last["few"], last["id"]))
+    assert len({r["id"] for r in first.unionByName(rest).collect()}) == first.count() + rest.count() == 125
+    # a cursor of another order starts from the beginning
+    assert read.query(rows, {"even": True}, "few", key="id", token="eyJuIjo1fQ==").count() == 125
+
+
 def test_filters_reach_the_scan(spark, data):
     def text(df):
         return df._jdf.queryExecution().executedPlan().toString()
