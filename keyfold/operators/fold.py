@@ -46,7 +46,11 @@ def deltas(log: DataFrame, spec: LogSpec) -> DataFrame:
 
 def fold(log: DataFrame, spec: LogSpec) -> DataFrame:
     """State per key after a whole log, tombstones of deleted keys included."""
-    changed = deltas(log, spec)
+    return settle(deltas(log, spec), spec)
+
+
+def settle(changed: DataFrame, spec: LogSpec) -> DataFrame:
+    """State per key that deltas from the beginning of the log describe."""
     live = F.col("reset") == CREATE
     return changed.filter(F.col("reset").isNotNull()).select(
         *spec.keys,
@@ -58,6 +62,58 @@ def fold(log: DataFrame, spec: LogSpec) -> DataFrame:
     )
 
 
+def placed_deltas(log: DataFrame, spec: LogSpec) -> DataFrame:
+    """Deltas that know where in the order each of their parts comes from.
+
+    Every part is struct(at, v). Such deltas compose in any order, and one that comes twice changes
+    nothing (see :func:`combine`): a batch can be written once, replayed or late, and never touches another.
+    """
+    seq, op, ts = F.col(spec.seq), F.col(spec.op), F.col(spec.ts)
+
+    def latest(value: Column, where: Column) -> Column:
+        return F.max_by(F.when(where, F.struct(seq.alias("at"), value.alias("v"))), F.when(where, seq))
+
+    return (
+        log.filter(op != PUBLISH)
+        .groupBy(*spec.keys)
+        .agg(
+            F.max(seq).alias(LAST_SEQ),
+            latest(op, spec.is_reset()).alias("reset"),
+            latest(ts, op == CREATE).alias(CREATED),
+            latest(ts, op != DELETE).alias(UPDATED),
+            *[latest(spec.value(f), spec.assigned(f)).alias(f"set_{f}") for f in spec.fields],
+        )
+    )
+
+
+def combine(placed: DataFrame, spec: LogSpec) -> DataFrame:
+    """Any number of placed deltas of a key as one; the later position wins each part.
+
+    Associative, commutative and idempotent, one aggregation with partial results, so a key that is in every
+    batch costs one row per task.
+    """
+    parts = ["reset", CREATED, UPDATED, *[f"set_{f}" for f in spec.fields]]
+    return placed.groupBy(*spec.keys).agg(
+        F.max(LAST_SEQ).alias(LAST_SEQ), *[F.max_by(p, F.col(p)["at"]).alias(p) for p in parts]
+    )
+
+
+def settle_placed(placed: DataFrame, spec: LogSpec) -> DataFrame:
+    """State per key from placed deltas, equal to :func:`fold` of all their rows."""
+    one = combine(placed, spec)
+    return settle(
+        one.select(
+            *spec.keys,
+            LAST_SEQ,
+            F.col("reset.v").alias("reset"),
+            F.col(f"{CREATED}.v").alias(CREATED),
+            F.col(f"{UPDATED}.v").alias(UPDATED),
+            *[F.col(f"set_{f}") for f in spec.fields],
+        ),
+        spec,
+    )
+
+
 def advance(state: DataFrame, log: DataFrame, spec: LogSpec) -> DataFrame:
     """State after one more stretch of log; equals folding both stretches at once.
 

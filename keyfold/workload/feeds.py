@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, types as T
 
-from keyfold.operators import fanout as fan, feed
+from keyfold.operators import asof, fanout as fan, feed
 from keyfold.session import work_dir
 from keyfold.sources.log import EVENT_LOG, events_as_log
 from keyfold.sources.tables import table
@@ -82,6 +82,12 @@ def edit_history(s, d):
     )
 
 
+def record_as_of(s, d):
+    """Users as they were at the positions that orders name."""
+    asked = table(s, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"))
+    return asof.records_as_of(_log(s, d), asked, EVENT_LOG)
+
+
 def _published(s, d):
     """Pending orders as events about a user; nothing of them is stored."""
     orders = table(s, d, "orders").filter(F.col("o_orderstatus") == "P")
@@ -169,7 +175,7 @@ def delivery_counts(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        accepted, images, sub_create, sub_update, sub_delete, sub_update_filtered, edit_history,
+        accepted, images, sub_create, sub_update, sub_delete, sub_update_filtered, edit_history, record_as_of,
         publish_events, publish_union, own_excluded, fanout, fanout_channel, delivery_counts,
         delivery_counts_own,
     )
@@ -208,6 +214,10 @@ ORACLES = {
     "sub_update_filtered": _PAYLOAD + " select id, seq, value from pay where op = 'update' and id = 12",
     "edit_history": IMAGES
     + """ select id, seq, ts, old_value, new_value, old_props, new_props from img where op = 'update'""",
+    "record_as_of": IMAGES
+    + """, asked as (select distinct o_custkey as id, o_orderkey as seq from orders)
+    select asked.id, asked.seq, new_value as value, new_props as props
+    from asked asof join img on asked.id = img.id and asked.seq >= img.seq where op <> 'delete'""",
     "publish_events": """
     select o_custkey as id, o_orderkey as seq, 'publish' as op, o_totalprice as value
     from orders where o_orderstatus = 'P'""",

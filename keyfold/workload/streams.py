@@ -9,6 +9,7 @@ from keyfold.session import work_dir
 from keyfold.sources.log import EVENT_LOG, events_as_log
 from keyfold.sources.tables import table
 from keyfold.streaming import channels
+from keyfold.streaming.deltas import DeltaTable
 from keyfold.streaming.pipeline import ChangePipeline, split_by_order
 from keyfold.workload import feeds, writes
 from keyfold.workload.common import LOG
@@ -65,6 +66,30 @@ def stream_table(s, d):
     return _run_pipeline(s, d).table()
 
 
+def _run_deltas(s, d):
+    """The log as deltas of three batches, merged behind the second."""
+    root = work_dir(s, "deltas")
+    log = _log(s, d)
+    split_by_order(log, "seq", 3, f"{root}/parts")
+    deltas = DeltaTable(s, root, EVENT_LOG, log.schema)
+    for part in range(3):
+        arrived = s.read.parquet(f"{root}/parts").filter(F.col("part") == part).drop("part")
+        arrived.write.mode("append").parquet(f"{root}/in")
+        stream = channels.read_stream(s, f"{root}/in", log.schema)
+        deltas.start(stream, with_feed=True, available_now=True).awaitTermination()
+        if part == 1:
+            deltas.merge()
+    return deltas
+
+
+def delta_table(s, d):
+    return _run_deltas(s, d).table()
+
+
+def delta_feed(s, d):
+    return feeds.flat_images(_run_deltas(s, d).feed())
+
+
 def stream_fanout(s, d):
     """Deliveries to all subscribers as the feed's files come in."""
     root = work_dir(s, "fanout")
@@ -91,7 +116,7 @@ def stream_updates(s, d):
     return s.read.parquet(f"{root}/out")
 
 
-QUERIES = {f.__name__: f for f in (stream_sink, stream_resume, stream_feed, stream_table, stream_fanout, stream_updates)}
+QUERIES = {f.__name__: f for f in (stream_sink, stream_resume, stream_feed, stream_table, delta_table, delta_feed, stream_fanout, stream_updates)}
 
 ORACLES = {
     "stream_sink": LOG + " select id, seq, value, props from l where op = 'update'",
@@ -100,4 +125,6 @@ ORACLES = {
     "stream_updates": feeds.ORACLES["publish_union"],
     "stream_feed": feeds.ORACLES["images"],
     "stream_table": writes.ORACLES["fold_incremental"],
+    "delta_table": writes.ORACLES["fold_incremental"],
+    "delta_feed": feeds.ORACLES["images"],
 }
