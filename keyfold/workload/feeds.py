@@ -155,6 +155,30 @@ def fanout(s, d):
     return pairs.select("seq", "sub_id")
 
 
+def range_subscriptions(s, d):
+    """Parts as watchers of a stretch of values, of a lowest or highest one, of all but one, or of a piece of ``props``."""
+    price, size = F.col("p_retailprice"), F.col("p_size")
+    low = F.round(price % 490, 1)
+    kind = F.col("p_partkey") % 8
+    return table(s, d, "part").select(
+        F.col("p_partkey").alias("sub_id"),
+        F.when(size % 2 == 0, "update").otherwise("create").alias("event"),
+        F.when(kind == 0, F.array(_filter("value", "gt", F.lit(480) + low / 49)))
+        .when(kind == 1, F.array(_filter("value", "lte", low / 49)))
+        .when(kind == 2, F.array(_filter("value", "ne", low), _filter("id", "eq", size)))
+        .when(kind == 3, F.array(_filter("props", "contains", F.concat(F.lit(" "), size.cast("string"), F.lit("}")))))
+        .when(kind == 4, F.array(_filter("value", "gte", low), _filter("id", "eq", size)))
+        .otherwise(F.array(_filter("value", "gte", low), _filter("value", "lt", low + 2)))
+        .alias("filters"),
+    )
+
+
+def fanout_ranges(s, d):
+    """Events with every subscription to a range of values, to other values, or to a piece of text."""
+    subscribed = fan.store_topics(range_subscriptions(s, d), FIELDS, work_dir(s, "topics"))
+    return fan.fanout(payload_of(s, d), subscribed, FIELDS).select("seq", "sub_id")
+
+
 def fanout_channel(s, d):
     """The whole channel: stored changes and published events, to everyone who wants them."""
     published = _published(s, d).withColumn("props", F.lit(None).cast("string"))
@@ -176,7 +200,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         accepted, images, sub_create, sub_update, sub_delete, sub_update_filtered, edit_history, record_as_of,
-        publish_events, publish_union, own_excluded, fanout, fanout_channel, delivery_counts,
+        publish_events, publish_union, own_excluded, fanout, fanout_ranges, fanout_channel, delivery_counts,
         delivery_counts_own,
     )
 }
@@ -228,6 +252,14 @@ ORACLES = {
     select o_custkey, o_orderkey, o_totalprice, null, 'publish' from orders where o_orderstatus = 'P'""",
     "own_excluded": "select * from conversations where role <> 'user'",
     "fanout": _SUBS + " select seq, sub_id from pairs where not own",
+    "fanout_ranges": _PAYLOAD
+    + """,
+    watch as (select p_partkey sub_id, case when p_size % 2 = 0 then 'update' else 'create' end event,
+                     p_partkey % 8 kind, p_size, round(p_retailprice % 490, 1) low from part)
+    select seq, sub_id from pay join watch on op = event and case
+      when kind = 0 then value > 480 + low / 49 when kind = 1 then value <= low / 49
+      when kind = 2 then value <> low and id = p_size when kind = 3 then contains(props, ' ' || p_size || '}')
+      when kind = 4 then value >= low and id = p_size else value >= low and value < low + 2 end""",
     "fanout_channel": _SUBS
     + """, ev as (select id, seq, op, op as event, value, props from pay
                union all select o_custkey, o_orderkey, 'publish', 'update', o_totalprice, null
