@@ -146,6 +146,25 @@ def subscriptions(s, d):
     return customers.unionByName(regions)
 
 
+def subscription_changes(s, d):
+    """The customers' subscriptions as changes of a hundred subscribers, who come, change their mind and leave."""
+    asked = subscriptions(s, d).filter("sub_id > 0")
+    leaves = table(s, d, "customer").filter(F.col("c_mktsegment") == "FURNITURE").select(F.col("c_custkey").alias("sub_id"))
+    leaving = asked.join(leaves.withColumn("_leaves", F.lit(True)), "sub_id", "left")
+    return leaving.select(
+        (F.col("sub_id") % 100).alias("sub_id"),
+        (F.col("sub_id") * 6).alias("seq"),
+        F.when(F.col("_leaves"), fan.UNSUBSCRIBE).otherwise(fan.SUBSCRIBE).alias("op"),
+        "event",
+        "filters",
+    )
+
+
+def fanout_live(s, d):
+    """Events with the subscriptions that held when they came."""
+    return fan.fanout_live(payload_of(s, d), subscription_changes(s, d), FIELDS).select("seq", "sub_id")
+
+
 def _topics(s, d):
     return fan.store_topics(subscriptions(s, d), FIELDS, work_dir(s, "topics"))
 
@@ -200,7 +219,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         accepted, images, sub_create, sub_update, sub_delete, sub_update_filtered, edit_history, record_as_of,
-        publish_events, publish_union, own_excluded, fanout, fanout_ranges, fanout_channel, delivery_counts,
+        publish_events, publish_union, own_excluded, fanout, fanout_ranges, fanout_live, fanout_channel, delivery_counts,
         delivery_counts_own,
     )
 }
@@ -252,6 +271,14 @@ ORACLES = {
     select o_custkey, o_orderkey, o_totalprice, null, 'publish' from orders where o_orderstatus = 'P'""",
     "own_excluded": "select * from conversations where role <> 'user'",
     "fanout": _SUBS + " select seq, sub_id from pairs where not own",
+    "fanout_live": _SUBS
+    + """,
+    life as (select sub_id % 100 sub_id, sub_id * 6 as since, c_mktsegment = 'FURNITURE' as leaves, event, f_id, f_props, f_min, f_has,
+                    lead(sub_id * 6) over (partition by sub_id % 100 order by sub_id) as until
+             from subs join customer on sub_id = c_custkey)
+    select seq, sub_id from pay join life on op = event and seq > since and (until is null or seq <= until)
+    where not leaves and (f_id is null or f_id = id) and (f_props is null or f_props = props)
+      and (f_min is null or value > f_min) and (f_has is null or contains(props, f_has))""",
     "fanout_ranges": _PAYLOAD
     + """,
     watch as (select p_partkey sub_id, case when p_size % 2 = 0 then 'update' else 'create' end event,

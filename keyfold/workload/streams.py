@@ -101,6 +101,19 @@ def stream_fanout(s, d):
     return s.read.parquet(f"{root}/out")
 
 
+def stream_fanout_live(s, d):
+    """The same as the feed arrives file by file, with subscriptions that come and go."""
+    root = work_dir(s, "live")
+    feeds.payload_of(s, d).repartitionByRange(3, "seq").write.parquet(f"{root}/feed")
+    feeds.subscription_changes(s, d).write.parquet(f"{root}/changes")
+    schema = s.read.parquet(f"{root}/feed").schema
+    stream = channels.read_stream(s, f"{root}/feed", schema, files_per_trigger=1)
+    channels.live_fanout(
+        stream, f"{root}/changes", feeds.FIELDS, f"{root}/out", f"{root}/checkpoint", available_now=True
+    ).awaitTermination()
+    return s.read.parquet(f"{root}/out").select("seq", "sub_id")
+
+
 def stream_updates(s, d):
     """The update channel as a stream: stored updates together with published events."""
     root = work_dir(s, "updates")
@@ -116,12 +129,13 @@ def stream_updates(s, d):
     return s.read.parquet(f"{root}/out")
 
 
-QUERIES = {f.__name__: f for f in (stream_sink, stream_resume, stream_feed, stream_table, delta_table, delta_feed, stream_fanout, stream_updates)}
+QUERIES = {f.__name__: f for f in (stream_sink, stream_resume, stream_feed, stream_table, delta_table, delta_feed, stream_fanout, stream_fanout_live, stream_updates)}
 
 ORACLES = {
     "stream_sink": LOG + " select id, seq, value, props from l where op = 'update'",
     "stream_resume": LOG + " select id, seq from l where op = 'delete'",
     "stream_fanout": feeds.ORACLES["fanout"],
+    "stream_fanout_live": feeds.ORACLES["fanout_live"],
     "stream_updates": feeds.ORACLES["publish_union"],
     "stream_feed": feeds.ORACLES["images"],
     "stream_table": writes.ORACLES["fold_incremental"],
