@@ -32,6 +32,8 @@ class Slices:
 
     hot: tuple[int, ...]
     cuts: tuple[int, ...]
+    #: whether many hot rows repeat a (key, order) pair; they are thinned out before anything is cut
+    repeats: bool = False
 
     def is_hot(self, keys: Sequence[str]) -> Column:
         return F.xxhash64(*keys).isin(list(self.hot))
@@ -42,6 +44,18 @@ class Slices:
         return F.when(self.is_hot(keys), piece).otherwise(F.lit(0))
 
 
+@dataclass(frozen=True)
+class Pieces:
+    """Any number of hot keys, as a table, and the width of the pieces of order values that they are cut into.
+
+    Used where there are more hot keys than a list can name. A piece holds at most ``width`` order values,
+    whatever their distribution, and the states at the ends of pieces are scanned the same way.
+    """
+
+    hot: DataFrame
+    width: int
+
+
 def locate(value: Column, cuts: Sequence) -> Column:
     """Number of sorted ``cuts`` that are <= value: a binary search inside the JVM."""
     if not cuts:
@@ -62,7 +76,7 @@ def locate(value: Column, cuts: Sequence) -> Column:
 
 def find_slices(
     df: DataFrame, keys: Sequence[str], order: str, group_rows: int = GROUP_ROWS
-) -> Slices | None:
+) -> Slices | Pieces | None:
     """Hot keys of ``df`` and cut points for them, or None when there are none.
 
     One pass over the key columns with a frequent-items sketch: no row is shuffled, and
@@ -83,11 +97,20 @@ def find_slices(
     large = {i["item"]: i["count"] for i in found if i["count"] > group_rows}
     if not large:
         return None
+    if len(large) >= REPORTED:
+        return find_pieces(df, keys, group_rows)
     hot = tuple(sorted(large))
     pieces = max(2, min(MAX_PIECES, -(-top["n"] // group_rows)))
     rows = hashed.filter(F.col("h").isin(list(hot)))
     cuts = _sampled_cuts(rows.select("o", "h"), sum(large.values()), pieces)
-    return Slices(hot, tuple(cuts))
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.struct("h", "o")).alias("d")).first()
+    return Slices(hot, tuple(cuts), repeats=seen["n"] > 2 * seen["d"])
+
+
+def find_pieces(df: DataFrame, keys: Sequence[str], group_rows: int = GROUP_ROWS) -> Pieces:
+    """All keys with more than ``group_rows`` rows, however many; partial counts absorb the hot ones."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return Pieces(counts.filter(F.col("_n") > group_rows).select(*keys), group_rows)
 
 
 def _sampled_cuts(df: DataFrame, rows: int, parts: int, per_part: int = 64) -> list:
@@ -111,7 +134,7 @@ def running_last(
     order: str,
     values: Mapping[str, Column],
     ties: Sequence[str] = (),
-    slices: Slices | None = None,
+    slices: Slices | Pieces | None = None,
 ) -> DataFrame:
     """Add ``before_<name>`` and ``after_<name>`` for every value, per key in order.
 
@@ -123,7 +146,16 @@ def running_last(
     keys, names = list(keys), list(values)
     if slices is None:
         return _scan(df, keys, order, values, ties)
+    if isinstance(slices, Pieces):
+        same = [F.col(f"_hot_{k}").eqNullSafe(F.col(k)) for k in keys]
+        hot = slices.hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+        rest = _scan(df.join(hot, same, "left_anti"), keys, order, values, ties)
+        rows = _once(df.join(hot, same, "left_semi"), keys, order, ties)
+        return rest.unionByName(_segmented(rows, keys, order, values, slices.width))
 
+    if slices.repeats:
+        hot = slices.is_hot(keys)
+        df = df.filter(~hot).unionByName(_once(df.filter(hot), keys, order, ties))
     sliced = df.withColumn(SLICE, slices.column(keys, order))
     part = keys + [SLICE]
     local = _scan(sliced, part, order, values, ties)
@@ -152,6 +184,44 @@ def running_last(
     return joined.withColumns(filled).drop(SLICE, *[f"_carry_{n}" for n in names])
 
 
+def _once(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str]) -> DataFrame:
+    """One row per (key, order), the one that :func:`_scan` keeps; a pair that repeats is thinned out by each task."""
+    rest = [c for c in df.columns if c not in keys and c != order and c not in ties]
+    others = [*ties, *rest]
+    if not others:
+        return df.select(*keys, order).distinct().select(*df.columns)
+    first = F.struct(*ties, F.xxhash64(*rest) if rest else F.lit(0))
+    kept = df.groupBy(*keys, order).agg(F.min_by(F.struct(*others), first).alias("_row"))
+    return kept.select(*[F.col("_row")[c].alias(c) if c in others else F.col(c) for c in df.columns])
+
+
+def _segmented(
+    df: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, Column], width: int
+) -> DataFrame:
+    """Running state as in :func:`running_last`, with at most ``width`` rows of a key in one group.
+
+    ``df`` has one row per (key, order). Rows are scanned in pieces of ``width`` order values; the state
+    at the end of each piece is a row again, and these rows are scanned the same way with the piece as
+    their order, until the order values of a key span no more than a piece. With pieces of millions
+    that takes three levels for any 64-bit order.
+    """
+    keys, names, piece = list(keys), list(values), f"_piece_{order}"
+    ends = df.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+    if ends["low"] is None or ends["high"] - ends["low"] < width:
+        return _scan(df, keys, order, values, ())
+    cut = df.withColumn(piece, F.expr(f"`{order}` div {width} - if(`{order}` % {width} < 0, 1, 0)"))
+    local = _scan(cut, [*keys, piece], order, values, ())
+    state = F.struct(*[F.col(f"after_{n}").alias(n) for n in names])
+    tails = local.groupBy(*keys, piece).agg(F.max_by(state, F.col(order)).alias("_tail"))
+    carried = _segmented(tails, keys, piece, {n: F.col(f"_tail.{n}") for n in names}, width)
+    carried = carried.select(*[F.col(c).alias(f"_to_{c}") for c in (*keys, piece)], *[F.col(f"before_{n}").alias(f"_carry_{n}") for n in names])
+    joined = local.join(carried, [F.col(f"_to_{c}").eqNullSafe(F.col(c)) for c in (*keys, piece)], "left")
+    filled = {
+        f"{side}_{n}": F.coalesce(F.col(f"{side}_{n}"), F.col(f"_carry_{n}")) for n in names for side in ("before", "after")
+    }
+    return joined.withColumns(filled).drop(piece, *[c for c in carried.columns])
+
+
 def _scan(
     df: DataFrame,
     part: Sequence[str],
@@ -175,7 +245,7 @@ def _scan(
 
 
 def lookup(
-    df: DataFrame, one_per_key: DataFrame, keys: Sequence[str], slices: Slices | None = None
+    df: DataFrame, one_per_key: DataFrame, keys: Sequence[str], slices: Slices | Pieces | None = None
 ) -> DataFrame:
     """Left join with a table that has one row per key, without a hot reduce task.
 
@@ -183,7 +253,8 @@ def lookup(
     construction and are broadcast; all other keys join by shuffle as usual.
     """
     keys = list(keys)
-    if slices is None:
+    if slices is None or isinstance(slices, Pieces):
+        # with too many hot keys for a broadcast, AQE splits the rows of theirs
         return df.join(one_per_key, keys, "left")
     hot = slices.is_hot(keys)
     few = F.broadcast(one_per_key.filter(hot))
