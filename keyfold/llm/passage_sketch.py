@@ -35,9 +35,9 @@ CUT = 8
 #: Cells of the fingerprint, and by how much they grow when peeling fails; three equal parts.
 CELLS, GROWTH = 24, 4
 #: Characters of a piece of the ordered table, which one task handles, and pieces at most.
-PIECE_CHARS, MOST_PIECES = 1 << 24, 1 << 14
+PIECE_CHARS, MOST_PIECES = 1 << 22, 1 << 16
 #: Rows drawn for each cut between pieces.
-DRAWN = 64
+DRAWN = 32
 #: Characters compared at once.
 CHUNK_CHARS = 1 << 20
 
