@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyfold.llm._store import stored
 from keyfold.llm.url_filter import host_of
 
 MIN_PAGES = 3
@@ -320,10 +321,12 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
         .mapInArrow(run, "host string, hash long")
         .groupBy("host", "hash")
         .agg(F.count("*").alias("n"))
+        .where(F.col("hash").isNull() | (F.col("n") >= min_pages))
     )
+    counts = stored(counts, "template-counts")  # read twice, counted once
     sizes = counts.where("hash is null").select(F.col("host").alias("_host"), F.col("n").alias("pages"))
     # the share decides before anything is gathered, so that a host's list is as short as it says
-    recurring = counts.where(F.col("hash").isNotNull() & (F.col("n") >= min_pages)).join(sizes, F.col("host").eqNullSafe(F.col("_host")))
+    recurring = counts.where("hash is not null").join(sizes, F.col("host").eqNullSafe(F.col("_host")))
     return (
         recurring.where(F.col("n") >= F.lit(min_share) * F.col("pages"))
         .groupBy("host")
