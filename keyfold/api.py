@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import random
+import time
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
@@ -22,7 +24,7 @@ from keyfold.model import SYSTEM_FIELDS, Field, TableSpec, table_spec
 from keyfold.operators import feed as feeds, read, registry as reg
 from keyfold.operators.write import iso_utc, repeated
 from keyfold.sources.log import CREATE, DELETE, UPDATE, LogSpec
-from keyfold.sources.snapshot import Snapshot, path_exists, remove
+from keyfold.sources.snapshot import Conflict, Head, Snapshot, path_exists, remove
 from keyfold.streaming.pipeline import ChangePipeline
 
 KEY = "id"
@@ -33,6 +35,12 @@ GIVEN = "_given"
 MISFIT = "_misfit"
 
 
+#: bits of a position inside a batch; the batch number is above them
+ORDER_BITS = 36
+#: attempts at a change of definitions when other writers are faster
+COMMIT_TRIES = 16
+
+
 def _fits(value: object, dtype: T.DataType) -> bool:
     """Whether a Python value can stand in a column of the type."""
     if value is None:
@@ -48,8 +56,6 @@ def _fits(value: object, dtype: T.DataType) -> bool:
     if isinstance(dtype, T.ArrayType):
         return isinstance(value, (list, tuple)) and all(_fits(v, dtype.elementType) for v in value)
     return True
-#: bits of a position inside a batch; the batch number is above them
-ORDER_BITS = 36
 
 
 @dataclass(frozen=True)
@@ -69,18 +75,56 @@ def _now() -> Column:
 
 
 class Database:
-    """The tables of one tenant under a root folder shared by all tenants."""
+    """The tables of one tenant under a root folder shared by all tenants.
+
+    A tenant's definitions are in one bucket: reads and changes of definitions leave those of most other tenants
+    alone, and any number of writers may change them at once.
+    """
 
     def __init__(self, spark: SparkSession, root: str, tenant_key: str):
         self.spark, self.root = spark, root
         self.tenant = hashlib.sha256(tenant_key.encode()).hexdigest()[:NAMESPACE_DIGITS]
-        self._store = Snapshot(spark, f"{root}/registry", reg.SCHEMA, tuple(reg.KEY), 16)
+        self._store = Snapshot(spark, f"{root}/registry", reg.SCHEMA, ("tenant",), 64)
+        self._places: dict[int | None, list[int]] = {}
 
     # --- definitions ------------------------------------------------------------
 
     def registry(self) -> DataFrame:
+        """The definitions of all tenants."""
         return self._store.read()
 
+    def _buckets(self, head: Head | None) -> list[int]:
+        """The bucket of this tenant's definitions."""
+        count = head.buckets if head is not None else None
+        if count not in self._places:
+            self._places[count] = self._store.touched(self.spark.createDataFrame([(self.tenant,)], "tenant string"), head)
+        return self._places[count]
+
+    def _mine(self) -> DataFrame:
+        """This tenant's definitions."""
+        head = self._store.head()
+        return self._store.read(buckets=self._buckets(head), head=head).filter(F.col("tenant") == self.tenant)
+
+    def _change(self, decide: Callable[[DataFrame], tuple[DataFrame | None, object]]):
+        """Commit what ``decide`` makes of the definitions in this tenant's bucket, and return its answer.
+
+        ``decide`` gives the bucket's new content, None if it stays as it is. If another writer was faster,
+        it decides again on what that one left, so a name that was taken meanwhile is seen as taken.
+        """
+        for last in [False] * (COMMIT_TRIES - 1) + [True]:
+            head = self._store.head()
+            buckets = self._buckets(head)
+            after, answer = decide(self._store.read(buckets=buckets, head=head))
+            if after is None:
+                return answer
+            try:
+                self._store.commit(after, buckets, head=head, shared=True)
+                return answer
+            except Conflict:
+                if last:
+                    raise
+                time.sleep(random.random() / 5)
+
     def _definitions(self, specs: Sequence[TableSpec], subscriptions: Mapping[str, list]) -> DataFrame:
         rows = [
             (
@@ -120,14 +164,16 @@ class Database:
         if any(not s.name or not s.fields for s in specs) or not specs:
             raise ValueError("every table needs a name and fields")
         definitions = self._definitions(specs, subscriptions or {})
-        current = self.registry()
-        statuses = reg.register(current, definitions, idempotent=if_absent)
-        after = reg.registered(
-            current, definitions, statuses, _now(), table_id=F.col("table_id")
-        )
-        outcome = statuses.orderBy("ordinal").collect()  # one row per requested table
-        self._store.commit(after)
-        return outcome
+
+        def decide(current: DataFrame):
+            statuses = reg.register(current, definitions, idempotent=if_absent)
+            outcome = statuses.orderBy("ordinal").collect()  # one row per requested table
+            if all(row["status"] != "created" for row in outcome):
+                return None, outcome
+            after = reg.registered(current, definitions, statuses, _now(), table_id=F.col("table_id"))
+            return after, outcome
+
+        return self._change(decide)
 
     def create_table(
         self, name: str, fields: Sequence[Field | Mapping], subscriptions: list | None = None,
@@ -140,11 +186,11 @@ class Database:
         return self.table(name)
 
     def list_tables(self) -> DataFrame:
-        return reg.list_tables(self.registry(), self.tenant)
+        return reg.list_tables(self._mine(), self.tenant)
 
     def table_counts(self) -> DataFrame:
         """Tables of this tenant, counted."""
-        return reg.table_counts(self.registry().filter(F.col("tenant") == self.tenant))
+        return reg.table_counts(self._mine())
 
     def table_schema(self, name: str) -> DataFrame:
         """The field dictionary of a table, system fields included."""
@@ -155,7 +201,7 @@ class Database:
         return self._row(name)
 
     def _row(self, name: str) -> DataFrame:
-        return self.registry().filter((F.col("tenant") == self.tenant) & (F.col("table_name") == name))
+        return self._mine().filter(F.col("table_name") == name)
 
     def update_table(
         self, name: str, fields: Sequence[Field | Mapping] | None = None,
@@ -169,10 +215,14 @@ class Database:
         )
         schema = T.StructType([reg.SCHEMA[c] for c in (*reg.KEY, "fields", "subscriptions", "description")])
         updates = self.spark.createDataFrame([row], schema)
-        changed, rejected = reg.evolve(self.registry(), updates, _now())
-        if not rejected.isEmpty():
-            raise KeyError(f"no table {name!r}")
-        self._store.commit(changed)
+
+        def decide(current: DataFrame):
+            changed, rejected = reg.evolve(current, updates, _now())
+            if not rejected.isEmpty():
+                raise KeyError(f"no table {name!r}")
+            return changed, None
+
+        self._change(decide)
         return self.table(name)
 
     def delete_table(self, name: str, keep_data: bool = False) -> None:
@@ -180,14 +230,19 @@ class Database:
 
         The definition goes first, so that no reader finds a table without its data. Safe to repeat.
         """
-        found = self._row(name).select("table_id").first()
-        self._store.commit(reg.retire(self.registry(), self._row(name)))
+
+        def decide(current: DataFrame):
+            named = current.filter((F.col("tenant") == self.tenant) & (F.col("table_name") == name))
+            found = named.select("table_id").first()
+            return None if found is None else reg.retire(current, named), found
+
+        found = self._change(decide)
         if found is not None and not keep_data:
             remove(self.spark, f"{self.root}/tables/{found['table_id']}")
 
     def subscription_rows(self) -> DataFrame:
         """Declared subscriptions of this tenant's tables."""
-        return reg.subscription_rows(self.registry().filter(F.col("tenant") == self.tenant))
+        return reg.subscription_rows(self._mine())
 
     def table(self, name: str) -> "Table":
         found = self._row(name).first()

@@ -16,9 +16,12 @@ it can be read.
 
 from __future__ import annotations
 
+import random
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 BUCKET = "bucket"
@@ -42,6 +45,31 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot move {source} to {target}")
 
 
+class Conflict(Exception):
+    """Another writer committed the version first; read again and decide anew."""
+
+
+def move_if_absent(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder to a name nobody has taken yet, else raise :class:`Conflict`.
+
+    The file system decides, in one step where its rename is atomic.
+    """
+    fs = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    here, there = (fs.Path(p) for p in (source, target))
+    system = there.getFileSystem(conf)
+    here, there = system.makeQualified(here), system.makeQualified(there)
+    rename = getattr(fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.NONE
+    try:
+        fs.FileContext.getFileContext(there.toUri(), conf).rename(here, there, options)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+            raise
+        raise Conflict(target) from error
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder with all that is in it; one that is not there is no error."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -146,14 +174,18 @@ class Snapshot:
         batch_id: int = -1,
         head: "Head | None" = None,
         attempt: str | None = None,
+        shared: bool = False,
     ) -> int:
         """Write ``rows`` as the new content of ``buckets`` (all when None).
 
         ``rows`` must hold every row of these buckets. The manifest names the ``attempt`` that
-        made it. Returns the new version.
+        made it. Returns the new version. A ``shared`` table has several writers: each works in folders
+        of its own, and of two that start from the same ``head`` (None: no version yet) the later one
+        gets :class:`Conflict` and leaves nothing behind.
         """
-        head = head or self.head()
+        head = head if shared else head or self.head()
         version = 0 if head is None else head.version + 1
+        folder = version << 31 | random.getrandbits(31) if shared else version
         count = head.buckets if head is not None and head.buckets else self.buckets
         placed = rows.select(*self.schema.names).withColumn(BUCKET, self.bucket_of(head))
         written = Observation()
@@ -166,18 +198,28 @@ class Snapshot:
         )
         for name in self.indexed:
             writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
-        writer.parquet(f"{self.root}/data/v={version}")
+        writer.parquet(f"{self.root}/data/v={folder}")
         held = {} if head is None or buckets is None else dict(head.held)
         for b in buckets or ():
             held.pop(b, None)
         # at most ``buckets`` numbers; buckets left without rows have no folder
-        held.update({b: version for b in written.get["buckets"]})
+        held.update({b: folder for b in written.get["buckets"]})
         manifest = self.spark.createDataFrame(
             [(b, v, batch_id, attempt, count) for b, v in sorted(held.items())]
             or [(None, version, batch_id, attempt, count)],
             MANIFEST,
         )
-        manifest.coalesce(1).write.mode("overwrite").parquet(self._manifest(version))
+        if not shared:
+            manifest.coalesce(1).write.mode("overwrite").parquet(self._manifest(version))
+            return version
+        staged = f"{self.root}/manifest/attempt={uuid.uuid4().hex}"
+        manifest.coalesce(1).write.parquet(staged)
+        try:
+            move_if_absent(self.spark, staged, self._manifest(version))
+        except Conflict:
+            remove(self.spark, staged)
+            remove(self.spark, f"{self.root}/data/v={folder}")
+            raise
         return version
 
     def create(self, rows: DataFrame | None = None) -> "Snapshot":

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyfold.api import Database
-from keyfold.model import Field
+from keyfold.model import Field, table_spec
+from keyfold.operators import registry as reg
 from keyfold.session import work_dir
 from keyfold.sources.snapshot import path_exists
 from keyfold.streaming import channels
@@ -184,3 +185,40 @@ def test_tables_retire(spark, db):
     db.delete_table("temporary")
     with pytest.raises(KeyError):
         db.table("temporary")
+
+
+def test_two_writers_of_definitions_both_count(spark, monkeypatch):
+    """A second writer commits between the first one's read and its commit."""
+    root = work_dir(spark, "writers")
+    first, second = Database(spark, root, "key"), Database(spark, root, "key")
+    register, meddled = reg.register, []
+
+    def meddling(*args, **options):
+        statuses = register(*args, **options)
+        if not meddled:
+            meddled.append(True)
+            second.create_table("taken", FIELDS, description="of the second")
+            second.create_table("other", FIELDS)
+        return statuses
+
+    monkeypatch.setattr(reg, "register", meddling)
+    outcome = first.create_tables([table_spec("taken", FIELDS, "of the first"), table_spec("own", FIELDS)])
+    assert [(r["table_name"], r["status"]) for r in outcome] == [("taken", "failed"), ("own", "created")]
+    found = {r["table_name"]: r["description"] for r in second.list_tables().collect()}
+    assert found == {"taken": "of the second", "other": "", "own": ""}
+
+
+def test_definitions_leave_other_tenants_files_alone(spark):
+    root = work_dir(spark, "tenants")
+    ours, theirs = Database(spark, root, "a"), Database(spark, root, "b")
+    ours.create_table("mine", FIELDS)
+    theirs.create_table("theirs", FIELDS)
+    before = ours._store.head()
+    ours.update_table("mine", description="changed")
+    after = ours._store.head()
+    (own,), (other,) = ours._buckets(after), theirs._buckets(after)
+    assert own != other and after.held[other] == before.held[other] and after.held[own] != before.held[own]
+    ours.delete_table("mine")
+    ours.delete_table("mine")
+    assert ours._store.head().version == after.version + 1
+    assert ours.list_tables().count() == 0 and theirs.list_tables().count() == 1
