@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from keyfold.functions.naming import name_rule, type_name
-from keyfold.model import EVENTS, FIELD_STRUCT, LOGICAL_TYPES, STRING, SUBSCRIPTION_STRUCT
+from keyfold.model import (
+    EVENTS, FIELD_STRUCT, LOGICAL_TYPES, OPERATORS, STRING, SUBSCRIPTION_STRUCT, SYSTEM_FIELDS,
+)
 
 KEY = ["tenant", "table_name"]
 COLUMNS = [
@@ -230,9 +232,8 @@ def subscription_rows(registry: DataFrame) -> DataFrame:
     )
 
 
-def definition_violations(definitions: DataFrame) -> DataFrame:
-    """Every broken definition rule: tenant, table_name, field, rule."""
-    fields = F.col("fields")
+def broken_rules(fields: Column) -> Column:
+    """All broken rules of a field list as an array of (field, rule)."""
     names = F.transform(fields, lambda f: f["name"])
 
     def entry(field: Column, rule: str) -> Column:
@@ -263,7 +264,7 @@ def definition_violations(definitions: DataFrame) -> DataFrame:
         lambda s: s["primary"] & s["counts"],
     )
     empty = fields.isNull() | (F.size(fields) == 0)
-    found = F.when(empty, F.array(entry(F.lit(None), "no_fields"))).otherwise(
+    return F.when(empty, F.array(entry(F.lit(None), "no_fields"))).otherwise(
         F.concat(
             F.array_compact(F.transform(fields, field_entry)),
             F.when(F.size(usable) > 1, F.array(entry(F.lit(None), "primary"))).otherwise(
@@ -271,9 +272,138 @@ def definition_violations(definitions: DataFrame) -> DataFrame:
             ),
         )
     )
-    return definitions.select(*KEY, F.inline(found))
+
+
+def definition_violations(definitions: DataFrame) -> DataFrame:
+    """Every broken definition rule: tenant, table_name, field, rule."""
+    return definitions.select(*KEY, F.inline(broken_rules(F.col("fields"))))
 
 
 def name_violations(definitions: DataFrame) -> DataFrame:
     rule = name_rule(F.col("table_name"))
     return definitions.select(*KEY, rule.alias("rule")).filter(F.col("rule").isNotNull())
+
+
+# --- changes of definitions, and what is derived from them ----------------------
+
+INSERT, MODIFY, REMOVE = "INSERT", "MODIFY", "REMOVE"
+
+
+def _change_rows(definitions: DataFrame, kind: str) -> DataFrame:
+    return definitions.select(*KEY, F.lit(kind).alias("kind"), "subscriptions")
+
+
+def registered_changes(definitions: DataFrame, statuses: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """The registry's feed of a registration: one INSERT per created table."""
+    created = statuses.filter(F.col("status") == "created").select(ordinal)
+    fresh = definitions.join(created, ordinal, "left_semi")
+    return _change_rows(
+        fresh.select(*KEY, F.coalesce("subscriptions", no_subscriptions()).alias("subscriptions")), INSERT
+    )
+
+
+def evolved_changes(registry: DataFrame, updates: DataFrame) -> DataFrame:
+    """One MODIFY per table whose declared subscriptions are given anew; other updates derive nothing."""
+    given = updates.filter(F.col("subscriptions").isNotNull())
+    return _change_rows(given.join(registry.select(*KEY), KEY, "left_semi"), MODIFY)
+
+
+def retired_changes(registry: DataFrame, doomed: DataFrame) -> DataFrame:
+    """One REMOVE per table that goes, also where whole tenants are named."""
+    on = [c for c in KEY if c in doomed.columns]
+    return _change_rows(registry.join(doomed.select(*on).distinct(), on, "left_semi"), REMOVE)
+
+
+def maintained_subscriptions(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """``subscription_rows`` of the registry behind ``changes``, from those before them.
+
+    ``changes`` has at most one row per table. Only their keys meet the rows, and only their
+    definitions are unfolded: nothing of the registry is read.
+    """
+    kept = rows.join(changes.filter(F.col("kind") != INSERT).select(*KEY), KEY, "left_anti")
+    return kept.unionByName(subscription_rows(changes.filter(F.col("kind") != REMOVE)))
+
+
+# --- declarations as text -------------------------------------------------------
+
+DECLARATION = T.StructType(
+    [
+        T.StructField("table_name", T.StringType()),
+        T.StructField("fields", T.ArrayType(FIELD_STRUCT)),
+        T.StructField("subscriptions", T.ArrayType(SUBSCRIPTION_STRUCT)),
+        T.StructField("description", T.StringType()),
+        T.StructField("_unreadable", T.StringType()),
+    ]
+)
+
+
+def declarations(texts: DataFrame, text: str = "text", tenant: str = "tenant") -> DataFrame:
+    """Table declarations kept as JSON text, with ``reason``: why one can't be used, or NULL.
+
+    A declaration that is broken stops no other one. Reasons, the first that holds: ``tenant`` (none
+    named), ``unreadable`` (no JSON object, cut off, or a value of the wrong shape), ``missing`` (no name, no
+    list of fields), a rule of the fields (``no_fields``, ``name``, ``duplicate``, ``type``, ``primary``),
+    ``filter`` (a filter on nothing, or on a field the table lacks) and ``operator``. NULL text is unreadable. Other
+    columns of ``texts`` stay, unless they bear the name of a column of a definition.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unreadable"}
+    # JSON null, a list of no object and the like give a record without any value, not an error
+    shown = F.ltrim(F.col(text)).startswith("{")
+    parsed = F.from_json(F.col(text), DECLARATION, options)
+    own = [c for c in texts.columns if c not in {tenant, text, *DECLARATION.names, "reason"}]
+    rows = texts.select(
+        F.col(tenant).alias("tenant"),
+        *own,
+        F.col(text).alias("text"),
+        F.when(shown, parsed).alias("_d"),
+    )
+    fields = with_field_defaults(F.col("_d.fields"))
+    filters = F.flatten(
+        F.transform(
+            F.coalesce("_d.subscriptions", no_subscriptions()),
+            lambda s: F.coalesce(s["filters"], F.array().cast(SUBSCRIPTION_STRUCT["filters"].dataType)),
+        )
+    )
+    names = F.concat(
+        F.transform(F.col("_d.fields"), lambda f: f["name"]), F.array(*[F.lit(n) for n in SYSTEM_FIELDS])
+    )
+    astray = F.exists(filters, lambda f: ~F.coalesce(F.array_contains(names, f["field"]), F.lit(False)))
+    strange = F.exists(filters, lambda f: ~F.coalesce(f["operator"], F.lit("eq")).isin(*OPERATORS))
+    reason = (
+        F.when(F.coalesce("tenant", F.lit("")) == "", "tenant")
+        .when(F.col("_d").isNull() | F.col("_d._unreadable").isNotNull(), "unreadable")
+        .when(definition_error(F.col("_d.table_name"), F.col("_d.fields")) == "missing", "missing")
+        .otherwise(
+            F.coalesce(
+                F.get(broken_rules(fields), F.lit(0))["rule"],
+                F.when(astray, "filter"),
+                F.when(strange, "operator"),
+            )
+        )
+    )
+    return rows.select(
+        "tenant",
+        F.col("_d.table_name").alias("table_name"),
+        F.col("_d.fields").alias("fields"),
+        F.col("_d.subscriptions").alias("subscriptions"),
+        F.col("_d.description").alias("description"),
+        *own,
+        "text",
+        reason.alias("reason"),
+    )
+
+
+def set_aside(declared: DataFrame, whole_tenant: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(usable definitions, quarantine) of :func:`declarations`.
+
+    With ``whole_tenant`` nothing of a tenant with a broken declaration is used; its sound ones go to the
+    quarantine with the reason ``tenant_broken``. Tenants are reduced to their broken ones first, so a tenant
+    with any number of tables gathers nowhere.
+    """
+    broken = F.col("reason").isNotNull()
+    if whole_tenant:
+        tenants = declared.filter(broken).select("tenant").distinct().withColumn("_broken", F.lit(True))
+        marked = declared.join(tenants, "tenant", "left")
+        held = F.when(F.col("_broken"), "tenant_broken")
+        declared = marked.withColumn("reason", F.coalesce("reason", held)).drop("_broken")
+    return declared.filter(~broken).drop("reason", "text"), declared.filter(broken)

@@ -170,6 +170,70 @@ def subscription_rows(s, d):
     return reg.subscription_rows(_registered(s, d))
 
 
+def _watched(s, d):
+    """Every table with an ECONOMY definition gets one new subscription, by its brand."""
+    text = F.lit(None).cast("string")
+    one = F.struct(
+        F.lit("label").alias("field"), text.alias("type"), F.lit("contains").alias("operator"),
+        F.col("brand").alias("value"),
+    ).cast(FILTER_STRUCT)
+    economy = _definitions(s, d).filter(F.col("p_type") == "ECONOMY")
+    named = economy.groupBy(*reg.KEY).agg(F.max("description").alias("brand"))
+    return named.select(
+        *reg.KEY,
+        F.lit(None).cast(reg.SCHEMA["fields"].dataType).alias("fields"),
+        F.array(F.struct(F.array(one).alias("filters"))).cast(T.ArrayType(SUBSCRIPTION_STRUCT)).alias("subscriptions"),
+        text.alias("description"),
+    )
+
+
+def subscription_rows_after(s, d):
+    """Subscription rows kept up to date through a registration, an evolution and a retirement."""
+    before = _without_promo(s, d)
+    rows = reg.subscription_rows(before)
+    batch = _definitions(s, d).filter(F.col("p_type") == "PROMO")
+    statuses = reg.register(before, batch)
+    rows = reg.maintained_subscriptions(rows, reg.registered_changes(batch, statuses))
+    now = reg.registered(before, batch, statuses, _at(LATER), table_id=F.col("ordinal").cast("string"))
+    updates = _watched(s, d)
+    rows = reg.maintained_subscriptions(rows, reg.evolved_changes(now, updates))
+    doomed = _definitions(s, d).filter(F.col("p_type") == "STANDARD").select(*reg.KEY)
+    return reg.maintained_subscriptions(rows, reg.retired_changes(now, doomed))
+
+
+def _texts(s, d):
+    """The definitions as JSON text, broken in some way for most sizes below 9."""
+    size = F.col("p_size")
+    definitions = _definitions(s, d).join(
+        table(s, d, "part").select(F.col("p_partkey").alias("ordinal"), size), "ordinal"
+    )
+    whole = F.to_json(F.struct("table_name", "fields", "subscriptions", "description"))
+    name, kind = F.get_json_object(whole, "$.table_name"), F.get_json_object(whole, "$.fields[1].type")
+    text = (
+        F.when(size == 1, F.substr(whole, F.lit(1), F.length(whole) - 3))
+        .when(size == 2, F.replace(whole, F.lit('"table_name"'), F.lit('"title"')))
+        .when(size == 3, F.concat(F.lit('{"table_name":"'), name, F.lit('","fields":[]}')))
+        .when(size == 4, F.concat(F.lit('{"table_name":"'), name, F.lit('","fields":"none"}')))
+        .when(size == 5, F.replace(whole, F.lit('"operator":"gt"'), F.lit('"operator":"near"')))
+        .when(size == 6, F.replace(whole, F.lit('"filters":[{"field":"'), F.lit('"filters":[{"field":"no_')))
+        .when(size == 7, F.replace(whole, F.concat(F.lit('"type":"'), kind, F.lit('","indexed"')), F.lit('"type":"Money","indexed"')))
+        .when(size == 8, F.lit(None))
+        .otherwise(whole)
+    )
+    return definitions.select("tenant", "ordinal", text.alias("text"))
+
+
+def subscription_quarantine(s, d):
+    _, aside = reg.set_aside(reg.declarations(_texts(s, d)))
+    return aside.select("tenant", "ordinal", "reason")
+
+
+def subscription_rows_declared(s, d):
+    """Subscription rows of the declarations that can be used; the broken ones stop no other."""
+    usable, _ = reg.set_aside(reg.declarations(_texts(s, d)))
+    return reg.subscription_rows(usable.select(*reg.KEY, "subscriptions"))
+
+
 def namespace_rows(s, d):
     names = table(s, d, "customer").select(
         "c_name", namespace(F.col("c_name")).alias("ns"), F.lower("c_mktsegment").alias("t")
@@ -222,7 +286,8 @@ QUERIES = {
     for f in (
         register_tables, register_idempotent, register_fail_fast, register_summary, registered_tables, list_tables,
         table_counts, table_schema, evolve_schema, evolve_rejected, retire_tables, retire_tenants,
-        subscription_rows, namespace_collisions, violations_definitions, violations_names,
+        subscription_rows, subscription_rows_after, subscription_quarantine, subscription_rows_declared,
+        namespace_collisions, violations_definitions, violations_names,
     )
 }
 QUERIES["namespace"] = namespace_rows
@@ -320,6 +385,32 @@ ORACLES = {
            case when p_size < 10 then kind end as type, case when p_size < 10 then 'gt' end as operator,
            case when p_size < 10 then cast(p_size as varchar) end as value
     from g cross join ev""",
+    "subscription_rows_after": _DEFS
+    + """,
+    old as (select *, row_number() over (partition by tenant, table_name order by (p_type = 'PROMO'), ordinal) rn from d),
+    e as (select tenant, table_name, max(p_brand) brand from d where p_type = 'ECONOMY' group by 1, 2),
+    g as (select old.*, brand from old left join e using (tenant, table_name)
+          where rn = 1 and (tenant, table_name) not in (select tenant, table_name from d where p_type = 'STANDARD')),
+    ev as (select unnest(['create', 'update', 'delete']) as event)
+    select tenant, table_name, event,
+           case when brand is not null then 'label' when p_size < 10 then lower(p_type) end as field,
+           case when brand is null and p_size < 10 then kind end as type,
+           case when brand is not null then 'contains' when p_size < 10 then 'gt' end as operator,
+           case when brand is not null then brand when p_size < 10 then cast(p_size as varchar) end as value
+    from g cross join ev""",
+    "subscription_quarantine": _DEFS
+    + """
+    select tenant, ordinal, case when p_size in (1, 4, 8) then 'unreadable' when p_size = 2 then 'missing'
+        when p_size = 3 then 'no_fields' when p_size = 5 then 'operator' when p_size = 6 then 'filter'
+        else 'type' end as reason
+    from d where p_size < 9""",
+    "subscription_rows_declared": _DEFS
+    + """,
+    ev as (select unnest(['create', 'update', 'delete']) as event)
+    select tenant, table_name, event, case when p_size < 10 then lower(p_type) end as field,
+           case when p_size < 10 then kind end as type, case when p_size < 10 then 'gt' end as operator,
+           case when p_size < 10 then cast(p_size as varchar) end as value
+    from d cross join ev where p_size >= 9""",
     "namespace": """
     select c_name, substr(sha256(c_name), 1, 8) as ns,
            'T' || substr(sha256(c_name), 1, 8) || '_' || lower(c_mktsegment) as type_name from customer""",

@@ -129,11 +129,33 @@ def sanitize_unreadable(s, d):
     return coerce.unreadable(table(s, d, "documents"), ["doc_id"], [Field("text", "Int")])
 
 
+def _untyped(s, d):
+    """Every event as JSON text whose fields differ from record to record."""
+    quoted = F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))
+    inner = F.expr("substr(props, 2, length(props) - 2)")
+    odd = F.col("event_id") % 2 == 1
+    text = F.concat(
+        F.lit("{"),
+        inner,
+        F.lit(', "kind": '), quoted,
+        F.lit(', "mixed": '), F.when(odd, F.col("event_id").cast("string")).otherwise(quoted),
+        F.lit(', "amount": '), F.when(odd, F.lit("2")).otherwise(F.lit("2.5")),
+        F.lit(', "none": null, "flag": '), F.when(odd, F.lit("true")).otherwise(F.lit("null")),
+        F.when(F.col("event_type") == "view", F.lit(', "tags": ["a", 1], "nested": {"x": 1}')).otherwise(F.lit("")),
+        F.lit("}"),
+    )
+    return table(s, d, "events").select(text.alias("record"))
+
+
+def infer_fields_untyped(s, d):
+    return schemas.infer_fields_untyped(_untyped(s, d), "record", indexed=["kind", "id"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         violations_required, violations_type, violations_nan, validate_partial, violations,
-        violations_url, infer_fields, fields_to_schema, sanitize, sanitize_unreadable,
+        violations_url, infer_fields, infer_fields_untyped, fields_to_schema, sanitize, sanitize_unreadable,
     )
 }
 
@@ -182,6 +204,25 @@ ORACLES = {
     union all
     select page_id, 'contact_email', 'email', contact_email from p
       where not regexp_matches(contact_email, '^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$')""",
+    "infer_fields_untyped": """
+    with r as (select '{' || substr(props, 2, length(props) - 2) || ', "kind": "' || event_type || '", "mixed": '
+          || case when event_id % 2 = 1 then cast(event_id as varchar) else '"' || event_type || '"' end
+          || ', "amount": ' || case when event_id % 2 = 1 then '2' else '2.5' end || ', "none": null, "flag": '
+          || case when event_id % 2 = 1 then 'true' else 'null' end
+          || case when event_type = 'view' then ', "tags": ["a", 1], "nested": {"x": 1}' else '' end || '}' as j
+        from events),
+    k as (select unnest(json_keys(j)) as name, j from r),
+    t as (select name, json_type(j, '$.' || name) as t from k),
+    m as (select name, count(*) filter (where t <> 'NULL') as n,
+                 count(*) filter (where t in ('UBIGINT', 'BIGINT')) as i, count(*) filter (where t = 'DOUBLE') as f,
+                 count(*) filter (where t = 'BOOLEAN') as b, count(*) filter (where t = 'ARRAY') as a
+          from t group by name)
+    select name, case when n = 0 then 'String' when i = n then 'Int' when i + f = n then 'Float'
+                      when b = n then 'Boolean' when a = n then 'Array' else 'String' end as type,
+           n = (select count(*) from events) as required, name = 'kind' as indexed, false as "primary" from m
+    union all select 'id', 'String', true, false, true
+    union all select 'createdAt', 'String', true, false, false
+    union all select 'updatedAt', 'String', true, false, false""",
     "infer_fields": """
     with j as (select d.*, quality, toxic from documents d left join labels l using (doc_id)),
     c as (select count(*) n, count(doc_id) doc_id, count(text) t, count(lang) lang, count(source) source,

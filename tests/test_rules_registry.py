@@ -285,3 +285,47 @@ def test_namespaces(spark):
     assert got["n"] == hashlib.sha256(b"key-1").hexdigest()[:8] and got["c"] == "Key-1"
     assert naming.namespace_collisions(df, "k").count() == 0
     assert naming.namespace_collisions(df, "k", digits=0).first()["n_keys"] == 2
+
+
+def test_broken_declarations_stop_no_other(spark):
+    good = '{"table_name":"notes","fields":[{"name":"a","type":"Int"}],"subscriptions":[{"filters":[{"field":"a","value":"1"}]}]}'
+    texts = [
+        ("t1", good), ("t1", good[:-4]), ("t1", None), ("t1", ""), ("t1", "null"), ("t1", "[1]"), ("t1", "7"),
+        ("t2", good), ("t2", '{"fields":[{"name":"a"}]}'), ("t2", '{"table_name":"x","fields":[]}'),
+        ("t2", good.replace('"a","value"', '"b","value"')), ("t2", good.replace('"value"', '"operator":"like","value"')),
+        ("t2", '{"table_name":"x","fields":[{"name":"a"},{"name":"a"}]}'), (None, good), ("t3", good),
+        ("t3", '{"table_name":"x","fields":[{"name":"a"}],"subscriptions":[{"filters":null},{}]}'),
+    ]
+    rows = spark.createDataFrame([(*t, i, "kept") for i, t in enumerate(texts)], "tenant string, body string, at int, reason string")
+    declared = reg.declarations(rows, "body")
+    found = {r["at"]: r["reason"] for r in declared.collect()}
+    assert found == {
+        0: None, 1: "unreadable", 2: "unreadable", 3: "unreadable", 4: "unreadable", 5: "unreadable", 6: "unreadable",
+        7: None, 8: "missing", 9: "no_fields", 10: "filter", 11: "operator", 12: "duplicate", 13: "tenant",
+        14: None, 15: None,
+    }
+    usable, aside = reg.set_aside(declared)
+    assert {r["at"] for r in usable.collect()} == {0, 7, 14, 15} and aside.count() == 12
+    usable, aside = reg.set_aside(declared, whole_tenant=True)
+    assert {r["at"] for r in usable.collect()} == {14, 15}
+    assert {r["at"] for r in aside.filter("reason = 'tenant_broken'").collect()} == {0, 7}
+    assert reg.subscription_rows(usable).count() == 9
+
+
+def test_untyped_records_show_their_fields(spark):
+    def fields(texts, **options):
+        df = spark.createDataFrame([(t,) for t in texts], "r string")
+        rows = schemas.infer_fields_untyped(df, "r", **options).collect()
+        own = {r["name"]: (r["type"], r["required"]) for r in rows if r["name"] not in ("createdAt", "updatedAt")}
+        assert len(rows) == len(own) + 2
+        return own
+
+    assert fields([]) == {"id": ("String", True)}
+    found = fields(['{"id": 1, "a": 1, "b": 1.5, "c": 1}', '{"id": "x", "a": 2, "b": 1, "c": "1", "d": null, "e": {"f": 1}}'])
+    assert found == {
+        "id": ("String", True), "a": ("Int", True), "b": ("Float", True), "c": ("String", True),
+        "d": ("String", False), "e": ("String", False),
+    }
+    assert fields(['{"a": true}', None]) == {"id": ("String", True), "a": ("Boolean", False)}
+    assert fields(['{"a": [1]}', "{broken"]) == {"id": ("String", True), "a": ("Array", False)}
+    assert fields(['{"a": 99999999999999999999}', "[1]"]) == {"id": ("String", True), "a": ("Float", False)}
