@@ -14,17 +14,20 @@ import random
 import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from keyfold.functions.naming import NAMESPACE_DIGITS
+from keyfold.functions.predicates import all_of
 from keyfold.functions.rules import record_rules, with_status
 from keyfold.model import SYSTEM_FIELDS, Field, TableSpec, table_spec
 from keyfold.operators import feed as feeds, read, registry as reg
 from keyfold.operators.write import iso_utc, repeated
 from keyfold.sources.log import CREATE, DELETE, UPDATE, LogSpec
 from keyfold.sources.snapshot import Conflict, Head, Snapshot, path_exists, remove
+from keyfold.streaming.delivery import Deliveries, Subscription
 from keyfold.streaming.pipeline import ChangePipeline
 
 KEY = "id"
@@ -251,16 +254,18 @@ class Database:
         spec = TableSpec(
             name, tuple(Field(*f) for f in found["fields"]), found["description"]
         )
-        # fields of all declared subscriptions, each once
-        declared = list(dict.fromkeys(f["field"] for s in found["subscriptions"] or [] for f in s["filters"] or []))
+        # declared filters of all subscriptions; of a field that several declare the first one counts
+        declared: dict[str, dict] = {}
+        for f in (f for s in found["subscriptions"] or [] for f in s["filters"] or []):
+            declared.setdefault(f["field"], {"operator": f["operator"] or "eq", "value": f["value"]})
         return Table(self.spark, f"{self.root}/tables/{found['table_id']}", spec, declared)
 
 
 class Table:
     """One table: reads on its newest version, writes as log batches, live channels."""
 
-    def __init__(self, spark: SparkSession, root: str, spec: TableSpec, declared: Sequence[str] = ()):
-        self.spark, self.root, self.spec, self.declared = spark, root, spec, list(declared)
+    def __init__(self, spark: SparkSession, root: str, spec: TableSpec, declared: Mapping[str, Mapping] | None = None):
+        self.spark, self.root, self.spec, self.declared = spark, root, spec, dict(declared or {})
         self.fields = [f for f in spec.fields if f.name not in SYSTEM_FIELDS]
         self.log_spec = LogSpec((KEY,), tuple(f.name for f in self.fields))
         self.log_schema = T.StructType(
@@ -532,26 +537,56 @@ class Table:
             ]
         )
 
-    def subscribe(self, event: str, filters: Mapping | None = None, new_only: bool = False) -> DataFrame:
+    def subscribe(
+        self, event: str, filters: Mapping | Sequence[Mapping] | None = None, new_only: bool = False
+    ) -> DataFrame:
         """A streaming DataFrame of one channel; end it in any sink.
 
-        The update channel also carries published events. Only declared filter fields
+        The update channel also carries published events. ``filters`` are values by field, compared by the
+        operator the table declares for the field (``eq`` where it declares none), or declarations (field,
+        operator, value) with operators of their own; all are AND-ed. A field without a value takes the
+        declared constant, and constrains nothing if there is none. Only declared filter fields
         count where the table declares some. With ``new_only`` events of before the call are
         left out; otherwise a new listener hears the whole history.
         """
         started = _now()
-        self._make_folders()
-        stored = self.spark.readStream.schema(self.feed_schema()).parquet(self.pipeline.feed_path)
-        channel = feeds.subscribe(feeds.payload(stored, self.log_spec), event)
-        if event == UPDATE:
-            published = self.spark.readStream.schema(self.payload_schema()).parquet(
-                f"{self.root}/published"
-            )
-            channel = feeds.update_channel(channel, published)
+        channel = feeds.subscribe(self.events(), event)
         if new_only:
             channel = channel.filter(F.col("ts") >= started)
-        chosen = {n: v for n, v in (filters or {}).items() if not self.declared or n in self.declared}
-        return read.index_filters(channel, chosen)
+        return channel.filter(all_of(channel, self._chosen(filters)))
+
+    def _chosen(self, filters: Mapping | Sequence[Mapping] | None) -> list[dict]:
+        """Filters of a listener with what the table declares for their fields."""
+        if filters is None or isinstance(filters, Mapping):
+            filters = [{"field": n, "value": v} for n, v in (filters or {}).items()]
+        chosen = []
+        for given in filters:
+            declared = self.declared.get(given["field"], {})
+            if self.declared and not declared:
+                continue
+            value = given.get("value")
+            chosen.append(
+                {
+                    "field": given["field"],
+                    "operator": given.get("operator") or declared.get("operator"),
+                    "value": declared.get("value") if value is None else value,
+                }
+            )
+        return chosen
+
+    def events(self) -> DataFrame:
+        """All events of the table as a stream: accepted changes, and what was published."""
+        self._make_folders()
+        stored = self.spark.readStream.schema(self.feed_schema()).parquet(self.pipeline.feed_path)
+        published = self.spark.readStream.schema(self.payload_schema()).parquet(f"{self.root}/published")
+        return feeds.update_channel(feeds.payload(stored, self.log_spec), published)
+
+    def listen(
+        self, subscriptions: Sequence[Subscription], folder: str, available_now: bool = False, tries: int = 3
+    ) -> StreamingQuery:
+        """Call the handlers of subscriptions with their events; ``folder`` keeps how far each of them is."""
+        chosen = [replace(s, filters=self._chosen(s.filters)) for s in subscriptions]
+        return Deliveries(self.spark, folder, chosen, tries).start(self.events(), available_now)
 
     def _make_folders(self) -> None:
         """Both ends of the channels exist before the first event."""

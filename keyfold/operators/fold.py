@@ -158,6 +158,26 @@ def records(state: DataFrame, spec: LogSpec, system_fields: bool = False) -> Dat
     return state.filter(F.col(LIVE)).select(*spec.keys, *spec.fields, *extra)
 
 
+def changed_between(before: DataFrame, after: DataFrame, spec: LogSpec) -> DataFrame:
+    """What changed on balance from one state to a later one.
+
+    Columns: key, kind, old_seq, new_seq, old struct, new struct. A record that came and went in between is not
+    there, one that went and came again is a MODIFY. Positions tell what changed; values are never compared.
+    """
+
+    def side(state: DataFrame, name: str) -> DataFrame:
+        return state.filter(F.col(LIVE)).select(
+            *spec.keys, F.col(LAST_SEQ).alias(f"{name}_seq"), F.struct(*spec.fields).alias(name)
+        )
+
+    joined = side(before, "old").join(side(after, "new"), list(spec.keys), "full_outer")
+    old, new = F.col("old_seq"), F.col("new_seq")
+    kind = F.when(old.isNull(), "INSERT").when(new.isNull(), "REMOVE").otherwise("MODIFY")
+    return joined.filter(~old.eqNullSafe(new)).select(
+        *spec.keys, kind.alias("kind"), "old_seq", "new_seq", "old", "new"
+    )
+
+
 def state_of(table: DataFrame, spec: LogSpec, seq: int = -1) -> DataFrame:
     """A plain table of records as the state before any log row."""
     return table.select(

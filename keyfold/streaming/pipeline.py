@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from keyfold.operators.feed import images
-from keyfold.operators.fold import CREATED, LAST_SEQ, LIVE, UPDATED, advance, is_late, records, with_prior
+from keyfold.operators.fold import (
+    CREATED, LAST_SEQ, LIVE, UPDATED, advance, changed_between, is_late, records, with_prior,
+)
 from keyfold.plans.skew import GROUP_ROWS, find_slices
 from keyfold.sources.log import LogSpec
 from keyfold.sources.snapshot import Head, Snapshot, move, path_exists
@@ -123,6 +125,16 @@ class ChangePipeline:
         buckets = None if keys is None else store.touched(keys)
         return records(store.read(version, buckets), self.spec, system_fields=True)
 
+    def changes_between(self, first: int, second: int) -> DataFrame:
+        """What changed on balance from one version to another, see ``fold.changed_between``.
+
+        Manifests say which buckets differ; only those are read, at both versions.
+        """
+        store = self.snapshot
+        one, two = store.version(first), store.version(second)
+        moved = [b for b in {*one.held, *two.held} if one.held.get(b) != two.held.get(b)]
+        return changed_between(store.read(buckets=moved, head=one), store.read(buckets=moved, head=two), self.spec)
+
     def feed(self) -> DataFrame:
         return self.spark.read.parquet(self.feed_path)
 

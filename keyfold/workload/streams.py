@@ -9,10 +9,11 @@ from keyfold.session import work_dir
 from keyfold.sources.log import EVENT_LOG, events_as_log
 from keyfold.sources.tables import table
 from keyfold.streaming import channels
+from keyfold.streaming.delivery import Deliveries, Subscription
 from keyfold.streaming.deltas import DeltaTable
 from keyfold.streaming.pipeline import ChangePipeline, split_by_order
 from keyfold.workload import feeds, writes
-from keyfold.workload.common import LOG
+from keyfold.workload.common import IMAGES, LOG
 
 
 def _log(s, d):
@@ -66,6 +67,35 @@ def stream_table(s, d):
     return _run_pipeline(s, d).table()
 
 
+def changes_between(s, d):
+    """What the last two of three stretches changed on balance, from the buckets they touched."""
+    return _run_pipeline(s, d).changes_between(0, 2).select(
+        "id", "kind", F.col("old.value").alias("old_value"), F.col("old.props").alias("old_props"),
+        F.col("new.value").alias("new_value"), F.col("new.props").alias("new_props"),
+    )
+
+
+def stream_handlers(s, d):
+    """The feed given to two handlers, each with its own ledger, as its files come in."""
+    root = work_dir(s, "handlers")
+    feeds.payload_of(s, d).repartitionByRange(3, "seq").write.parquet(f"{root}/feed")
+
+    def handler(name):
+        def write(events, batch):
+            chosen = events.select(F.lit(name).alias("handler"), "id", "seq", "value")
+            chosen.write.mode("overwrite").parquet(f"{root}/out/name={name}/batch={batch}")
+        return write
+
+    large = [{"field": "value", "operator": "gte", "value": 50}, {"field": "props", "operator": "contains", "value": "1"}]
+    listeners = [
+        Subscription("removals", "delete", handler("removals")),
+        Subscription("large", "update", handler("large"), large),
+    ]
+    stream = channels.read_stream(s, f"{root}/feed", s.read.parquet(f"{root}/feed").schema, files_per_trigger=1)
+    Deliveries(s, root, listeners).start(stream, available_now=True).awaitTermination()
+    return s.read.parquet(f"{root}/out").select("handler", "id", "seq", "value")
+
+
 def _run_deltas(s, d):
     """The log as deltas of three batches, merged behind the second."""
     root = work_dir(s, "deltas")
@@ -129,7 +159,7 @@ def stream_updates(s, d):
     return s.read.parquet(f"{root}/out")
 
 
-QUERIES = {f.__name__: f for f in (stream_sink, stream_resume, stream_feed, stream_table, delta_table, delta_feed, stream_fanout, stream_fanout_live, stream_updates)}
+QUERIES = {f.__name__: f for f in (stream_sink, stream_resume, stream_feed, stream_table, changes_between, stream_handlers, delta_table, delta_feed, stream_fanout, stream_fanout_live, stream_updates)}
 
 ORACLES = {
     "stream_sink": LOG + " select id, seq, value, props from l where op = 'update'",
@@ -139,6 +169,21 @@ ORACLES = {
     "stream_updates": feeds.ORACLES["publish_union"],
     "stream_feed": feeds.ORACLES["images"],
     "stream_table": writes.ORACLES["fold_incremental"],
+    "changes_between": IMAGES
+    + """,
+    cut as (select min(seq) + cast(ceil((max(seq) - min(seq) + 1) / 3.0) as bigint) as edge from l),
+    early as (select * from (select *, row_number() over (partition by id order by seq desc) rn from img
+                         where seq < (select edge from cut)) where rn = 1 and op <> 'delete'),
+    final as (select * from (select *, row_number() over (partition by id order by seq desc) rn from img)
+          where rn = 1 and op <> 'delete')
+    select coalesce(early.id, final.id) as id,
+           case when early.id is null then 'INSERT' when final.id is null then 'REMOVE' else 'MODIFY' end as kind,
+           early.new_value as old_value, early.new_props as old_props, final.new_value, final.new_props
+    from early full join final on early.id = final.id where early.seq is distinct from final.seq""",
+    "stream_handlers": IMAGES
+    + """ select 'removals' as handler, id, seq, old_value as value from img where op = 'delete'
+          union all select 'large', id, seq, new_value from img
+          where op = 'update' and new_value >= 50 and contains(new_props, '1')""",
     "delta_table": writes.ORACLES["fold_incremental"],
     "delta_feed": feeds.ORACLES["images"],
 }
