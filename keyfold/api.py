@@ -42,6 +42,8 @@ MISFIT = "_misfit"
 ORDER_BITS = 36
 #: attempts at a change of definitions when other writers are faster
 COMMIT_TRIES = 16
+#: rows of a list that are stored as one file
+ONE_FILE = 10_000
 
 
 def _fits(value: object, dtype: T.DataType) -> bool:
@@ -400,12 +402,17 @@ class Table:
             {n: F.when(again, c).otherwise(F.col(n)) for n, c in rejected.items()}
         ).select(*judged.columns)
 
-    def _apply(self, log: DataFrame, batch: int) -> DataFrame:
-        """Store the batch first: generated ids and stamps are fixed before they are used."""
+    def _apply(self, log: DataFrame, batch: int, rows: int | None = None) -> DataFrame:
+        """Store the batch first: generated ids and stamps are fixed before they are used.
+
+        ``rows`` bounds the number of rows of a batch that came as a list; a small one is one file.
+        """
         path = f"{self.root}/log/batch={batch}"
+        if rows is not None and rows <= ONE_FILE:
+            log = log.coalesce(1)
         log.write.mode("overwrite").parquet(path)
         stored = self.spark.read.schema(self.log_schema).parquet(path)
-        self.pipeline.process(stored, batch)
+        self.pipeline.process(stored, batch, rows)
         changed = f"{self.pipeline.feed_path}/batch={batch}"
         if not path_exists(self.spark, changed):
             return self.spark.createDataFrame([], self.payload_schema())
@@ -425,6 +432,7 @@ class Table:
         ``order``, a column of positions from 0 to below 2**36: rows out of that range are rejected,
         and without ``order`` all rows of an id that repeats are.
         """
+        n = None if isinstance(rows, DataFrame) else len(rows)
         df = self._frame(rows, [KEY, *self.log_spec.fields])
         given = [n for n in self.log_spec.fields if n in df.columns]
         if KEY not in df.columns:
@@ -436,7 +444,7 @@ class Table:
             KEY, F.when(F.coalesce(F.col(KEY), F.lit("")) == "", F.expr("uuid()")).otherwise(F.col(KEY))
         )
         batch = self._next_batch()
-        data = self._apply(self._log(filled, CREATE, given, batch, order), batch)
+        data = self._apply(self._log(filled, CREATE, given, batch, order), batch, n)
         return Result(data, judged.filter("not ok").drop(ORDER, GIVEN), self._outcome(judged, batch))
 
     def _outcome(self, judged: DataFrame, batch: int) -> DataFrame | None:
@@ -460,6 +468,7 @@ class Table:
         Every row of a list gives its own fields, and those of a DataFrame all of its columns; the
         system fields are never taken from them. Order as in :meth:`create_many`.
         """
+        count = None if isinstance(rows, DataFrame) else len(rows)
         if not isinstance(rows, DataFrame):
             names = [n for n in self.log_spec.fields if any(n in r for r in rows)]
         else:
@@ -483,7 +492,7 @@ class Table:
         )
         rejected = judged.filter("not ok").unionByName(unknown.select(*judged.columns))
         batch = self._next_batch()
-        data = self._apply(self._log(good, UPDATE, given, batch, order), batch)
+        data = self._apply(self._log(good, UPDATE, given, batch, order), batch, count)
         outcome = None
         if ORDER in judged.columns:
             failed = rejected.select(F.col(ORDER).alias("position"), KEY, "ok", "error_field", "error_rule")
@@ -496,11 +505,12 @@ class Table:
 
     def delete_many(self, ids: DataFrame | Sequence[str]) -> Result:
         """Remove records; ``data`` has them as they were. Unknown ids are no error."""
+        count = None if isinstance(ids, DataFrame) else len(ids)
         if not isinstance(ids, DataFrame):
             ids = self._frame([{KEY: i} for i in ids], [KEY]).select(KEY)
         batch = self._next_batch()
         log = self._log(ids.select(KEY).distinct(), DELETE, [], batch)
-        return Result(self._apply(log, batch), ids.select(KEY).limit(0))
+        return Result(self._apply(log, batch, count), ids.select(KEY).limit(0))
 
     def delete(self, record_id: str) -> Result:
         return self.delete_many([record_id])

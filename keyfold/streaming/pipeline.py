@@ -70,8 +70,11 @@ class ChangePipeline:
     def feed_path(self) -> str:
         return f"{self.root}/feed"
 
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        """Apply one micro-batch; safe to call again with the same id."""
+    def process(self, batch: DataFrame, batch_id: int, rows: int | None = None) -> None:
+        """Apply one micro-batch; safe to call again with the same id.
+
+        A caller who knows the number of ``rows`` saves the search for hot keys where there can't be any.
+        """
         store = self.snapshot
         head = store.head()
         self._deliver(head)
@@ -82,28 +85,32 @@ class ChangePipeline:
         if not buckets:
             return
         state = store.read(buckets=buckets, head=head)
-        slices = find_slices(log, self.spec.keys, self.spec.seq, self.group_rows)
+        few = rows is not None and rows <= self.group_rows
+        slices = None if few else find_slices(log, self.spec.keys, self.spec.seq, self.group_rows)
         # one join with the state serves all three results; lost blocks are computed again
         judged = with_prior(log, state, self.spec, slices).withColumn("late", is_late(self.spec)).persist()
         fresh = judged.filter("not late")
         attempt = uuid.uuid4().hex
         images(fresh, self.spec, slices=slices).write.parquet(self._waiting(batch_id, attempt))
         late = judged.filter("late").select(*self.spec.columns)
-        late.write.mode("overwrite").parquet(f"{self.root}/late/batch={batch_id}")
+        if not late.isEmpty():
+            late.write.mode("overwrite").parquet(f"{self.root}/late/batch={batch_id}")
         store.commit(advance(state, fresh, self.spec), buckets, batch_id, head=head, attempt=attempt)
         judged.unpersist()
-        self._deliver(store.head())
+        self._deliver_attempt(batch_id, attempt)
 
     def _waiting(self, batch_id: int, attempt: str) -> str:
         return f"{self.root}/waiting/{batch_id}-{attempt}"
 
     def _deliver(self, head: Head | None) -> None:
         """Put the changes of the newest version into the feed, if they are not there yet."""
-        if head is None or not head.attempt:
-            return
-        waiting = self._waiting(head.batch_id, head.attempt)
+        if head is not None and head.attempt:
+            self._deliver_attempt(head.batch_id, head.attempt)
+
+    def _deliver_attempt(self, batch_id: int, attempt: str) -> None:
+        waiting = self._waiting(batch_id, attempt)
         if path_exists(self.spark, waiting):
-            move(self.spark, waiting, f"{self.feed_path}/batch={head.batch_id}")
+            move(self.spark, waiting, f"{self.feed_path}/batch={batch_id}")
 
     def start(
         self, stream: DataFrame, available_now: bool = False, every: str = "10 seconds"
@@ -139,7 +146,12 @@ class ChangePipeline:
         return self.spark.read.parquet(self.feed_path)
 
     def late(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/late")
+        """Rows that came too late, each with its ``batch``."""
+        path = f"{self.root}/late"
+        schema = T.StructType([*(self.log_schema[c] for c in self.spec.columns), T.StructField("batch", T.LongType())])
+        if not path_exists(self.spark, path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
 
 
 def split_by_order(log: DataFrame, order: str, parts: int, path: str) -> None:
