@@ -489,3 +489,25 @@ def test_working_tables_go_and_results_stay(spark):
         folder = inner.inputFiles()[0]
     assert sorted(r["a"] for r in result.collect()) == [3, 4, 5]
     assert not os.path.exists(os.path.dirname(folder.removeprefix("file://")))
+
+
+def test_url_rules_from_a_table(spark):
+    """Some hundred general rules, and a table of rules with holes and repeats, against plain expressions."""
+    rules = url_filter.general_rules()
+    assert len(rules) > 200 and len({name for name, _, _ in rules}) == len(rules)
+    hosts = ["cheap-meds.example", "a.payday-cash.net", "live-cams.x", "livecams.x", "live.cams.x", "ads.criteo.net", "criteo.net.x", "notcriteo.net"]
+    hosts += ["essays.org", "poker-news.org", "pokernews.org", "news.org/poker.html", "a.org/warez/x/download", "a.org/warez/", "XVIDEOS.example:80"]
+    docs = spark.createDataFrame([(k, f"http://{h}") for k, h in enumerate(hosts)], "page_id long, url string")
+    found = {r["page_id"]: r["pattern"] for r in url_filter.judge(docs).collect()}
+    for k, h in enumerate(hosts):
+        fitting = [n for n, _, e in rules if re.search(e, f"http://{h}".lower())]
+        assert found[k] == min(fitting, default=None)
+    assert [found[k] for k in (0, 1, 2, 3, 5, 8, 9, 12, 14)] == [
+        "cheap-meds", "payday-cash", "live-cams", None, "criteo.net", None, "poker", "warez", "xvideos"
+    ]
+    own = [("b", ["essays"], "essays"), ("a", ["org", "essays"], "essays[.]org"), ("a", ["org", "essays"], "essays[.]org")]
+    own += [("none", None, "org"), ("none", [], "org"), ("never", ["org"], None)]
+    table = spark.createDataFrame(own, "pattern string, literals array<string>, expression string")
+    judged = {r["page_id"]: r["pattern"] for r in url_filter.judge(docs, (), table).collect()}
+    assert judged == {k: "a" if k == 8 else None for k in range(len(hosts))}
+    assert url_filter.judge(docs, (), table.where("false")).where("verdict = 'block'").count() == 0
