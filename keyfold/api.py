@@ -280,7 +280,12 @@ class Table:
                 *[T.StructField(f"present_{f.name}", T.BooleanType()) for f in self.fields],
             ]
         )
-        self.pipeline = ChangePipeline(spark, root, self.log_spec, self.log_schema, buckets=16)
+        self.pipeline = ChangePipeline(spark, root, self.log_spec, self.log_schema, buckets=16, indexed=self._indexed())
+
+    def _indexed(self) -> tuple[str, ...]:
+        """Fields declared as indexed whose type can have a bloom filter."""
+        plain = (T.StringType, T.LongType, T.DoubleType)
+        return tuple(f.name for f in self.fields if f.indexed and isinstance(f.spark_type, plain))
 
     # --- reads ------------------------------------------------------------------
 
@@ -308,14 +313,21 @@ class Table:
              **options) -> DataFrame:
         return read.list_records(self.records(), KEY, filters, limit, token, **options)
 
-    def page(self, filters: Mapping | None = None, limit: int | None = None, token: str | None = None) -> DataFrame:
-        return read.page(self.records(), KEY, filters, limit, token)
+    def page(self, filters: Mapping | None = None, limit: int | None = None, token: str | None = None,
+             by: str | None = None, descending: bool = False) -> DataFrame:
+        """A page in key order, or in the order of any field, with the cursor of the next one."""
+        return read.page(self.records(), KEY, filters, limit, token, by=by, descending=descending)
+
+    def query_page(self, key_condition: Mapping, order_key: str, **options) -> DataFrame:
+        """A page of a key query with the cursor of the next one."""
+        return read.query_page(self.records(), key_condition, order_key, KEY, **options)
 
     def pages(self, size: int = read.MAX_PAGE) -> DataFrame:
         return read.bulk_pages(self.records(), KEY, size)
 
-    def sorted(self, by: str, descending: bool = False, limit: int | None = None) -> DataFrame:
-        return read.list_sorted(self.records(), KEY, by, descending, limit)
+    def sorted(self, by: str, descending: bool = False, limit: int | None = None,
+               token: str | None = None) -> DataFrame:
+        return read.list_sorted(self.records(), KEY, by, descending, limit, token)
 
     def scan(self, **options) -> DataFrame:
         return read.scan(self.records(), key=KEY, **options)

@@ -55,6 +55,8 @@ class ChangePipeline:
     log_schema: T.StructType
     buckets: int = 64
     group_rows: int = GROUP_ROWS
+    #: fields that equality filters are expected on: bloom filters for all, the order in a bucket by the first
+    indexed: tuple[str, ...] = ()
 
     @property
     def snapshot(self) -> Snapshot:
@@ -64,6 +66,7 @@ class ChangePipeline:
             state_schema(self.log_schema, self.spec),
             self.spec.keys,
             self.buckets,
+            self.indexed,
         )
 
     @property

@@ -222,3 +222,25 @@ def test_definitions_leave_other_tenants_files_alone(spark):
     ours.delete_table("mine")
     assert ours._store.head().version == after.version + 1
     assert ours.list_tables().count() == 0 and theirs.list_tables().count() == 1
+
+
+def test_pages_by_an_indexed_field(spark):
+    db = Database(spark, work_dir(spark, "paged"), "key")
+    fields = [{"name": "room", "indexed": True}, {"name": "size", "type": "Int", "indexed": True}, {"name": "on", "type": "Boolean", "indexed": True}]
+    table = db.create_table("rooms", fields)
+    table.create_many([{"id": f"r{i}", "room": f"room {i % 3}", "size": i % 2, "on": True} for i in range(7)])
+    assert table.pipeline.snapshot.indexed == ("room", "size")
+    token, seen = None, []
+    while True:
+        rows = table.page(limit=2, token=token, by="size", descending=True).collect()
+        seen += [r["id"] for r in rows]
+        token = rows[0]["next_token"]
+        if token is None:
+            break
+    assert seen == ["r1", "r3", "r5", "r0", "r2", "r4", "r6"]
+    first = table.query_page({"room": "room 0"}, "size", limit=2).collect()
+    rest = table.query_page({"room": "room 0"}, "size", limit=2, token=first[0]["next_token"]).collect()
+    assert [r["id"] for r in first + rest] == ["r0", "r6", "r3"]
+    token = table.page(limit=3, by="size").first()["next_token"]
+    assert [r["id"] for r in table.sorted("size", limit=2, token=token).collect()] == ["r6", "r1"]
+    assert ids(table.list({"room": "room 1"})) == ["r1", "r4"]
