@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm._store import stored
+from keyfold.llm._store import stored, working
 from keyfold.llm._words import distinct, each, mix, sequence_hash, signed
 
 WORDS = 5
@@ -411,14 +411,17 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, hot_list:
     # both are stored, so that a hot shingle's rows are only ever joined, and Spark can split them
     main = stored(sizes.groupBy("token").agg(F.max_by("own", F.struct("n", "own")).alias("main")), "main")
     left = stored(members.join(main, "token").where("own <> main").drop("main"), "left")
-    x, y = left.alias("x"), members.alias("y")
+    # linked sets are in the same band of sizes or in neighbouring ones
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / min(percent, 99))))
+    left = left.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
+    x, y = left.alias("x"), members.withColumn("band", band).alias("y")
     c = F.col
     same = c("x.p_sig") == c("y.p_sig")
     upper = F.least(c("x.overlap"), c("y.overlap")) + F.least(c("x.n") - c("x.overlap"), c("y.n") - c("y.overlap"))
     lower = c("x.overlap") + c("y.overlap") - c("x.p_n")
     needed = _needed(c("x.n"), c("y.n"), percent)
     cross = (
-        x.join(y, c("x.token") == c("y.token"))
+        x.join(y, (c("x.token") == c("y.token")) & (c("x.band") == c("y.band")))
         .where(c("x.own") != c("y.own"))
         .where(_compatible(c("x.n"), c("x.pos"), c("y.n"), c("y.pos"), percent))
         .where(~(same & F.coalesce(upper < needed, F.lit(False))))
@@ -438,6 +441,32 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, hot_list:
     )
 
 
+def grouped(
+    docs: DataFrame, size: int = WORDS, percent: int = PERCENT, hot_list: int = HOT_LIST, key: str | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row's class, every class with its group, and links that hold the groups together, all stored.
+
+    The classes have ``sig, n, copies, least`` (smallest ``doc_id``) and ``label``, with a ``key`` also ``head``.
+    The lists and sets that this takes are deleted at its end.
+    """
+    spark = docs.sparkSession
+    own = stored(classes(docs, size, key), "classes")
+    with working(spark) as kept:
+        found = kept(links(docs, size, percent, hot_list), "links")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    with working(spark) as kept:
+        label = groups(found).toDF("sig", "label")
+        per_class = (
+            own.where("sig is not null")
+            .groupBy("sig")
+            .agg(F.max("n").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("least"), *([F.min(rank).alias("head")] if key else []))
+            .join(label, "sig", "left")
+            .withColumn("label", F.coalesce("label", "sig"))
+        )
+        per_class = kept(per_class, "per-class")
+    return own, per_class, found
+
+
 def components(
     docs: DataFrame, size: int = WORDS, percent: int = PERCENT, hot_list: int = HOT_LIST, key: str | None = None
 ) -> DataFrame:
@@ -449,12 +478,7 @@ def components(
     ``key`` of ``docs`` that is unique and stored is given too, with ``is_first``: whether a row is its component's
     first by ``doc_id``, nulls last, and ``key``. An empty table gives an empty one.
     """
-    own = stored(classes(docs, size, key), "classes")
-    label = groups(links(docs, size, percent, hot_list))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    per_class = own.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), *([F.min(rank).alias("head")] if key else []))
-    per_class = per_class.join(label.toDF("sig", "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    per_class = stored(per_class, "per-class")
+    own, per_class, _ = grouped(docs, size, percent, hot_list, key)
     least = per_class.groupBy("label").agg(F.min("least").alias("component"), *([F.min("head").alias("head")] if key else []))
     to = per_class.select("sig", "label").join(least, "label").select("sig", "component", *([F.col("head.row").alias("head")] if key else []))
     # texts without words have no class: a key of their own keeps them out of one task

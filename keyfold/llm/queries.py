@@ -10,7 +10,7 @@ from keyfold.llm import (
     decontaminate,
     filter_audit,
     html_extract,
-    jaccard_join,
+    jaccard_links,
     packing,
     passage_sketch,
     periodic_runs,
@@ -47,7 +47,7 @@ def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_join.components(_read(spark, folder, "documents"))
+    return jaccard_links.report(_read(spark, folder, "documents"))
 
 
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:

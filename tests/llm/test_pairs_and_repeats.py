@@ -7,7 +7,7 @@ import re
 import duckdb
 import pytest
 
-from keyfold.llm import decontaminate, jaccard_join, quality_rules, substring_dedup
+from keyfold.llm import decontaminate, jaccard_join, jaccard_links, quality_rules, substring_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -81,6 +81,57 @@ def test_jaccard_odd_rows(spark):
     ]
 
 
+def near_copies(seed, n=90):
+    """Groups in which most texts link, some only through others, with copies, chains and two hubs."""
+    rng = random.Random(seed)
+    hubs = [[f"h{h}w{k}" for k in range(80)] for h in range(2)]
+    hubs.append(hubs[0][:60] + hubs[1][:14])
+    texts = []
+    for k in range(n):
+        own = list(hubs[k % 3])
+        for _ in range(rng.randrange(0, 4)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(own[: len(own) - rng.randrange(0, 12)]))
+    chain = [f"c{k}" for k in range(140)]
+    texts += [" ".join(chain[k : k + 60]) for k in range(0, 80, 4)]
+    return [*texts, *rng.sample(texts, 15), None, "", "own text", "own  TEXT", *corpus(seed, 20)]
+
+
+@pytest.mark.parametrize(("seed", "hot", "block"), [(1, 100_000, 256), (2, 5, 3)])
+def test_every_jaccard_link(spark, monkeypatch, seed, hot, block):
+    monkeypatch.setattr(jaccard_links, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard_links, "BLOCKS_TOGETHER", 4)
+    monkeypatch.setattr(jaccard_links, "PIECE", 16)
+    texts = near_copies(seed)
+    docs = frame(spark, texts, extra=True)
+    sets = [frozenset(shingles(t)) for t in texts]
+
+    def linked(a, b):
+        return bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b)
+
+    want = {}
+    for k, (n, component) in components(texts).items():
+        links = sum(linked(sets[k], s) for s in sets) - 1 if sets[k] else 0
+        want[k] = (n, component, sets.index(sets[k]) if sets[k] else k, links)
+    got = jaccard_links.report(docs, hot_list=hot).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["class_id"], r["n_links"]) for r in got} == want
+    of = {r["sig"]: sets[r["doc_id"]] for r in jaccard_join.classes(docs).where("sig is not null").collect()}
+    found = [(r["a"], r["b"]) for r in jaccard_links.pairs(docs, hot_list=hot).collect()]
+    assert len(found) == len(set(found)) > 200
+    every = {(a, b) for a in of for b in of if a < b and linked(of[a], of[b])}
+    assert set(found) == every
+
+
+def test_links_of_odd_rows(spark):
+    assert jaccard_links.report(frame(spark, []).where("false")).count() == 0
+    text = " ".join(f"w{k}" for k in range(30))
+    got = jaccard_links.report(frame(spark, [text, text, None, "", text, text + " y"], ids=[7, 7, None, 3, None, None])).collect()
+    assert sorted(tuple(map(str, r)) for r in got) == [
+        ("3", "0", "3", "3", "0"), ("7", "26", "7", "7", "3"), ("7", "26", "7", "7", "3"),
+        ("None", "0", "None", "None", "0"), ("None", "26", "7", "7", "3"), ("None", "27", "7", "None", "3"),
+    ]
+
+
 def hits(texts, items):
     def words(t):
         return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER))
