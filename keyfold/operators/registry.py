@@ -232,9 +232,9 @@ def subscription_rows(registry: DataFrame) -> DataFrame:
     )
 
 
-def broken_rules(fields: Column) -> Column:
-    """All broken rules of a field list as an array of (field, rule)."""
-    names = F.transform(fields, lambda f: f["name"])
+def broken_rules(fields: Column, names: Column | None = None) -> Column:
+    """All broken rules of a field list as an array of (field, rule); ``names`` are the fields' if a column holds them."""
+    names = F.transform(fields, lambda f: f["name"]) if names is None else names
 
     def entry(field: Column, rule: str) -> Column:
         return F.struct(field.cast("string").alias("field"), F.lit(rule).alias("rule"))
@@ -355,18 +355,19 @@ def declarations(texts: DataFrame, text: str = "text", tenant: str = "tenant") -
         F.col(tenant).alias("tenant"),
         *own,
         F.col(text).alias("text"),
-        F.when(shown, parsed).alias("_d"),
+        # as the output of a generator it is a column that every use reads; an alias would be parsed anew for each
+        F.explode(F.array(F.when(shown, parsed))).alias("_d"),
     )
-    fields = with_field_defaults(F.col("_d.fields"))
+    # computed once as well: the rules look at all fields and names again for every field
+    rows = rows.withColumn("_fields", F.explode(F.array(with_field_defaults(F.col("_d.fields")))))
+    rows = rows.withColumn("_names", F.explode(F.array(F.transform("_fields", lambda f: f["name"]))))
     filters = F.flatten(
         F.transform(
             F.coalesce("_d.subscriptions", no_subscriptions()),
             lambda s: F.coalesce(s["filters"], F.array().cast(SUBSCRIPTION_STRUCT["filters"].dataType)),
         )
     )
-    names = F.concat(
-        F.transform(F.col("_d.fields"), lambda f: f["name"]), F.array(*[F.lit(n) for n in SYSTEM_FIELDS])
-    )
+    names = F.concat("_names", F.array(*[F.lit(n) for n in SYSTEM_FIELDS]))
     astray = F.exists(filters, lambda f: ~F.coalesce(F.array_contains(names, f["field"]), F.lit(False)))
     strange = F.exists(filters, lambda f: ~F.coalesce(f["operator"], F.lit("eq")).isin(*OPERATORS))
     reason = (
@@ -375,7 +376,7 @@ def declarations(texts: DataFrame, text: str = "text", tenant: str = "tenant") -
         .when(definition_error(F.col("_d.table_name"), F.col("_d.fields")) == "missing", "missing")
         .otherwise(
             F.coalesce(
-                F.get(broken_rules(fields), F.lit(0))["rule"],
+                F.get(broken_rules(F.col("_fields"), F.col("_names")), F.lit(0))["rule"],
                 F.when(astray, "filter"),
                 F.when(strange, "operator"),
             )
@@ -389,7 +390,7 @@ def declarations(texts: DataFrame, text: str = "text", tenant: str = "tenant") -
         F.col("_d.description").alias("description"),
         *own,
         "text",
-        reason.alias("reason"),
+        F.explode(F.array(reason)).alias("reason"),
     )
 
 

@@ -202,7 +202,10 @@ def subscription_rows_after(s, d):
 
 
 def _texts(s, d):
-    """The definitions as JSON text, broken in some way for most sizes below 9."""
+    """The definitions as JSON text, broken in some way for most sizes below 9.
+
+    They are dealt over all tasks: the table is one small file, and reading JSON is the work, not the file's size.
+    """
     size = F.col("p_size")
     definitions = _definitions(s, d).join(
         table(s, d, "part").select(F.col("p_partkey").alias("ordinal"), size), "ordinal"
@@ -220,7 +223,8 @@ def _texts(s, d):
         .when(size == 8, F.lit(None))
         .otherwise(whole)
     )
-    return definitions.select("tenant", "ordinal", text.alias("text"))
+    tasks = int(s.conf.get("spark.sql.shuffle.partitions"))
+    return definitions.select("tenant", "ordinal", text.alias("text")).repartition(tasks)
 
 
 def subscription_quarantine(s, d):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F, types as T
 from keyfold.functions import coerce, naming, rules
 from keyfold.model import ARRAY, BOOLEAN, FLOAT, INT, STRING, Field, fields_of, logical_of, logical_type
 from keyfold.operators import registry as reg, schemas
+from keyfold.workload import registry as workload
 
 FIELDS = [
     Field("id", STRING, True, False, True),
@@ -329,3 +330,12 @@ def test_untyped_records_show_their_fields(spark):
     assert fields(['{"a": true}', None]) == {"id": ("String", True), "a": ("Boolean", False)}
     assert fields(['{"a": [1]}', "{broken"]) == {"id": ("String", True), "a": ("Array", False)}
     assert fields(['{"a": 99999999999999999999}', "[1]"]) == {"id": ("String", True), "a": ("Float", False)}
+
+
+def test_declarations_are_parsed_once_and_by_all_tasks(spark, data):
+    rows = spark.createDataFrame([("t", "{}"), ("t", None)], "tenant string, body string")
+    usable, aside = reg.set_aside(reg.declarations(rows, "body"))
+    for found in (usable.select("tenant", "fields", "subscriptions"), aside.select("tenant", "reason")):
+        assert found._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert workload.subscription_quarantine(spark, data).rdd.getNumPartitions() == tasks
