@@ -267,7 +267,9 @@ class Table:
     """One table: reads on its newest version, writes as log batches, live channels."""
 
     def __init__(self, spark: SparkSession, root: str, spec: TableSpec, declared: Mapping[str, Mapping] | None = None):
-        self.spark, self.root, self.spec, self.declared = spark, root, spec, dict(declared or {})
+        self.spark, self.root, self.spec, self._filters = spark, root, spec, dict(declared or {})
+        #: the fields that the table's subscriptions declare filters on
+        self.declared = list(self._filters)
         self.fields = [f for f in spec.fields if f.name not in SYSTEM_FIELDS]
         self.log_spec = LogSpec((KEY,), tuple(f.name for f in self.fields))
         self.log_schema = T.StructType(
@@ -583,7 +585,7 @@ class Table:
             filters = [{"field": n, "value": v} for n, v in (filters or {}).items()]
         chosen = []
         for given in filters:
-            declared = self.declared.get(given["field"], {})
+            declared = self._filters.get(given["field"], {})
             if self.declared and not declared:
                 continue
             value = given.get("value")
