@@ -71,9 +71,13 @@ def working(spark: SparkSession) -> Iterator:
         _blocks.pop()
         for path in own:
             delete(spark, path)
-        # shuffles of plans that nothing refers to any more are cleaned behind a collection on both sides
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        sweep(spark)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes the shuffle files of finished jobs: those of plans that nothing refers to any more go behind a collection on both sides."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def delete(spark: SparkSession, path: str) -> None:

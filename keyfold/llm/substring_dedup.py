@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyfold.llm._store import stored
+from keyfold.llm._store import stored, sweep, working
 from keyfold.llm._words import U64, Words, each, mix, signed
 
 MIN_WORDS = 16
@@ -91,21 +92,20 @@ def _struct_list(**fields: pa.DataType) -> pa.ListType:
 
 
 def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``row, doc_id, n, phrases: array<struct<digest, place>>, lines: array<struct<digest, place, words, start, end>>``.
+    """``row, doc_id, n, phrases: array<struct<digest, place>>, lines: array<struct<digest, place, words>>``.
 
-    ``place`` counts words of the text, ``n`` is their number. ``start`` and ``end`` are code points,
-    from a line's first word to the end of its last. A null text has no units.
+    ``place`` counts words of the text, ``n`` is their number. A null text has no units.
     """
     k, w = _sizes(min_words)
     schema = """row long, doc_id long, n int, phrases array<struct<digest:long,place:int>>,
-        lines array<struct<digest:long,place:int,words:int,start:int,end:int>>"""
+        lines array<struct<digest:long,place:int,words:int>>"""
     small = _struct_list(digest=pa.int64(), place=pa.int32())
-    large = _struct_list(digest=pa.int64(), place=pa.int32(), words=pa.int32(), start=pa.int32(), end=pa.int32())
+    large = _struct_list(digest=pa.int64(), place=pa.int32(), words=pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             phrases: list[list[np.ndarray]] = [[], []]
-            lines: list[list[np.ndarray]] = [[], [], [], [], []]
+            lines: list[list[np.ndarray]] = [[], [], []]
             n_phrases, n_lines, n = [], [], []
             for _, _, words in each(batch.column(2), "space"):
                 rows = len(words.first) - 1
@@ -117,12 +117,9 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     out.append(values)
                 starts = _line_starts(words)
                 digests, ends = _digests(words, starts)
-                letters = np.concatenate([[0], np.cumsum((words.raw & 0xC0) != 0x80)])
                 doc = np.searchsorted(words.first, starts, "right") - 1
-                base = letters[words.offsets[doc]]
                 n_lines.append(np.bincount(doc, minlength=rows))
-                begin, end = letters[words.starts[starts]] - base, letters[words.ends[ends - 1]] - base
-                for out, values in zip(lines, (signed(digests), starts - words.first[doc], ends - starts, begin, end), strict=True):
+                for out, values in zip(lines, (signed(digests), starts - words.first[doc], ends - starts), strict=True):
                     out.append(values)
             counts = pa.array(np.concatenate(n) if n else [], pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -139,70 +136,44 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(doc_id, text).alias("row"), doc_id.alias("doc_id"), text.alias("text"))
 
 
-def _again(found: DataFrame, name: str) -> DataFrame:
-    """Later occurrences of the units in column ``name``, with the first one's ``first_row, first_place``."""
+def _occurrences(found: DataFrame, name: str) -> DataFrame:
+    """The units in column ``name``, one row each; a row without ``doc_id`` ranks last."""
     each_unit = found.select("row", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.explode(name).alias("unit"))
-    each_unit = each_unit.select("row", "doc_id", "unit.*")
+    return each_unit.select("row", "doc_id", "unit.*")
+
+
+def _again(found: DataFrame, name: str) -> DataFrame:
+    """Later occurrences of the units in column ``name``, with the first one's ``first_row, first_place``.
+
+    Occurrences come as often as their row does. The first ones are stored, so that the shuffle that finds them is
+    gone before all occurrences are shuffled to meet them.
+    """
     first = (
-        each_unit.groupBy("digest")
+        _occurrences(found, name)
+        .groupBy("digest")
         .agg(F.min(F.struct("doc_id", "row", "place")).alias("first"), F.count("*").alias("n"))
         .where("n > 1")
         .select("digest", F.col("first.row").alias("first_row"), F.col("first.place").alias("first_place"))
     )
+    first = stored(first, f"first-{name}")
+    sweep(found.sparkSession)
     return (
-        each_unit.drop("doc_id")
+        _occurrences(found, name)
+        .drop("doc_id")
         .join(first, "digest")
         .where((F.col("row") != F.col("first_row")) | (F.col("place") != F.col("first_place")))
         .drop("digest")
-        .distinct()
     )
 
 
-def _around(docs: DataFrame, places: DataFrame, k: int, w: int) -> DataFrame:
-    """``row, place, before, behind`` for the phrases at ``places``: words as ``array<struct<h, at>>``.
+def _ends(found: DataFrame, k: int) -> DataFrame:
+    """``row, side, place, first_row, first_place, most``: the outermost phrases of every run, and their first occurrences.
 
-    ``before`` begins with the phrase's first word and goes back by ``w`` words, ``at`` being
-    where a word starts; ``behind`` begins with its last word and goes on, ``at`` being where a word ends.
+    ``side`` is 0 for the run's first phrase and 1 for its last. ``most`` is how many words the run may at most be
+    extended to that side, null where nothing limits it.
     """
-    words_of = "array<struct<h:long,at:int>>"
-    kind = _struct_list(h=pa.int64(), at=pa.int32())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            asked, rows = batch.column(2).to_pylist(), batch.column(0).to_numpy()
-            keys, at_places = [], []
-            before: list[list[np.ndarray]] = [[], []]
-            behind: list[list[np.ndarray]] = [[], []]
-            n_before, n_behind = [], []
-            for begin, end, words in each(batch.column(1), "space"):
-                letters = np.concatenate([[0], np.cumsum((words.raw & 0xC0) != 0x80)])
-                for j in range(begin, end):
-                    low, high = words.first[j - begin], words.first[j - begin + 1]
-                    base = letters[words.offsets[j - begin]]
-                    for place in asked[j]:
-                        keys.append(rows[j])
-                        at_places.append(place)
-                        a = np.arange(low + place, max(low, low + place - w) - 1, -1)
-                        b = np.arange(low + place + k - 1, min(high, low + place + k + w))
-                        for own, counts, which, edge in ((before, n_before, a, words.starts), (behind, n_behind, b, words.ends)):
-                            own[0].append(signed(words.hashes[which]))
-                            own[1].append(letters[edge[which]] - base)
-                            counts.append(np.array([len(which)]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(at_places, pa.int32()), _lists(n_before, before, kind), _lists(n_behind, behind, kind)],
-                names=["row", "place", "before", "behind"],
-            )
-
-    asked = places.groupBy("row").agg(F.collect_set("place").alias("places"))
-    texts = _keyed(docs).join(asked, "row").select("row", "text", "places")
-    found = texts.mapInArrow(run, f"row long, place int, before {words_of}, behind {words_of}")
-    return found.groupBy("row", "place").agg(F.first("before").alias("before"), F.first("behind").alias("behind"))
-
-
-def _passages(docs: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
-    """``row, place, words, start, end`` of every repeated passage, extended to both sides."""
-    k, w = _sizes(min_words)
-    again = _again(found, "phrases")
+    # one shuffle by row serves all that follows
+    again = _again(found, "phrases").repartition("row").distinct()
     # a phrase that overlaps its own first occurrence would take words of that
     again = again.where((F.col("row") != F.col("first_row")) | (F.col("place") >= F.col("first_place") + k))
     by_place = Window.partitionBy("row").orderBy("place")
@@ -214,52 +185,152 @@ def _passages(docs: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
         .groupBy("row", "run")
         .agg(F.min(one).alias("l"), F.max(one).alias("r"))
     )
-    runs = stored(runs, "runs")
-    sides = [("row", "l.place"), ("row", "r.place"), ("l.first_row", "l.first_place"), ("r.first_row", "r.first_place")]
-    asked = runs.select(F.explode(F.array(*[F.struct(F.col(a).alias("row"), F.col(b).alias("place")) for a, b in sides])).alias("x"))
-    around = stored(_around(docs, asked.select("x.*"), k, w), "around")
-
-    def compared(side: str, name: str) -> DataFrame:
-        """Runs with how many words of a side are equal, its phrase's own one included, and where they end."""
-        ends = runs.select("row", "run", f"{side}.*")
-        own = around.select("row", "place", F.col(name).alias("own"))
-        other = around.select(F.col("row").alias("first_row"), F.col("place").alias("first_place"), F.col(name).alias("other"))
-        differs = F.array_position(F.zip_with("own", "other", lambda x, y: x["h"].eqNullSafe(y["h"])), False)
-        equal = F.when(differs == 0, F.size("own")).otherwise(differs - 1).cast("int")
-        if side == "l":  # not into the first occurrence in the same text
-            equal = F.when(F.col("row") == F.col("first_row"), F.least(equal, F.col("place") - F.col("first_place") - k + 1)).otherwise(equal)
-        joined = ends.join(own, ["row", "place"]).join(other, ["first_row", "first_place"]).withColumn("equal", equal)
-        return joined.select(
-            "row", "run",
-            (F.col("place") + (1 - F.col("equal") if side == "l" else k - 1 + F.col("equal"))).alias(f"{side}_place"),
-            F.element_at("own", F.col("equal"))["at"].alias(f"{side}_at"),
-        )
-
-    both = compared("l", "before").join(compared("r", "behind"), ["row", "run"])
-    return both.where(F.col("r_place") - F.col("l_place") >= min_words).select(
-        "row", F.col("l_place").alias("place"), (F.col("r_place") - F.col("l_place")).alias("words"),
-        F.col("l_at").alias("start"), F.col("r_at").alias("end"),
-    )
-
-
-def _spans(docs: DataFrame, found: DataFrame, min_words: int, min_line_words: int) -> DataFrame:
-    again = _again(found.withColumn("lines", F.filter("lines", lambda x: x["words"] >= min_line_words)), "lines")
-    both = again.select("row", "place", "words", "start", "end").unionByName(_passages(docs, found, min_words))
-    both = both.withColumn("behind", F.col("place") + F.col("words"))
-    by_place = Window.partitionBy("row").orderBy("place", "behind")
-    before = F.max("behind").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    return (
-        both.withColumn("new", F.coalesce((F.col("place") > before).cast("long"), F.lit(1).cast("long")))
-        .withColumn("island", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("row", "island")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("behind") - F.min("place")).cast("long").alias("words"))
-        .select("row", "start", "end", "words")
-    )
+    sides = F.array(*[F.struct(F.lit(side).cast("int").alias("side"), f"{name}.*") for side, name in enumerate("lr")])
+    # not into the first occurrence in the same text
+    most = F.when((F.col("side") == 0) & (F.col("row") == F.col("first_row")), F.col("place") - F.col("first_place") - k)
+    return runs.select("row", F.explode(sides).alias("x")).select("row", "x.*").withColumn("most", most.cast("int"))
+
+
+def _beside(words: Words, at: np.ndarray, side: np.ndarray, doc: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``w`` words beside the phrases at ``at``, going away from them, and which of them exist."""
+    step = np.arange(w)
+    index = np.where(side[:, None] == 0, at[:, None] - 1 - step, at[:, None] + k + step)
+    ok = (index >= words.first[doc][:, None]) & (index < words.first[doc + 1][:, None])
+    return words.hashes[np.where(ok, index, at[:, None])], ok
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """For every value of the lists the row it is in, where the rows begin, and the values."""
+    counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    return np.repeat(np.arange(len(column)), counts), np.concatenate([[0], np.cumsum(counts)]), column.flatten()
+
+
+def _field(values: pa.StructArray, name: str) -> np.ndarray:
+    return pc.struct_field(values, name).to_numpy(zero_copy_only=False)
+
+
+def _first_words(docs: DataFrame, ends: DataFrame, k: int, w: int) -> DataFrame:
+    """``first_row, first_place, side, words``: the ``w`` words beside the first occurrences, as hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, bounds, asked = _flat(batch.column(2))
+            place, side = _field(asked, "place"), _field(asked, "side")
+            counts, values = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for begin, end, words in each(batch.column(1), "space"):
+                part = slice(bounds[begin], bounds[end])
+                own = doc[part] - begin
+                hashes, ok = _beside(words, words.first[own] + place[part], side[part], own, k, w)
+                counts.append(ok.sum(axis=1))
+                values.append(signed(hashes[ok]))
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
+            rows = batch.column(0).take(pa.array(doc))
+            yield pa.RecordBatch.from_arrays(
+                [rows, pa.array(place, pa.int32()), pa.array(side, pa.int32()), lists], names=["first_row", "first_place", "side", "words"]
+            )
+
+    asked = ends.groupBy(F.col("first_row").alias("row")).agg(F.collect_set(F.struct(F.col("first_place").alias("place"), "side")).alias("asked"))
+    texts = _keyed(docs).join(asked, "row").select("row", "text", "asked")
+    return texts.mapInArrow(run, "first_row long, first_place int, side int, words array<long>")
+
+
+def _marks(docs: DataFrame, min_words: int, min_line_words: int, each_row: bool = False) -> DataFrame:
+    """What ``_cut`` needs, a stored row for every ``row`` that loses anything.
+
+    ``lines: array<struct<place, words>>``, ``ends: array<struct<place, side, most, words>>`` and, of rows that come
+    more than once, the number ``n`` of their words. Each step is stored and the one before deleted, with its shuffle files.
+    """
+    spark = docs.sparkSession
+    k, w = _sizes(min_words)
+    with working(spark) as kept:
+        with working(spark) as kept_beyond_units:
+            found = stored(units(docs, min_words), "units")
+            ends = kept_beyond_units(_ends(found, k), "ends")
+            sweep(spark)
+            long = found.withColumn("lines", F.filter("lines", lambda x: x["words"] >= min_line_words))
+            parts = _again(long, "lines").select("row", F.struct("place", "words").alias("line"))
+            if each_row:
+                copies = found.where("n > 0").groupBy("row").agg(F.count("*").alias("copies"), F.first("n").cast("long").alias("n"))
+                parts = parts.unionByName(copies.where("copies > 1").drop("copies"), allowMissingColumns=True)
+            parts = kept_beyond_units(parts, "parts")
+        first_words = stored(_first_words(docs, ends, k, w), "first-words")
+        sweep(spark)
+        keys = ["first_row", "first_place", "side"]
+        met = ends.join(first_words.groupBy(*keys).agg(F.first("words").alias("words")), keys)
+        parts = parts.unionByName(met.select("row", F.struct("place", "side", "most", "words").alias("end")), allowMissingColumns=True)
+        marks = [F.collect_set("line").alias("lines"), F.collect_list("end").alias("ends"), *([F.max("n").alias("n")] if each_row else [])]
+        return kept(parts.groupBy("row").agg(*marks), "marks")
+
+
+def _cut(marked: DataFrame, min_words: int) -> DataFrame:
+    """The rows of ``marked`` with ``spans: array<struct<start, end, words>>`` in place of their ``lines`` and ``ends``.
+
+    Runs are extended to both sides as far as the words are those beside the first occurrence. Passages and lines
+    that overlap or touch are one span.
+    """
+    k, w = _sizes(min_words)
+    kind = _struct_list(start=pa.int32(), end=pa.int32(), words=pa.int32())
+    names = marked.columns
+    others = [c for c in names if c not in ("lines", "ends")]
+
+    def extended(words: Words, doc: np.ndarray, ends: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Passages of ``min_words`` words or more: their document, first word, and the word behind them."""
+        at, side = words.first[doc] + _field(ends, "place"), _field(ends, "side")
+        own, ok = _beside(words, at, side, doc, k, w)
+        which, bounds, hashes = _flat(pc.struct_field(ends, "words"))
+        other, held = np.zeros((len(doc), w), dtype=np.int64), np.zeros((len(doc), w), dtype=bool)
+        column = np.arange(len(which)) - bounds[which]
+        other[which, column], held[which, column] = hashes.to_numpy(), True
+        equal = np.logical_and.accumulate((signed(own) == other) & ok & held, axis=1).sum(axis=1)
+        equal = np.minimum(equal, pc.fill_null(pc.struct_field(ends, "most"), w).to_numpy())
+        # runs don't overlap, so the two ends of each come one after the other
+        order = np.lexsort((side, at))
+        left, right = order[0::2], order[1::2]
+        begin, behind = at[left] - equal[left], at[right] + k + equal[right]
+        long = behind - begin >= min_words
+        return doc[left][long], begin[long], behind[long]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = dict(zip(names, batch.columns, strict=True))
+            some = pc.or_(*[pc.greater(pc.fill_null(pc.list_value_length(table[c]), 0), 0) for c in ("lines", "ends")])
+            texts, lines, ends = (table[c].filter(some) for c in ("text", "lines", "ends"))
+            line_doc, line_bounds, lines = _flat(lines)
+            end_doc, end_bounds, ends = _flat(ends)
+            counts, fields = [np.zeros(0, dtype=np.int64)], [[], [], []]
+            for first, last, words in each(texts, "space"):
+                part, part_ends = (slice(b[first], b[last]) for b in (line_bounds, end_bounds))
+                doc = line_doc[part] - first
+                begin = words.first[doc] + _field(lines, "place")[part]
+                whole = [doc, begin, begin + _field(lines, "words")[part]]
+                found = extended(words, end_doc[part_ends] - first, ends[part_ends])
+                doc, begin, behind = (np.concatenate(x) for x in zip(whole, found, strict=True))
+                order = np.lexsort((behind, begin, doc))
+                doc, begin, behind = doc[order], begin[order], np.maximum.accumulate(behind[order])
+                new = np.ones(len(doc), dtype=bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (begin[1:] > behind[:-1])
+                doc, begin, behind = doc[new], begin[new], behind[np.append(new[1:], True)[: len(new)]]
+                letters = np.concatenate([[0], np.cumsum((words.raw & 0xC0) != 0x80)])
+                base = letters[words.offsets[doc]]
+                counts.append(np.bincount(doc, minlength=last - first))
+                values = letters[words.starts[begin]] - base, letters[words.ends[behind - 1]] - base, behind - begin
+                for out, value in zip(fields, values, strict=True):
+                    out.append(value)
+            every = np.zeros(len(batch), dtype=np.int64)
+            every[np.flatnonzero(some.to_numpy(zero_copy_only=False))] = np.concatenate(counts)
+            yield pa.RecordBatch.from_arrays([*[table[c] for c in others], _lists([every], fields, kind)], names=[*others, "spans"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.select(*others).schema)
+    return marked.mapInArrow(run, f"{schema}, spans array<struct<start:int,end:int,words:int>>")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, min_line_words: int = MIN_WORDS) -> DataFrame:
     """``row, start, end, words``: the spans to remove, as code points of the text."""
-    return _spans(docs, stored(units(docs, min_words), "units"), min_words, min_line_words)
+    marks = _marks(docs, min_words, min_line_words)
+    marked = _keyed(docs).join(marks, "row").dropDuplicates(["row"]).select("row", "text", "lines", "ends")
+    spans = _cut(marked, min_words).select("row", F.explode("spans").alias("span"))
+    return spans.select("row", "span.start", "span.end", F.col("span.words").cast("long").alias("words"))
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_line_words: int = MIN_WORDS, each_row: bool = False) -> DataFrame:
@@ -271,28 +342,17 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_line_words: int = MIN
     and text are one document, and each gets its result; with ``each_row`` all but one of them lose
     their whole text. A row without ``doc_id`` ranks last. An empty table gives an empty one.
     """
-    found = stored(units(docs, min_words), "units")
-    marks = (
-        _spans(docs, found, min_words, min_line_words)
-        .groupBy("row")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"),
-            F.sum("words").alias("removed_words"),
-        )
-    )
-    if each_row:
-        copies = found.where("n > 0").groupBy("row").agg(F.count("*").alias("copies"), F.first("n").cast("long").alias("n")).where("copies > 1")
-        marks = marks.join(copies, "row", "full")
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    own = _keyed(docs).join(marks, "row", "left").withColumn("spans", F.coalesce("spans", none))
+    marks = _marks(docs, min_words, min_line_words, each_row)
+    own = _keyed(docs).join(marks, "row", "left")
+    gone = F.lit(None).cast("long")
     if each_row:
-        # rows of a key are all the same, so one stands for them and is counted out again
-        one = own.where("copies is not null").groupBy("row").agg(*[F.first(c).alias(c) for c in own.columns if c != "row"])
-        one = one.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-        whole = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end")))
-        one = one.withColumn("spans", F.when(F.col("nth") > 1, whole).otherwise(F.col("spans")))
-        one = one.withColumn("removed_words", F.when(F.col("nth") > 1, F.col("n")).otherwise(F.col("removed_words")))
-        own = own.where("copies is null").drop("copies", "n").unionByName(one.drop("copies", "n", "nth"))
+        # rows of a key are all the same, so any of them may be the one that stays
+        gone = F.when(F.row_number().over(Window.partitionBy("row").orderBy("row")) > 1, F.col("n"))
+    own = own.withColumn("gone", gone)
+    own = _cut(own.select("doc_id", "text", "gone", "lines", "ends"), min_words)
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.col("gone").cast("int").alias("words")))
+    own = own.withColumn("spans", F.when(F.col("gone").isNotNull(), whole).otherwise(F.col("spans")))
+    removed_words = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["words"])
     kept = F.expr(
         """array_join(transform(
              arrays_zip(concat(array(0), spans.end), concat(spans.start, array(length(text)))),
@@ -301,7 +361,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_line_words: int = MIN
     return own.select(
         "doc_id",
         F.size("spans").cast("long").alias("n_removed"),
-        F.coalesce("removed_words", F.lit(0).cast("long")).alias("removed_words"),
+        removed_words.alias("removed_words"),
         F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("removed"),
         F.when(F.size("spans") == 0, F.col("text")).otherwise(kept).alias("text"),
     )

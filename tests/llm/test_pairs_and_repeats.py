@@ -7,7 +7,7 @@ import re
 import duckdb
 import pytest
 
-from keyfold.llm import decontaminate, jaccard_join, jaccard_links, quality_rules, substring_dedup
+from keyfold.llm import _store, decontaminate, jaccard_join, jaccard_links, quality_rules, substring_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -233,6 +233,38 @@ def test_passages_go_whole_and_short_lines_and_copies_too(spark):
     assert sorted((r["text"], r["removed_words"]) for r in got) == [("", 3), ("", 3), (alone, 0)]
 
 
+def test_steps_of_substring_dedup_are_deleted_and_shuffle_texts_once(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(_store, "shared_folder", lambda _: str(tmp_path))
+    texts = corpus(9)
+    for each_row in (False, True):
+        out = substring_dedup.dedup(frame(spark, [*texts, texts[3]]), min_line_words=1, each_row=each_row)
+        assert {p.name.rsplit("-", 1)[0] for p in (tmp_path / "keyfold-llm").iterdir()} == {"marks"}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("xxhash64(") == 1
+        assert sum(r["n_removed"] > 0 for r in out.collect()) > 10
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_passages_end_where_the_first_occurrence_differs(spark, seed):
+    """Each passage is extended on both sides word by word, against the place where it stood first."""
+    rng = random.Random(seed)
+
+    def fresh(n):
+        return [f"é{rng.randrange(10**9):x}" for _ in range(n)]
+
+    source = fresh(400)
+    texts, cuts = [" ".join(source)], []
+    for _ in range(30):
+        a = rng.choice([0, rng.randrange(0, 380), rng.randrange(0, 380)])
+        b = rng.choice([400, min(400, a + rng.randrange(16, 60))])
+        before, behind = fresh(rng.choice([0, 1, 9])), fresh(rng.choice([0, 1, 9]))
+        cuts.append((before, source[a:b] if b - a >= 16 else [], behind))
+        texts.append(" ".join(before + cuts[-1][1] + behind))
+    got = {r["doc_id"]: r for r in substring_dedup.dedup(frame(spark, texts)).collect()}
+    for k, (before, passage, behind) in enumerate(cuts, 1):
+        assert got[k]["text"].split() == before + behind and got[k]["removed_words"] == len(passage)
+
+
 def test_quality_rules_equal_sql(spark):
     texts = corpus(4) + ["same line of the site\n" + " ".join(f"u{k}x{j}" for j in range(60)) for k in range(60)]
     texts += ["a b c a b c " * 30, "# $ % & | < > * #", "x\n\nx\n x\nX"]
