@@ -75,7 +75,11 @@ def working(spark: SparkSession) -> Iterator:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Deletes the shuffle files of finished jobs: those of plans that nothing refers to any more go behind a collection on both sides."""
+    """Deletes the shuffle files of finished jobs: those of plans that nothing refers to any more go behind a collection on both sides.
+
+    On a cluster the scheduler refers to the last job until another one runs, here one of a single row.
+    """
+    spark.range(0, 1, 1, 1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
